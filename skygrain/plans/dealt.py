@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skygrain.operators import spikes
+from skygrain.operators import profile, spikes
+from skygrain.sources.scratch import written
 from skygrain.sources.tables import table
 
 _P1 = ("platform", "TimeJD", "CLARA_radiance", "obs_id")
@@ -18,5 +20,23 @@ def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.score_readings(table(spark, sf_dir, "clara_full").select(*_P1), *_P1)
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores}
+COVARIATES = ["era5_t2m", "era5_sp", "era5_tcwv", "era5_tp", "era5_lcc", "era5_mcc", "era5_hcc", "era5_u10", "era5_slt"]
+
+
+def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.profile(table(spark, sf_dir, "clara_era5_merged"), "load_id", COVARIATES, ["source_file"])
+
+
+def p3_rare_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.mask_violations(table(spark, sf_dir, "clara_era5_merged"), "load_id", COVARIATES, ["source_file"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = written(p3_profile(spark, sf_dir), "profile")
+    shift = profile.shifts(profiles).select("load_id", "column_name", F.lit("shift").alias("kind"))
+    report = profile.wrong_reports(profiles.filter(F.col("column_name") != "source_file"), table(spark, sf_dir, "covariate_summary"), "load_id", "variable")
+    return shift.unionByName(report.select("load_id", "column_name", F.lit("report").alias("kind")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p3_found": p3_found, "p3_profile": p3_profile, "p3_rare_masks": p3_rare_masks}
 SQL: dict[str, str] = {}
