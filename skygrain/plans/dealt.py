@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrain.operators import profile, spikes
+from skygrain.operators import nearby, profile, spikes
 from skygrain.sources.scratch import written
 from skygrain.sources.tables import table
 
@@ -40,3 +40,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p3_found": p3_found, "p3_profile": p3_profile, "p3_rare_masks": p3_rare_masks}
 SQL: dict[str, str] = {}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearby.pairs_within(table(spark, sf_dir, "clara_era5_merged"), "row_id", "hour", "latitude", "longitude", 1.0, 42.0)
+
+
+QUERIES["p4_found"] = p4_found
