@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrain.operators import nearby, profile, spikes
+from skygrain.operators import nearby, profile, regrid, spikes
 from skygrain.sources.scratch import written
 from skygrain.sources.tables import table
 
@@ -47,3 +47,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p4_found"] = p4_found
+
+
+_P7 = ("cell_id", "hour", "clara_radiance_hourly_mean", "clara_n_datapoints")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regrid.missing_hours(table(spark, sf_dir, "clara_hourly_by_grid").select(*_P7), *_P7)
+
+
+def p7_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regrid.regular(table(spark, sf_dir, "clara_hourly_by_grid").select(*_P7), *_P7)
+
+
+QUERIES |= {"p7_found": p7_found, "p7_regular": p7_regular}
