@@ -62,9 +62,10 @@ def rendezvous(component: Column, weights: dict[str, float], seed: str = "split"
 def assigned(records: DataFrame, key: str, first: Column, second: Column, weights: dict[str, float]) -> DataFrame:
     """Splits of records with two kinds of entity (node ids `first` and `second`).
 
-    Columns: key, component, split (no entity of either kind is divided), first_split and second_split (of the components
-    of one kind alone) and blocked_split: the split both agree on, else `buffer`. Within the named blocked splits no entity
-    of either kind is divided, and they reach the wanted sizes also where one giant component leaves `split` no choice.
+    Columns: key, component, split (no entity of either kind is divided), first_split and second_split (entities of one kind
+    alone) and blocked_split: entities of either kind draw with the roots of the weights, a record takes the split both
+    agree on, else `buffer`. Within the named blocked splits no entity of either kind is divided, and their sizes stand in
+    the wanted proportions also where one giant component leaves `split` no choice.
     """
     r = records.select(F.col(key), first.alias("a"), second.alias("b"))
     r = r.withColumns({"x": F.coalesce("a", "b"), "y": F.coalesce("b", "a")})
@@ -73,8 +74,9 @@ def assigned(records: DataFrame, key: str, first: Column, second: Column, weight
     alone = F.xxhash64(F.lit("alone"), F.col(key))
     out = out.withColumn("component", F.coalesce("component", alone))
     one, two = rendezvous(F.coalesce("a", alone), weights, "first"), rendezvous(F.coalesce("b", alone), weights, "second")
-    out = out.withColumns({"split": rendezvous(F.col("component"), weights), "first_split": one, "second_split": two})
-    return out.select(key, "component", "split", "first_split", "second_split", F.when(F.col("first_split") == F.col("second_split"), F.col("first_split")).otherwise("buffer").alias("blocked_split"))
+    roots = {k: w**0.5 for k, w in weights.items()}
+    x, y = rendezvous(F.coalesce("a", alone), roots, "first root"), rendezvous(F.coalesce("b", alone), roots, "second root")
+    return out.select(key, "component", rendezvous(F.col("component"), weights).alias("split"), one.alias("first_split"), two.alias("second_split"), F.when(x == y, x).otherwise("buffer").alias("blocked_split"))
 
 
 def divided(records: DataFrame, axis: str, keys: dict[str, Column], label: Column) -> DataFrame:
