@@ -268,7 +268,7 @@ def format_ts(spark, d):
     return table(spark, d, "clara_full").filter("TimeJD is not null").select("obs_id", stamp.alias("stamp"), F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd HH:mm:ss")).alias("back"))
 
 
-@query("select obs_id, round((epoch_us(TimeJD) - epoch_us(timestamp '2025-01-01')) / (365.25 * 86400 * 1e6), 9) "years" from clara_full where TimeJD is not null")
+@query("select obs_id, round((epoch_us(TimeJD) - epoch_us(timestamp '2025-01-01')) / (365.25 * 86400 * 1e6), 9) \"years\" from clara_full where TimeJD is not null")
 def decimal_years(spark, d):
     t = micros(F.col("TimeJD")) - micros(F.expr("TIMESTAMP_NTZ'2025-01-01'"))
     return table(spark, d, "clara_full").filter("TimeJD is not null").select("obs_id", F.round(t / (365.25 * 86400 * 1e6), 9).alias("years"))
