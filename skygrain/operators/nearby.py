@@ -151,6 +151,7 @@ def pairs_within(points: DataFrame, key: str, group: str, lat: str, lon: str, le
     exact = haversine_km(F.col("llat"), F.col("llon"), F.col("rlat"), F.col("rlon"))
     near = near.filter(F.col("inside") | exact.between(least_km, most_km))
     near = near.filter((F.col("lc") != F.col("rc")) | (F.col("lk") < F.col("rk"))).select("lk", "ln", "rk", "rn")
+    near = written(near, "near")
     # Only nodes of several rows need their other rows.
     several = rows.join(nodes.filter("n > 1").select("g", "lat", "lon", F.col("k").alias("node")), ["g", "lat", "lon"]).select("node", "k")
     several = written(several, "several")
