@@ -128,8 +128,8 @@ def cuts(docs: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int
     while (1 << k) <= most:
         # Where bit k of the cut's number is set, the cursor jumps 2^k cuts; cursors past the end vanish.
         step = F.col("i").bitwiseAND(F.lit(1 << k)) != 0
-        moved = cursor.filter(step).join(jump.withColumnRenamed("p", "pos"), [key, "pos"]).select(key, "i", F.col("s").alias("pos"))
-        cursor = moved.unionByName(cursor.filter(~step))
+        moved = cursor.join(jump.withColumnRenamed("p", "pos"), [key, "pos"], "left").filter(~step | F.col("s").isNotNull())
+        cursor = moved.select(key, "i", F.when(step, F.col("s")).otherwise(F.col("pos")).alias("pos"))
         k += 1
         if (1 << k) <= most:
             twice = jump.select(key, "p", F.col("s").alias("m")).join(jump.select(key, F.col("p").alias("m"), "s"), [key, "m"]).select(key, "p", "s")
