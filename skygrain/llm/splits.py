@@ -67,16 +67,16 @@ def assigned(records: DataFrame, key: str, first: Column, second: Column, weight
     agree on, else `buffer`. Within the named blocked splits no entity of either kind is divided, and their sizes stand in
     the wanted proportions also where one giant component leaves `split` no choice.
     """
-    r = records.select(F.col(key), first.alias("a"), second.alias("b"))
+    r = records.select(F.col(key).alias("_key"), first.alias("a"), second.alias("b"))
     r = r.withColumns({"x": F.coalesce("a", "b"), "y": F.coalesce("b", "a")})
     of = components(r.select(F.col("x").alias("a"), F.col("y").alias("b")))
     out = r.join(of.withColumnRenamed("node", "x"), "x", "left")
-    alone = F.xxhash64(F.lit("alone"), F.col(key))
+    alone = F.xxhash64(F.lit("alone"), F.col("_key"))
     out = out.withColumn("component", F.coalesce("component", alone))
     one, two = rendezvous(F.coalesce("a", alone), weights, "first"), rendezvous(F.coalesce("b", alone), weights, "second")
     roots = {k: w**0.5 for k, w in weights.items()}
     x, y = rendezvous(F.coalesce("a", alone), roots, "first root"), rendezvous(F.coalesce("b", alone), roots, "second root")
-    return out.select(key, "component", rendezvous(F.col("component"), weights).alias("split"), one.alias("first_split"), two.alias("second_split"), F.when(x == y, x).otherwise("buffer").alias("blocked_split"))
+    return out.select(F.col("_key").alias(key), "component", rendezvous(F.col("component"), weights).alias("split"), one.alias("first_split"), two.alias("second_split"), F.when(x == y, x).otherwise("buffer").alias("blocked_split"))
 
 
 def divided(records: DataFrame, axis: str, keys: dict[str, Column], label: Column) -> DataFrame:
