@@ -261,5 +261,5 @@ def implausible(readings: DataFrame, source: str, time: str, value: str, key: st
     low, high = rules.get("low", 0.0), rules.get("high", 500.0)
     bad = impossible(F.col(value), low, high)
     flagged = score_readings(readings, source, time, value, key, **rules).filter("(stuck or spike) and not impossible").select("source", "t", "v")
-    rest = readings.filter(~bad).select(F.col(key), F.col(source).cast("string").alias("source"), micros(F.col(time)).alias("t"), F.col(value).cast("double").alias("v"))
-    return readings.filter(bad).select(key).unionByName(rest.join(flagged, ["source", "t", "v"], "left_semi").select(key))
+    rest = readings.filter(~bad).select(F.col(key).alias("o"), F.col(source).cast("string").alias("source"), micros(F.col(time)).alias("t"), F.col(value).cast("double").alias("v"))
+    return readings.filter(bad).select(key).unionByName(rest.join(flagged, ["source", "t", "v"], "left_semi").select(F.col("o").alias(key)))

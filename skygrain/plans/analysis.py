@@ -62,10 +62,10 @@ def matched_cell_summary(spark, d):
     return era(spark, d).agg(F.count("*").alias("n_rows"), F.count_distinct("hour").alias("n_hours"), m.alias("n_matched"), F.coalesce(F.sum("clara_n_datapoints"), F.lit(0)).alias("n_observations"), r6(m / F.count("*")).alias("match_rate"), (F.min("iy") / 4.0).alias("lat_min"), (F.max("iy") / 4.0).alias("lat_max"))
 
 
-@query(f"""select round_even(lat / 10, 0)::bigint iy, round_even((lon - 360 * floor(lon / 360)) / 10, 0)::bigint % 36 ix, round(avg(v), 6) mean, count(*) n, count(distinct date_trunc('hour', TimeJD)) n_hours from {OBS} group by 1, 2""")
+@query(f"""select round_even(lat / 10, 0)::bigint iy, round_even((lon - 360 * floor(lon / 360)) / 10, 0)::bigint % 36 ix, round(avg(v) + 1e-9, 6) mean, count(*) n, count(distinct date_trunc('hour', TimeJD)) n_hours from {OBS} group by 1, 2""")
 def spatial_mean(spark, d):
     o = obs(spark, d).withColumns({"iy": grid.cell_index(F.col("lat"), 0.0, 10.0), "ix": grid.wrapped_index(F.col("lon"), 0.0, 10.0)})
-    return o.groupBy("iy", "ix").agg(r6(F.avg("v")).alias("mean"), F.count("*").alias("n"), F.count_distinct(HOUR("TimeJD")).alias("n_hours"))
+    return o.groupBy("iy", "ix").agg(r6(F.avg("v") + 1e-9).alias("mean"), F.count("*").alias("n"), F.count_distinct(HOUR("TimeJD")).alias("n_hours"))
 
 
 # --- distributions and missingness --------------------------------------------------------------------------------------
