@@ -14,12 +14,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(_remove, at[len("file://") :])
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+            atexit.register(_remove, _OWN[0])
+        at = f"file://{_OWN[0]}"
     return at.rstrip("/")
 
 
