@@ -89,13 +89,13 @@ def boundaries(own: Encoder, text: str, limit: int, overlap: int) -> tuple[int,
     return total, nodes
 
 
-def _nodes(data, key: str, text: str, limit: int, overlap: int):
+def _nodes(data, limit: int, overlap: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(data.value)
         for pdf in batches:
-            got = [boundaries(own, t, limit, overlap) if t else (0, []) for t in pdf[text]]
+            got = [boundaries(own, t, limit, overlap) if t else (0, []) for t in pdf["_text"]]
             names = [n.split(":")[0] for n in NODE.split(",")]
-            yield pd.DataFrame({key: pdf[key], "total": [n for n, _ in got], "nodes": [[dict(zip(names, x)) for x in nodes] for _, nodes in got]})
+            yield pd.DataFrame({"_key": pdf["_key"], "total": [n for n, _ in got], "nodes": [[dict(zip(names, x)) for x in nodes] for _, nodes in got]})
 
     return run
 
@@ -107,8 +107,9 @@ def cuts(docs: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int
     """
     if not 0 <= overlap < limit // 4:
         raise ValueError("overlap must be under a quarter of the limit")
-    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    parts = spread(docs.select(key, text)).mapInPandas(_nodes(vocabulary(spark, path), key, text, limit, overlap), f"{key} {kind}, total int, nodes array<struct<{NODE}>>")
+    spark, kind, name, key = docs.sparkSession, docs.schema[key].dataType.simpleString(), key, "_key"
+    texts = spread(docs.select(F.col(name).alias("_key"), F.col(text).alias("_text")))
+    parts = texts.mapInPandas(_nodes(vocabulary(spark, path), limit, overlap), f"_key {kind}, total int, nodes array<struct<{NODE}>>")
     parts = written(parts, "boundaries")
     whole = parts.filter("total > 0 and size(nodes) = 0").select(key, F.lit(0).alias("piece"), F.lit(0).alias("start"), F.col("total").alias("end"), F.lit(0).alias("start_char"), F.lit(None).cast("int").alias("end_char"), F.lit("end").alias("kind"))
 
@@ -138,11 +139,11 @@ def cuts(docs: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int
     found = cursor.join(nodes.drop("total"), [key, "pos"])
     found = found.withColumns({"start": F.coalesce(F.lag("back").over(one), F.lit(0)), "start_char": F.coalesce(F.lag("back_char").over(one), F.lit(0))})
     cut = found.select(key, (F.col("i") - 1).alias("piece"), "start", F.col("pos").alias("end"), "start_char", F.col("pos_char").alias("end_char"), "kind")
-    return whole.unionByName(cut).withColumn("n_tokens", F.col("end") - F.col("start"))
+    return whole.unionByName(cut).withColumn("n_tokens", F.col("end") - F.col("start")).withColumnRenamed("_key", name)
 
 
 def pieces(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
     """`cuts` with the piece's text."""
     cut = cuts(docs, key, text, **options)
-    body = F.when(F.col("end_char").isNull(), F.col(text)).otherwise(F.substring(F.col(text), F.col("start_char") + 1, F.col("end_char") - F.col("start_char")))
-    return cut.join(docs.select(key, text), key).select(key, "piece", "start", "end", "n_tokens", "kind", body.alias("piece_text"))
+    body = F.when(F.col("end_char").isNull(), F.col("_text")).otherwise(F.substring(F.col("_text"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char")))
+    return cut.join(docs.select(key, F.col(text).alias("_text")), key).select(key, "piece", "start", "end", "n_tokens", "kind", body.alias("piece_text"))

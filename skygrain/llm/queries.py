@@ -67,16 +67,16 @@ def _p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles.select(_p6_counts(spark, sf_dir), _P6, [0.25, 0.5])
+    return quantiles.select(_p6_counts(spark, sf_dir), _P6, [0.25, 0.5]).withColumn("value", F.round("value", 6))
 
 
 def p6_joined_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quartiles per platform over all months, from the months' value counts."""
-    return quantiles.select(quantiles.merged([_p6_counts(spark, sf_dir)], ["platform"]), ["platform"], [0.25, 0.5, 0.75])
+    return quantiles.select(quantiles.merged([_p6_counts(spark, sf_dir)], ["platform"]), ["platform"], [0.25, 0.5, 0.75]).withColumn("value", F.round("value", 6))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exact = p6_quantiles(spark, sf_dir)
+    exact = quantiles.select(_p6_counts(spark, sf_dir), _P6, [0.25, 0.5])
     said = table(spark, sf_dir, "clara_monthly_summary").select("platform", "orbit_leg", F.date_format("month", "yyyy-MM").alias("month"), F.explode(F.array(F.struct(F.lit(0.25).alias("p"), F.col("q25").alias("said")), F.struct(F.lit(0.5).alias("p"), F.col("median").alias("said")))).alias("r"))
     said = said.select(*_P6, "r.p", "r.said").filter("said is not null and not isnan(said)")
     both = said.join(exact, [*_P6, "p"])
@@ -120,4 +120,15 @@ QUERIES = {
     "p2_found": p2_found, "p5_found": p5_found, "p5_splits": p5_splits, "p5_sizes": p5_sizes, "p6_found": p6_found, "p6_quantiles": p6_quantiles,
     "p6_joined_months": p6_joined_months, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_schedule": p9_schedule, "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
-SQL: dict[str, str] = {}
+_GROUPS = "(select platform, orbit_leg, strftime(TimeJD, '%Y-%m') as month, CLARA_radiance v from clara_full where TimeJD is not null and platform is not null and isfinite(CLARA_radiance) and CLARA_radiance > 0 and CLARA_radiance <= 500)"
+SQL: dict[str, str] = {
+    "p2_found": """with l as (select obs_id, lower(trim(platform)) p, TimeJD t from clara_full where platform is not null and TimeJD is not null and (CLARA_fov_latitude is null or isnan(CLARA_fov_latitude) or CLARA_fov_longitude is null or isnan(CLARA_fov_longitude))),
+ r as (select fix_id, lower(trim(platform)) p, fix_time ft from clara_track where platform is not null and fix_time is not null and latitude is not null and not isnan(latitude) and longitude is not null and not isnan(longitude)),
+ j as (select obs_id, fix_id, row_number() over (partition by obs_id order by abs(epoch_us(t) - epoch_us(ft)), fix_id) rn from l join r on l.p = r.p and ft between t - interval 4 second and t + interval 4 second) select obs_id, fix_id from j where rn = 1""",
+    "p5_found": """with f as (select round(latitude::double * 4)::bigint a, round(((longitude::double + 180) - 360 * floor((longitude::double + 180) / 360) - 180) * 4)::bigint b, space_fold, time_fold, datediff('day', date '1970-01-01', hour::date)::bigint d from fold_assignments)
+ select 'space' axis, a key_a, b key_b from f where a is not null and b is not null group by 2, 3 having count(distinct space_fold) > 1 union all select 'time', d, 0::bigint from f where d is not null group by 2 having count(distinct time_fold) > 1""",
+    "p6_found": f"""with g as (select platform, orbit_leg, month, quantile_cont(v, 0.25) q, quantile_cont(v, 0.5) h from {_GROUPS} group by 1, 2, 3)
+ select distinct s.platform, s.orbit_leg, g.month from clara_monthly_summary s join g on s.platform = g.platform and s.orbit_leg = g.orbit_leg and strftime(s.month, '%Y-%m') = g.month where (not isnan(q25) and abs(q25 - q) > 0.02 * q) or (not isnan(median) and abs(median - h) > 0.02 * h)""",
+    "p6_quantiles": f"select platform, orbit_leg, month, unnest([0.25, 0.5])::double p, round(unnest([quantile_cont(v, 0.25), quantile_cont(v, 0.5)]), 6) as \"value\", count(*) n from {_GROUPS} group by 1, 2, 3",
+    "p6_joined_months": f"select platform, unnest([0.25, 0.5, 0.75])::double p, round(unnest([quantile_cont(v, 0.25), quantile_cont(v, 0.5), quantile_cont(v, 0.75)]), 6) as \"value\", count(*) n from {_GROUPS} group by 1",
+}
