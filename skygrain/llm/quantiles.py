@@ -28,7 +28,8 @@ from pyspark.sql.window import Window
 from skygrain.functions.exprs import finite
 from skygrain.sources.scratch import written
 
-FINISH, MAX_ROUNDS = 4096, 200
+#: Distinct values that one task sorts to end a selection; at least 4, as a percentile may lie between two values.
+FINISH, MAX_ROUNDS = 4096, 80
 
 
 def counts(df: DataFrame, groups: list[str], value: Column) -> DataFrame:
@@ -105,17 +106,19 @@ def select(table: DataFrame, groups: list[str], percentiles: list[float]) -> Dat
         v, pivot = F.col("value"), F.col("pivot")
         total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
         three = at.groupBy("target", "pivot").agg(total(v < pivot).alias("below"), total(v == pivot).alias("equal"), F.count_if(v < pivot).alias("n_below"), F.count_if(v > pivot).alias("n_above"))
-        under = F.col("low") + F.col("below")
-        # The pivot is a value of its target, so both ranks lie up to it or both from it. Of its copies stay those that
-        # the ranks need, hence a value of more than half the weight can't stop the search.
-        state = state.join(three, "target").withColumn("down", F.ceil("rank") < under + F.col("equal"))
-        state = state.withColumn("keep", F.when(F.col("down"), F.greatest(F.lit(0), F.ceil("rank") + 1 - under)).otherwise(under + F.col("equal") - F.floor("rank")))
+        under, low, high = F.col("low") + F.col("below"), F.floor("rank"), F.ceil("rank")
+        upto = under + F.col("equal")
+        # The pivot is a value of its target: both ranks are the pivot's, or lie up to it, or from it. Beside another value
+        # it stays with the one copy that a rank may need, so a value of more than half the weight can't stop the search.
+        state = state.join(three, "target").withColumn("side", F.when((low >= under) & (high < upto), 0).when(high < upto, -1).otherwise(1))
+        at_, down = F.col("side") == 0, F.col("side") == -1
+        state = state.withColumn("keep", F.when(at_, F.col("equal")).when(down, F.greatest(F.lit(0), high + 1 - under)).otherwise(F.greatest(F.lit(0), upto - low)))
         state = state.select(
-            "target", "rank", "pivot", "down", "keep", F.when(F.col("down"), F.col("low")).otherwise(under + F.col("equal") - F.col("keep")).alias("low"),
-            (F.when(F.col("down"), F.col("n_below")).otherwise(F.col("n_above")) + 1).alias("left"),
+            "target", "rank", "pivot", "side", "keep", F.when(at_, under).when(down, F.col("low")).otherwise(upto - F.col("keep")).alias("low"),
+            F.when(at_, 1).when(down, F.col("n_below") + 1).otherwise(F.col("n_above") + 1).alias("left"),
         )
         state = written(state, f"state-{k}")
-        kept = live.join(state.select("target", "pivot", "down", "keep"), "target").filter("if(down, value <= pivot, value >= pivot)")
+        kept = live.join(state.select("target", "pivot", "side", "keep"), "target").filter("case side when 0 then value = pivot when -1 then value <= pivot else value >= pivot end")
         kept = kept.withColumn("n", F.when(v == pivot, F.col("keep")).otherwise(F.col("n"))).filter("n > 0")
         live = written(kept.select("target", "value", "n"), f"live-{k}")
         state = state.select("target", "rank", "low", "left")
