@@ -13,7 +13,7 @@ from skygrain.sources.tables import table
 
 query = Registry()
 r6 = lambda c: F.round(c, 6)
-DAY = F.col("TimeJD").cast("date")
+_day = lambda: F.col("TimeJD").cast("date")
 HOUR = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz")
 
 
@@ -45,7 +45,7 @@ def circular_mean_degrees(spark, d):
 @query("""with n as (select platform, TimeJD::date as day, count(*) n from clara_full where platform is not null and TimeJD is not null group by 1, 2), e as (select platform, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from n group by 1)
  select platform, day, coalesce(n, 0) n from e left join n using (platform, day)""")
 def count_calendar_fill(spark, d):
-    n = table(spark, d, "clara_full").filter("platform is not null and TimeJD is not null").groupBy("platform", DAY.alias("day")).agg(F.count("*").alias("n"))
+    n = table(spark, d, "clara_full").filter("platform is not null and TimeJD is not null").groupBy("platform", _day().alias("day")).agg(F.count("*").alias("n"))
     every = n.groupBy("platform").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
     return every.join(n, ["platform", "day"], "left").fillna(0, ["n"])
 
@@ -145,7 +145,7 @@ def sampling_by_hour(spark, d):
  c as (select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from e) select day, coalesce(n_samples, 0) n_samples, coalesce(n_kept, 0) n_kept, q25, median, q75 from c left join e using (day)""")
 def daily_quartiles(spark, d):
     kept = F.when(quality.in_range(F.col("CLARA_radiance")), F.col("CLARA_radiance"))
-    g = table(spark, d, "clara_full").filter("TimeJD is not null").groupBy(DAY.alias("day")).agg(F.count("*").alias("n_samples"), F.count(kept).alias("n_kept"), *[r6(F.percentile(kept, p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
+    g = table(spark, d, "clara_full").filter("TimeJD is not null").groupBy(_day().alias("day")).agg(F.count("*").alias("n_samples"), F.count(kept).alias("n_kept"), *[r6(F.percentile(kept, p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
     g = written(g, "days")
     return quality.calendar(g, "day").join(g, "day", "left").fillna(0, ["n_samples", "n_kept"])
 
@@ -157,7 +157,7 @@ def monthly_quartiles(spark, d):
     """Quartiles per platform, leg and month; thin groups keep their counts and lose their quartiles."""
     kept = F.when(quality.in_range(F.col("CLARA_radiance")), F.col("CLARA_radiance"))
     qs = ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))
-    g = table(spark, d, "clara_full").filter("TimeJD is not null and platform is not null").groupBy("platform", "orbit_leg", F.trunc(DAY, "month").alias("month")).agg(F.count("*").alias("n_samples"), F.count(kept).alias("n_earth_view"), F.count_distinct(DAY).alias("n_days"), *[F.percentile(kept, p).alias(n) for p, n in qs])
+    g = table(spark, d, "clara_full").filter("TimeJD is not null and platform is not null").groupBy("platform", "orbit_leg", F.trunc(_day(), "month").alias("month")).agg(F.count("*").alias("n_samples"), F.count(kept).alias("n_earth_view"), F.count_distinct(_day()).alias("n_days"), *[F.percentile(kept, p).alias(n) for p, n in qs])
     thin = F.col("n_earth_view") < 300
     return g.select("platform", "orbit_leg", "month", "n_samples", "n_earth_view", "n_days", r6(F.col("n_earth_view") / F.col("n_samples")).alias("earth_view_fraction"), thin.alias("is_thin"), *[F.when(~thin, r6(n)).alias(n) for _, n in qs])
 
@@ -196,7 +196,7 @@ def resample_yearly(spark, d):
  select *, case when n_rows = 0 then 'no_file' when n_nonzero = 0 then 'dead_file' when n_located = 0 then 'no_geolocation' when n_valid = 0 then 'nothing_usable' else 'ok' end status from j""")
 def coverage_manifest(spark, d):
     """Status of one platform for every day of the record."""
-    c = table(spark, d, "clara_full").filter("TimeJD is not null").withColumn("day", DAY)
+    c = table(spark, d, "clara_full").filter("TimeJD is not null").withColumn("day", _day())
     lat = finite(F.col("CLARA_fov_latitude"))
     r = c.filter("platform = 'KR-262'").groupBy("day").agg(F.count("*").alias("n_rows"), F.count_if(F.col("CLARA_radiance") != 0).alias("n_nonzero"), F.count_if(lat).alias("n_located"), F.count_if(lat & quality.in_range(F.col("CLARA_radiance"))).alias("n_valid"))
     return quality.coverage(quality.calendar(c, "day"), r)
@@ -204,7 +204,7 @@ def coverage_manifest(spark, d):
 
 @query("""with n as (select TimeJD::date as day, count(*) n from clara_full where TimeJD is not null group by 1) select month(day)::bigint as month, count(*) filter (n > 0) n_days, sum(case when dayofmonth(day) <= 10 then n else 0 end)::bigint early, sum(case when dayofmonth(day) between 11 and 20 then n else 0 end)::bigint middle, sum(case when dayofmonth(day) > 20 then n else 0 end)::bigint late from n group by 1""")
 def calendar_pivot(spark, d):
-    n = table(spark, d, "clara_full").filter("TimeJD is not null").groupBy(DAY.alias("day")).agg(F.count("*").alias("n"))
+    n = table(spark, d, "clara_full").filter("TimeJD is not null").groupBy(_day().alias("day")).agg(F.count("*").alias("n"))
     third = F.when(F.day("day") <= 10, "early").when(F.day("day") <= 20, "middle").otherwise("late")
     base = n.withColumns({"third": third, "month": F.month("day").cast("long")})
     wide = base.groupBy("month").pivot("third", ["early", "middle", "late"]).agg(F.sum("n")).fillna(0)
@@ -225,7 +225,7 @@ _ACF = lambda s, keys, n: f"""with s as {s}, p as (select {keys} a.i, l.lag, a.x
 
 @query(_ACF("(select TimeJD::date - date '1970-01-01' i, round(avg(v), 6) x from " + OBS + " group by 1)", "", 20))
 def acf_daily(spark, d):
-    s = obs(spark, d).groupBy(F.datediff(DAY, F.lit("1970-01-01").cast("date")).alias("i")).agg(r6(F.avg("v")).alias("x"))
+    s = obs(spark, d).groupBy(F.datediff(_day(), F.lit("1970-01-01").cast("date")).alias("i")).agg(r6(F.avg("v")).alias("x"))
     return series.autocorrelation(written(s, "daily"), "i", "x", 20).withColumns({"autocorrelation": F.round("autocorrelation", 5), "band": r6("band")})
 
 
@@ -240,7 +240,7 @@ _YEARS = "((day - date '2025-10-01') / 365.25)"
 
 
 def _daily(spark, d):
-    g = obs(spark, d).groupBy(DAY.alias("day")).agg(F.avg("v").alias("m"))
+    g = obs(spark, d).groupBy(_day().alias("day")).agg(F.avg("v").alias("m"))
     return g.withColumn("years", F.datediff("day", F.lit("2025-10-01").cast("date")) / 365.25)
 
 

@@ -39,7 +39,6 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p3_found": p3_found, "p3_profile": p3_profile, "p3_rare_masks": p3_rare_masks}
-SQL: dict[str, str] = {}
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,3 +60,13 @@ def p7_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p7_found": p7_found, "p7_regular": p7_regular}
+
+
+SQL: dict[str, str] = {
+    "p4_found": """with m as (select row_id, hour, latitude::double lat, longitude::double lon from clara_era5_merged where latitude between -90 and 90 and isfinite(longitude))
+ select a.row_id left_row_id, b.row_id right_row_id from m a join m b on a.hour = b.hour and a.row_id < b.row_id and abs(a.lat - b.lat) < 0.5
+ where 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) between 1 and 42""",
+    "p7_found": """with g as (select cell_id, date_trunc('month', hour) mo, floor(epoch_us(hour) / 3600000000)::bigint s from clara_hourly_by_grid where cell_id is not null and hour is not null
+ and isfinite(clara_radiance_hourly_mean) and clara_radiance_hourly_mean > 0 and clara_radiance_hourly_mean <= 500 and clara_n_datapoints > 0), b as (select cell_id, unnest(range(min(s), max(s) + 1)) hour_slot from g group by cell_id, mo)
+ select cell_id, hour_slot from b anti join (select cell_id, s hour_slot from g) using (cell_id, hour_slot)""",
+}
