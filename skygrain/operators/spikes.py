@@ -32,7 +32,7 @@ HALO, CHUNK_ROWS = 32, 4000
 TREES, SAMPLE, DEPTH, MIN_FIT = 32, 256, 8, 16
 #: Readings with a lower score are like the mass of their source; the forest passes the others on to the exact check.
 SCORE_MIN = 0.5
-LEVEL_WINDOW, SIDE_WINDOW, PASS_GAP_S = 10, 7, 120.0
+LEVEL_WINDOW, SIDE_WINDOW, ONE_SIDED, PASS_GAP_S = 10, 7, 8, 120.0
 MODEL_BROADCAST_BYTES = 64 << 20
 
 FEATURES = "run int, level double, before double, after double, prev double, next double"
@@ -83,7 +83,11 @@ def local_features(t: np.ndarray, v: np.ndarray, low: float, high: float, tolera
     i = np.arange(len(u))
     level = _neighbours(vu, part, i[:, None] + np.arange(-LEVEL_WINDOW, LEVEL_WINDOW + 1), part)
     off = np.abs(vu - level)
-    calm = off <= 8 * max(float(np.median(off)) if len(off) else 0.0, 0.01)
+    # Beside a lasting step the readings on its shorter side are like those behind or ahead of them, not like the middle.
+    behind = _neighbours(vu, part, i[:, None] + np.arange(-ONE_SIDED, 1), part)
+    ahead = _neighbours(vu, part, i[:, None] + np.arange(ONE_SIDED + 1), part)
+    nearest = np.minimum(off, np.minimum(np.abs(vu - behind), np.abs(vu - ahead)))
+    calm = nearest <= 8 * max(float(np.median(off)) if len(off) else 0.0, 0.01)
     c, seen = np.flatnonzero(calm), np.cumsum(calm)
     back = np.arange(1, SIDE_WINDOW + 1)
     before = _neighbours(vu[c], part[c], (seen - calm)[:, None] - back, part)

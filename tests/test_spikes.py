@@ -45,6 +45,15 @@ def test_spikes_runs_and_steps(spark):
     assert found(spark, every) == want
 
 
+def test_spikes_beside_a_step(spark):
+    items = series("a", 120)
+    for i in range(60, 120):
+        items[i][2] += 50.0
+    for i in (50, 51, 52, 66):
+        items[i][2] -= 90.0
+    assert found(spark, items) == {50, 51, 52, 66}
+
+
 def test_copies_do_not_make_a_run(spark):
     items = series("a", 50)
     items[10][2] = 201.25
