@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skygrain.functions.exprs import finite
 
@@ -67,9 +66,3 @@ def dead_groups(df: DataFrame, group: str, value: str, least: int = 1000) -> Dat
     """Groups of under `least` rows that hold zeros only."""
     g = df.groupBy(group).agg(F.count("*").alias("n_rows"), F.coalesce(F.bool_and(F.col(value) == 0), F.lit(False)).alias("zeros"))
     return g.filter((F.col("n_rows") < least) & F.col("zeros")).select(group, "n_rows")
-
-
-def latest_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Window form of `first_of` for keys of few rows, last in order."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skygrain.functions.exprs import finite, finite_or_null, haversine_km, hours, lon180, micros
 from skygrain.operators import grid, nearby, quality, series, stats

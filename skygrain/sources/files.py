@@ -16,7 +16,7 @@ def csv_by_position(spark: SparkSession, path: str, positions: list[int], names:
 
 def julian_to_timestamp(day: Column, rest: Column) -> Column:
     """A Julian day, as its whole days (from midnight) and the microseconds beyond, as a timestamp without zone."""
-    us = (day - 2440588) * 86_400_000_000 + rest - 0
+    us = (day - 2440588) * 86_400_000_000 + rest
     return F.timestamp_add("MICROSECOND", us, F.expr("TIMESTAMP_NTZ'1970-01-01'"))
 
 
@@ -25,7 +25,3 @@ def file_inventory(df: DataFrame, file: str, time: str, lat: str, lon: str) -> D
     return df.filter(F.col(file).isNotNull()).groupBy(file).agg(
         F.count("*").alias("n_rows"), F.min(time).alias("first_hour"), F.max(time).alias("last_hour"), F.count_distinct(lat).alias("n_latitudes"), F.count_distinct(lon).alias("n_longitudes")
     )
-
-
-def absent(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:
-    return expected.join(present.select(key).distinct(), key, "left_anti")

@@ -137,3 +137,12 @@ def test_scratch_follows_the_setting(spark):
 def test_bad_radius(spark):
     with pytest.raises(ValueError):
         nearby.pairs_within(spark.range(1), "id", "id", "id", "id", 0, 1)
+
+
+def test_registry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True, timeout=120)
