@@ -53,20 +53,31 @@ def boundaries(own: Encoder, text: str, limit: int, overlap: int) -> tuple[int,
     if total <= limit:
         return total, []
 
+    inner: dict[int, tuple[list[int], list[int]]] = {}
+
+    def inside(i: int) -> tuple[list[int], list[int]]:
+        """Within word i: the token positions that end a character, and how many characters end there."""
+        if i not in inner:
+            encoded, size, n_chars, ends, counts = words[i].encode("utf-8", "replace"), 0, 0, [], []
+            for n, token in enumerate(own.word(words[i]), 1):
+                for byte in encoded[size : size + own.lengths[token]]:
+                    n_chars += byte & 0xC0 != 0x80
+                size += own.lengths[token]
+                if size == len(encoded) or encoded[size] & 0xC0 != 0x80:
+                    ends.append(starts[i] + n)
+                    counts.append(chars[i] + n_chars)
+            inner[i] = ends, counts
+        return inner[i]
+
     def floor(pos: int, least: int) -> tuple[int, int]:
         """The last word start in (least, pos], else the last whole character there."""
         i = bisect_right(starts, pos) - 1
         if starts[i] > least:
             return starts[i], chars[i]
         # A word longer than the span: its own tokens, cut where characters end.
-        encoded, size, best = words[i].encode("utf-8", "replace"), 0, None
-        for n, token in enumerate(own.word(words[i]), 1):
-            size += own.lengths[token]
-            if starts[i] + n > pos:
-                break
-            if starts[i] + n > least and (size == len(encoded) or encoded[size] & 0xC0 != 0x80):
-                best = (starts[i] + n, chars[i] + len(encoded[:size].decode("utf-8")))
-        return best if best else (starts[i], chars[i])
+        ends, counts = inside(i)
+        j = bisect_right(ends, pos) - 1
+        return (ends[j], counts[j]) if j >= 0 and ends[j] > least else (starts[i], chars[i])
 
     def node(pos: int, char: int, kind: str) -> tuple:
         back, back_char = floor(max(0, pos - overlap), max(0, pos - 2 * overlap) - 1)
