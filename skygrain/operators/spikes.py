@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skygrain.functions.exprs import finite, micros
+from skygrain.functions.prefix import running_total
 from skygrain.sources.scratch import written
 
-HALO, CHUNK_ROWS = 32, 4000
+HALO, CHUNK_ROWS, STRETCH = 32, 4000, 1024
 TREES, SAMPLE, DEPTH, MIN_FIT = 32, 256, 8, 16
 #: Readings with a lower score are like the mass of their source; the forest passes the others on to the exact check.
 SCORE_MIN = 0.5
@@ -121,6 +122,21 @@ def _chunk_features(low: float, high: float, tolerance: float, pass_gap_s: float
     return run
 
 
+def _halos(edges: DataFrame) -> DataFrame:
+    """(source, chunk, early, late): the HALO readings before and after each chunk of its source, from (source, chunk, head, tail).
+
+    Chunks are numbered within their source by a two-level count and meet in stretches of numbers. A stretch also gets the
+    HALO chunks on either side of it, which suffice, as a chunk holds one reading at least; so a task holds a stretch, never a source.
+    """
+    numbered = running_total(edges, ["source"], F.floor(F.col("chunk") / STRETCH), ["chunk"], F.lit(1).cast("long"), "i")
+    stretch = lambda i: F.floor(i / STRETCH)
+    i = F.col("i")
+    every = numbered.withColumn("stretch", F.explode(F.array_distinct(F.array(stretch(i - HALO), stretch(i), stretch(i + HALO)))))
+    w = Window.partitionBy("source", "stretch").orderBy("i")
+    near = every.select("source", "chunk", (stretch(i) == F.col("stretch")).alias("own"), F.flatten(F.collect_list("tail").over(w.rowsBetween(-HALO, -1))).alias("early"), F.flatten(F.collect_list("head").over(w.rowsBetween(1, HALO))).alias("late"))
+    return near.filter("own").select("source", "chunk", F.expr(f"slice(early, greatest(1, size(early) - {HALO - 1}), {HALO})").alias("early"), F.slice("late", 1, HALO).alias("late"))
+
+
 def featured(readings: DataFrame, low: float, high: float, tolerance: float, pass_gap_s: float) -> tuple[DataFrame, DataFrame]:
     """(chunks with feature arrays, per source: number of readings) from columns source, t, v, o."""
     rows = readings.filter("source is not null and t is not null and v is not null")
@@ -131,15 +147,8 @@ def featured(readings: DataFrame, low: float, high: float, tolerance: float, pas
     once = rows.groupBy("source", "t", "v").agg(F.min("o").alias("o")).join(density.select("source", "width"), "source")
     chunks = once.groupBy("source", F.floor(F.col("t") / F.col("width")).cast("long").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("t", "o", "v"))).alias("items"))
     chunks = written(chunks, "chunks")
-    w = Window.partitionBy("source").orderBy("chunk")
     edges = chunks.select("source", "chunk", F.slice("items", 1, HALO).alias("head"), F.expr(f"slice(items, greatest(1, size(items) - {HALO - 1}), {HALO})").alias("tail"))
-    # A neighbour holds one reading at least, so HALO chunks on either side suffice.
-    near = edges.select(
-        "source", "chunk",
-        F.flatten(F.collect_list("tail").over(w.rowsBetween(-HALO, -1))).alias("early"),
-        F.flatten(F.collect_list("head").over(w.rowsBetween(1, HALO))).alias("late"),
-    )
-    near = near.select("source", "chunk", F.expr(f"slice(early, greatest(1, size(early) - {HALO - 1}), {HALO})").alias("early"), F.slice("late", 1, HALO).alias("late"))
+    near = _halos(edges)
     arrays = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in ["t long", "v double", *FEATURES.split(", ")])
     joined = chunks.join(near, ["source", "chunk"]).selectExpr("source", "chunk", "items.t t", "items.v v", "early.t early_t", "early.v early_v", "late.t late_t", "late.v late_v")
     out = joined.mapInPandas(_chunk_features(low, high, tolerance, pass_gap_s), f"source string, chunk long, {arrays}")

@@ -108,3 +108,19 @@ def test_median_of_windows():
     w, keep = rng.standard_normal((50, 9)), rng.random((50, 9)) < 0.6
     want = [np.median(a[k]) if k.any() else np.nan for a, k in zip(w, keep)]
     assert np.allclose(spikes._median_of(w, keep), want, equal_nan=True)
+
+
+def test_halos_cross_stretches_and_gaps(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "HALO", 2)
+    monkeypatch.setattr(spikes, "STRETCH", 3)
+    rng, want, items = np.random.default_rng(3), {}, []
+    for source in ("a", "b", "lone"):
+        chunks = [7] if source == "lone" else sorted({int(c) for c in rng.integers(-40, 40, 30)} | {10_000})
+        held = [[(c * 10 + k, 0, float(k)) for k in range(int(rng.integers(1, 5)))] for c in chunks]
+        items += [(source, c, h[:2], h[-2:]) for c, h in zip(chunks, held)]
+        for j, c in enumerate(chunks):
+            want[source, c] = ([x for h in held[:j] for x in h][-2:], [x for h in held[j + 1 :] for x in h][:2])
+    kind = "array<struct<t:long,o:long,v:double>>"
+    got = spikes._halos(spark.createDataFrame(items, f"source string, chunk long, head {kind}, tail {kind}")).collect()
+    assert len(got) == len(want)
+    assert {(r.source, r.chunk): ([tuple(x) for x in r.early], [tuple(x) for x in r.late]) for r in got} == want
