@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skygrain.functions.exprs import finite, haversine_km
+from skygrain.functions.prefix import running_total
+
+#: Parts between quantiles into which ranks cut a group's distinct values.
+STRETCHES = 128
 
 
 def melted(df: DataFrame, keys: list[str], columns: list[str], variable: str = "variable", value: str = "value") -> DataFrame:
@@ -29,10 +33,16 @@ def missingness(long: DataFrame, keys: list[str], value: str = "value") -> DataF
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Average ranks from counts of distinct values: a window over distinct values, not over rows."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*keys, value, (F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2).alias(name))
+    """Average ranks from counts of distinct values, null values left out.
+
+    Values are counted in stretches between quantiles of their group, so a group of many values is many tasks' work.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)]), 10 * STRETCHES).alias("_cuts"))
+    counts = counts.join(cuts, keys)
+    stretch = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    below = running_total(counts.withColumn("_stretch", stretch).drop("_cuts"), keys, F.col("_stretch"), [value], F.col("_c"), "_below")
+    ranks = below.select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias(name))
     return df.join(ranks, [*keys, value])
 
 
