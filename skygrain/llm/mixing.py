@@ -19,19 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skygrain.functions.prefix import running_total
 from skygrain.llm.bpe import DEFAULT_VOCABULARY, spread, tokens_of
-from skygrain.llm.prefix import running_total
 from skygrain.sources.scratch import written
 
 BLOCK = 2048
 GOLDEN = 0.6180339887498949
-STEPS, CHUNK_SLOTS, CHUNKS = 1024, 65_536, 256
+STEPS, CHUNK_SLOTS, CHUNK_DOCS = 1024, 65_536, 65_536
 
 
-def sized(docs: DataFrame, key: str, text: str, source: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc, source, tokens) of the documents with a source, written once."""
-    rows = spread(docs.select(key, text, source).filter(F.col(source).isNotNull()))
-    return written(rows.select(F.col(key).alias("doc"), F.col(source).alias("source"), tokens_of(docs.sparkSession, path)(F.col(text)).cast("long").alias("tokens")), "sized")
+def sized(docs: DataFrame, key: str, text: str, source: str, listed: DataFrame | None = None, path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """(doc, source, tokens) of the documents with a source, of those in `listed` (column source) if given; written once."""
+    rows = spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.col(source).alias("source"))).filter("source is not null")
+    if listed is not None:
+        rows = rows.join(listed, "source", "left_semi")
+    return written(rows.select("doc", "source", tokens_of(docs.sparkSession, path)(F.col("text")).cast("long").alias("tokens")), "sized")
 
 
 def wanted(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -49,9 +51,10 @@ def wanted(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def blocks(sizes: DataFrame) -> DataFrame:
     """(doc, source, tokens, block): documents in shuffled order, cut after about BLOCK tokens."""
-    mixed = sizes.withColumn("shuffled", F.xxhash64("doc", F.lit(11)))
-    # A chunk is a range of hashes, so chunks are as even as the hash.
-    chunk = F.floor((F.col("shuffled").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64 / CHUNKS))
+    # A chunk is a range of hashes, so chunks are as even as the hash; a source has as many as its documents ask for.
+    parts = sizes.groupBy("source").agg(F.ceil(F.count("*") / CHUNK_DOCS).alias("parts"))
+    mixed = sizes.withColumn("shuffled", F.xxhash64("doc", F.lit(11))).join(parts, "source")
+    chunk = F.floor((F.col("shuffled").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.col("parts"))
     total = running_total(mixed, ["source"], chunk, ["shuffled", "doc"], F.col("tokens"), "before")
     return total.select("doc", "source", "tokens", F.floor(F.col("before") / BLOCK).alias("block"))
 

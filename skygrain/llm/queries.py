@@ -90,8 +90,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mix(spark: SparkSession, sf_dir: str):
     targets = table(spark, sf_dir, "mix_targets")
     listed = targets.filter("source is not null").select("source").distinct()
-    docs = table(spark, sf_dir, "documents").join(listed, "source", "left_semi")
-    return mixing.schedule(mixing.sized(docs, "doc_id", "text", "source"), targets)
+    return mixing.schedule(mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source", listed), targets)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
