@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygrain.functions.exprs import finite, finite_or_null, haversine_km, hours, lon180, micros
-from skygrain.operators import grid, nearby, quality, series, stats
+from skygrain.operators import grid, nearest, quality, series, stats
+from skygrain.plans.modelling import matched
 from skygrain.plans.registry import COVARIATES, ERA, OBS, Registry, era, long_sql, obs
 from skygrain.sources import scratch
 from skygrain.sources.files import csv_by_position, file_inventory as inventory, julian_to_timestamp
+from skygrain.sources.scratch import written
 from skygrain.sources.tables import table
 
 query = Registry()
@@ -480,14 +482,14 @@ def haversine(spark, d):
 
 @query()
 def nearest_neighbor_dist(spark, d):
-    """For each grid row its nearest other place of the same hour within 42 km: pairs by cell covers, then the least."""
-    e = era(spark, d)
-    at = e.select("row_id", (F.col("iy") / 4.0).alias("lat"), (F.col("ix") / 4.0).alias("lon"))
-    pairs = nearby.pairs_within(e, "row_id", "hour", "latitude", "longitude", 0.01, 42.0)
-    p = pairs.join(at.select(F.col("row_id").alias("left_row_id"), F.col("lat").alias("a"), F.col("lon").alias("b")), "left_row_id").join(at.select(F.col("row_id").alias("right_row_id"), F.col("lat").alias("c"), F.col("lon").alias("e")), "right_row_id")
-    p = p.withColumn("km", haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("e")))
-    both = p.select(F.col("left_row_id").alias("row_id"), "km").unionByName(p.select(F.col("right_row_id").alias("row_id"), "km"))
-    return both.groupBy("row_id").agg(r6(F.min("km")).alias("nearest_km"))
+    """For each grid row the distance to the nearest matched row in scaled space-time, however far it is."""
+    at = {"lat": F.col("latitude").cast("double"), "lon": lon180(F.col("longitude")), "hours": micros(F.col("hour")) / 3.6e9}
+    known = matched(spark, d).filter(F.col("latitude").between(-90, 90) & finite(F.col("longitude")) & F.col("hour").isNotNull()).select(*[c.alias(n) for n, c in at.items()])
+    known = written(known, "matched")
+    axes, side = nearest.space_time(known, "lat", "lon", "hours")
+    points = era(spark, d).select("row_id", *[c.alias(n) for n, c in at.items()])
+    out = nearest.nearest_distance(points.withColumns(axes), known.withColumns(axes), "row_id", list(axes), side)
+    return out.select("row_id", r6("distance").alias("nearest_km"))
 
 
 # --- sets ----------------------------------------------------------------------------------------------------------------
