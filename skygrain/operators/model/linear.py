@@ -139,15 +139,15 @@ def fit_ridge(df: DataFrame, design: Design, target: str, fold: str, alphas: np.
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     values = np.maximum(values, 0) * n
     turned = vectors.T @ (cross * n)
+    shrunk = 1 / (values[:, None] + alphas)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(alphas))
         for pdf in batches:
             z = ((design(pdf) - mean) / scale) @ vectors
             y = pdf[target].to_numpy(float) - ybar
-            for i, a in enumerate(alphas):
-                h = (z * z / (values + a)).sum(axis=1) + 1 / n
-                total[i] += (((y - z @ (turned / (values + a))) / np.maximum(1 - h, 1e-9)) ** 2).sum()
+            h = (z * z) @ shrunk + 1 / n
+            total += (((y[:, None] - z @ (turned[:, None] * shrunk)) / np.maximum(1 - h, 1e-9)) ** 2).sum(axis=0)
         yield pd.DataFrame({"i": range(len(alphas)), "e": total})
 
     errors = df.mapInPandas(run, "i long, e double").groupBy("i").agg(F.sum("e").alias("e")).orderBy("i").collect()

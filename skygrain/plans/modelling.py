@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygrain.functions.exprs import finite, lon180, micros
@@ -18,6 +22,7 @@ r6 = lambda c: F.round(c, 6)
 CONTINUOUS = ["era5_t2m", "era5_sp", "era5_tcwv", "era5_tp", "era5_lcc", "era5_mcc", "era5_hcc", "era5_u10"]
 FEATURES = [*CONTINUOUS, "lat", "lon", "local_time", "hours"]
 TREES = 30
+MIN_TRAIN_ROWS, MIN_TEST_ROWS = 50, 5
 
 #: Rows with a fold and a positive mean; y is its logarithm.
 MATCHED = """(select f.row_id, f.space_fold::bigint s, f.time_fold::bigint t, e.clara_radiance_hourly_mean::double v, ln(e.clara_radiance_hourly_mean::double) y, e.* exclude (row_id) from fold_assignments f join clara_era5_merged e using (row_id)
@@ -130,11 +135,17 @@ def st_scaler(spark, d):
 _ALL = [*FEATURES, *ONEHOT]
 
 
+def _blocks(m):
+    """The given blocks that can be fitted: rows on both sides and a target that varies."""
+    f = folds.fold_sums(m, "s", "t", {"n": F.lit(1), "y": F.col("y"), "yy": F.col("y") ** 2}).collect()  # one row per block
+    f = [r for r in f if r["train_n"] >= MIN_TRAIN_ROWS and r["test_n"] >= MIN_TEST_ROWS]
+    return sorted((r["s"], r["t"]) for r in f if r["train_yy"] - r["train_y"] ** 2 / r["train_n"] > 1e-12 * r["train_yy"])
+
+
 def _held_out(m):
-    """Two by two blocks of the given folds: (name, training rows, test rows)."""
-    for s in (0, 1):
-        for t in (0, 1):
-            yield f"s{s}t{t}", m.filter((F.col("s") % 2 != s) & (F.col("t") % 2 != t)), m.filter((F.col("s") % 2 == s) & (F.col("t") % 2 == t))
+    """Every given space-time block: (name, training rows in neither its space nor its time, test rows)."""
+    for s, t in _blocks(m):
+        yield f"s{s}t{t}", m.filter((F.col("s") != s) & (F.col("t") != t)), m.filter((F.col("s") == s) & (F.col("t") == t))
 
 
 def _forest(train, trees=TREES):
@@ -146,9 +157,7 @@ def _assembled(m):
 
 
 def _benchmark(predicted):
-    out = predicted[0]
-    for p in predicted[1:]:
-        out = out.unionByName(p)
+    out = functools.reduce(DataFrame.unionByName, predicted)
     return out.groupBy("fold").agg(*folds.metrics(F.col("v"), F.col("p")))
 
 
@@ -164,7 +173,7 @@ def rf_benchmark(spark, d):
 def tree_moments(spark, d):
     """Mean and variance over the trees of a forest for every matched row."""
     x = _assembled(_featured(spark, d))
-    model = _forest(x, 10)
+    model = _forest(x)
     for i, tree in enumerate(model.trees):
         x = tree.setPredictionCol(f"p{i}").transform(x)
     p = F.array(*[F.col(f"p{i}") for i in range(len(model.trees))])
@@ -176,14 +185,23 @@ def tree_moments(spark, d):
 def lasso_benchmark(spark, d):
     """Lasso with its penalty chosen over five inner folds, from moments."""
     m = _featured(spark, d).withColumn("inner", F.pmod(F.col("row_id"), F.lit(5)))
+    spaces, times = (sorted(r[0] for r in m.select(c).distinct().collect()) for c in ("s", "t"))  # block numbers
+    place = lambda c, of: F.array_position(F.array(*map(F.lit, of)), F.col(c)) - 1
+    # One pass: the moments of every training set are sums of its blocks' own.
+    parts = linear.moments(m.withColumn("part", (place("s", spaces) * len(times) + place("t", times)) * 5 + F.col("inner")), linear.plain_design(_ALL), "y", "part")
+    own = {(spaces[k // 5 // len(times)], times[k // 5 % len(times)], k % 5): x for k, x in parts.items()}
     out = []
-    for name, train, test in _held_out(m):
-        w, c, _ = linear.fit_lasso(linear.moments(train, linear.plain_design(_ALL), "y", "inner"))
+    for s, t in _blocks(m):
+        by_inner: dict[int, np.ndarray] = {}
+        for (a, b, i), x in own.items():
+            if a != s and b != t:
+                by_inner[i] = by_inner.get(i, 0) + x
+        w, c, _ = linear.fit_lasso(by_inner)
         p = F.lit(c)
         for f, b in zip(_ALL, w):
             if b:
                 p = p + F.lit(float(b)) * F.col(f)
-        out.append(test.select(F.lit(name).alias("fold"), "v", F.exp(p).alias("p")))
+        out.append(m.filter((F.col("s") == s) & (F.col("t") == t)).select(F.lit(f"s{s}t{t}").alias("fold"), "v", F.exp(p).alias("p")))
     return _benchmark(out)
 
 
@@ -242,7 +260,7 @@ def oof_residuals(spark, d):
     """Out-of-fold residuals of the spline ridge: each row predicted by the fit that left its block out."""
     m = _featured(spark, d)
     parts = [_gam(train, test).select("row_id", F.lit(name).alias("fold"), (F.col("y") - F.col("prediction")).alias("residual")) for name, train, test in _held_out(m)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query()
