@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygrain.functions.exprs import finite, lon180, micros
+from skygrain.operators import nearest
 from skygrain.operators.model import folds, kriging, linear
 from skygrain.operators.stats import sampled_pairs, by_distance
 from skygrain.plans.registry import ERA, Registry, era
@@ -172,13 +173,8 @@ def rf_benchmark(spark, d):
 @query()
 def tree_moments(spark, d):
     """Mean and variance over the trees of a forest for every matched row."""
-    x = _assembled(_featured(spark, d))
-    model = _forest(x)
-    for i, tree in enumerate(model.trees):
-        x = tree.setPredictionCol(f"p{i}").transform(x)
-    p = F.array(*[F.col(f"p{i}") for i in range(len(model.trees))])
-    x = x.select("row_id", p.alias("p")).withColumn("mean", F.aggregate("p", F.lit(0.0), lambda a, b: a + b) / F.size("p"))
-    return x.select("row_id", "mean", F.expr("aggregate(p, 0D, (a, b) -> a + (b - mean) * (b - mean)) / (size(p) - 1)").alias("variance"))
+    m = _featured(spark, d)
+    return _forest_mean(m, m).select("row_id", F.col("prediction").alias("mean"), "variance")
 
 
 @query()
@@ -236,23 +232,45 @@ def gam_benchmark(spark, d):
     return _benchmark([_gam(train, test).select(F.lit(name).alias("fold"), "v", F.exp("prediction").alias("p")) for name, train, test in _held_out(m)])
 
 
-@query()
-def kriging_predict(spark, d):
-    """Spline ridge with kriged residuals: every matched row of one fold with both predictions and the kriging variance."""
-    m = _featured(spark, d)
-    _, train, test = next(iter(_held_out(m)))
-    both = written(_gam(train, train.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1)))).withColumn("residual", F.col("y") - F.col("prediction")), "mean-model")
-    both = both.join(m.select("row_id", "s", "t"), "row_id").withColumn("test", (F.col("s") % 2 == 0) & (F.col("t") % 2 == 0))
+_KEPT = ["row_id", "v", "y", "lat", "lon", "hours"]
+
+
+def _forest_mean(train, rows, keep=_KEPT):
+    """rows with the mean of a forest's trees as `prediction` and the trees' variance."""
+    x = _assembled(rows)
+    model = _forest(_assembled(train))
+    for i, tree in enumerate(model.trees):
+        x = tree.setPredictionCol(f"p{i}").transform(x)
+    p = F.array(*[F.col(f"p{i}") for i in range(len(model.trees))])
+    x = x.select(*keep, p.alias("p")).withColumn("prediction", F.aggregate("p", F.lit(0.0), lambda a, b: a + b) / F.size("p"))
+    return x.withColumn("variance", F.expr("aggregate(p, 0D, (a, b) -> a + (b - prediction) * (b - prediction)) / (size(p) - 1)")).drop("p")
+
+
+def _kriged(fitted, at):
+    """at with `kriged`, 0 where nothing is near, and `kriging_variance`, from the residuals y - prediction of the fitted rows."""
     speed = 10.0  # km of distance that an hour counts for
-    both = written(both.withColumns(kriging.coordinates(F.col("lat"), F.col("lon"), F.col("hours"), speed)).withColumn("day", F.floor(F.col("hours") / 24)), "residuals")
-    fitted = both.filter("not test")
+    placed = lambda df: df.withColumns(kriging.coordinates(F.col("lat"), F.col("lon"), F.col("hours"), speed))
+    fitted = written(placed(fitted).withColumns({"residual": F.col("y") - F.col("prediction"), "day": F.floor(F.col("hours") / 24)}), "residuals")
     pairs = sampled_pairs(fitted, "day", "row_id", "lat", "lon", ["residual"], each=8)
     bins = by_distance(pairs, "residual", 1500.0, kriging.LAGS).select("mean_distance_km", "semivariance", "n_pairs").collect()  # one row per lag
     v = kriging.fit_variogram([tuple(b) for b in bins]) if len(bins) > 1 else {"nugget": 0.01, "psill": 0.0025, "reach": 3000.0}
-    k = kriging.predict(fitted, both.filter("test"), "row_id", v, 2000.0)
-    out = both.filter("test").join(k, "row_id", "left")
-    kriged = F.coalesce("kriged", F.lit(0.0))
-    return out.select("row_id", "v", F.exp("prediction").alias("mean_prediction"), F.exp(F.col("prediction") + kriged).alias("kriged_prediction"), "kriging_variance")
+    k = kriging.predict(fitted, placed(at), "row_id", v, 2000.0)
+    return at.join(k, "row_id", "left").withColumn("kriged", F.coalesce("kriged", F.lit(0.0)))
+
+
+@query()
+def kriging_predict(spark, d):
+    """Forest and spline ridge with kriged residuals: the test rows of every block with both predictions and the variances."""
+    m = _featured(spark, d)
+    out = []
+    for name, train, test in _held_out(m):
+        for model, mean in (("forest", _forest_mean), ("gam", _gam)):
+            both = mean(train, train.unionByName(test)).join(test.select("row_id", F.lit(True).alias("test")), "row_id", "left")
+            both = written(both, "mean-model")
+            k = _kriged(both.filter("test is null").drop("test"), both.filter("test").drop("test"))
+            k = k.select(F.lit(name).alias("fold"), F.lit(model).alias("model"), "row_id", "v", F.exp("prediction").alias("mean_prediction"), F.exp(F.col("prediction") + F.col("kriged")).alias("kriged_prediction"), F.col("variance").alias("mean_variance"), "kriging_variance")
+            out.append(written(k, "kriged"))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 @query()
@@ -265,13 +283,24 @@ def oof_residuals(spark, d):
 
 @query()
 def grid_prediction(spark, d):
-    """Final forest on all matched rows, applied to every grid row of the latest hour with a temperature."""
+    """Final forest on all matched rows and its kriged residuals, at every grid row of the latest hour with a temperature."""
     m = _featured(spark, d)
     e = era(spark, d).filter(finite(F.col("era5_t2m"))).withColumns({"lat": F.col("latitude").cast("double"), "lon": lon180(F.col("longitude")), "hours": micros(F.col("hour")) / 3.6e9})
     e = e.join(F.broadcast(e.agg(F.max("hour").alias("hour"))), "hour")  # one row
     fill = folds.medians(m, FEATURES)
     at = folds.onehot(folds.imputed(e.select("row_id", "hour", *FEATURES, "era5_slt"), fill, FEATURES), "era5_slt", list(range(1, 8)))
-    return _forest(_assembled(m)).transform(_assembled(at)).select("row_id", "hour", "lat", "lon", F.exp("prediction").alias("predicted"))
+    place = ["row_id", "lat", "lon", "hours"]
+    rows = m.select(*place, "y", *[c for c in _ALL if c not in place]).withColumns({"hour": F.lit(None).cast("timestamp_ntz"), "at": F.lit(False)})
+    rows = rows.unionByName(at.withColumns({"y": F.lit(None).cast("double"), "at": F.lit(True)}), allowMissingColumns=True)
+    both = written(_forest_mean(m, rows, [*place, "y", "hour", "at"]), "final")
+    known = m.filter(F.col("lat").between(-90, 90)).select("lat", "lon", "hours")
+    axes, side = nearest.space_time(known, "lat", "lon", "hours")
+    points = both.filter("at").drop("y", "at")
+    near = nearest.nearest_distance(points.withColumns(axes), known.withColumns(axes), "row_id", list(axes), side)
+    k = _kriged(both.filter("not at"), points).join(near, "row_id")
+    mu, a, b = F.col("prediction") + F.col("kriged"), F.col("variance"), F.col("kriging_variance")
+    scale = F.exp(2 * mu + a + b)
+    return k.select("row_id", "hour", "lat", "lon", F.exp(mu).alias("predicted"), F.exp("prediction").alias("mean_prediction"), F.exp("kriged").alias("kriged_factor"), a.alias("mean_variance"), b.alias("kriging_variance"), (scale * F.expm1(a)).alias("mean_radiance_variance"), (scale * F.exp(a) * F.expm1(b)).alias("kriging_radiance_variance"), F.col("distance").alias("nearest_km"))
 
 
 QUERIES, SQL = query.queries, query.sql
