@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from skygrain.operators import nearby, profile, regrid, spikes
 from skygrain.sources.scratch import written
@@ -23,16 +24,27 @@ def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 COVARIATES = ["era5_t2m", "era5_sp", "era5_tcwv", "era5_tp", "era5_lcc", "era5_mcc", "era5_hcc", "era5_u10", "era5_slt"]
 
 
+def _columns(df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """df with times as text, and its numeric and its text columns but for the load's name."""
+    kinds = {f.name: f.dataType for f in df.schema if f.name != "load_id"}
+    numeric = [c for c, t in kinds.items() if isinstance(t, NumericType)]
+    text = [c for c in kinds if c not in numeric]
+    return df.withColumns({c: F.col(c).cast("string") for c in text}), numeric, text
+
+
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile(table(spark, sf_dir, "clara_era5_merged"), "load_id", COVARIATES, ["source_file"])
+    df, numeric, text = _columns(table(spark, sf_dir, "clara_era5_merged"))
+    return profile.profile(df, "load_id", numeric, text)
 
 
 def p3_rare_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.mask_violations(table(spark, sf_dir, "clara_era5_merged"), "load_id", COVARIATES, ["source_file"])
+    df, numeric, text = _columns(table(spark, sf_dir, "clara_era5_merged"))
+    return profile.mask_violations(df, "load_id", numeric, text)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = written(p3_profile(spark, sf_dir), "profile")
+    e = table(spark, sf_dir, "clara_era5_merged")
+    profiles = written(profile.profile(e, "load_id", COVARIATES, ["source_file"]), "profile")
     shift = profile.shifts(profiles).select("load_id", "column_name", F.lit("shift").alias("kind"))
     report = profile.wrong_reports(profiles.filter(F.col("column_name") != "source_file"), table(spark, sf_dir, "covariate_summary"), "load_id", "variable")
     return shift.unionByName(report.select("load_id", "column_name", F.lit("report").alias("kind")))
