@@ -1,17 +1,19 @@
 """Implausible readings per source: isolation forests over local features, with explicit physical rules beside them.
 
 Plan
- 1. Copies (same source, time and value) fold into one row in a partial aggregation; the rows of a source are cut into
-    chunks of neighbouring times, whose width follows the source's own density, so a source that holds a third of all
-    rows becomes many chunks.
- 2. Each chunk gets a halo of the nearest readings of its neighbours from a small table of chunk edges, and numpy computes
-    the features of its readings.
+ 1. Copies (same source, time and value) fold into one row in a partial aggregation. A two-level count numbers the rows of
+    a source in time order, and every `CHUNK_ROWS` of them are a chunk, so a source that holds a third of all rows, or an
+    hour that does, becomes many chunks of one size.
+ 2. Rows within `HALO` of a chunk's border also go to the neighbouring chunk; numpy computes the features of a chunk.
  3. Scale and daily profile come per source from all readings (mergeable quantile sketches).
- 4. One isolation forest per source is fitted on a bounded sample and scores every reading.
+ 4. One isolation forest per source is fitted on a bounded sample and scores every reading, impossible ones included. It
+    also scores a reading that lies `jump` usual distances off on both sides and is like the source's others elsewise;
+    that score is the source's limit. How far is too far is thus the forest's decision; the rule after it confirms the
+    direction: off to one side of both, the level afterwards is the old one, and the distance is no ordinary scatter.
 
 Defined results: readings with null value take no part in runs or levels; readings with null source or time can only break
 the physical limits; equal copies share one result; an empty table gives an empty result; a source with under `MIN_FIT`
-readings has no forest and its readings the score 1, so that the exact check alone decides.
+usable readings has no forest: its readings have the score 1 and the distance itself is held against `jump`.
 """
 
 from __future__ import annotations
@@ -29,14 +31,16 @@ from skygrain.functions.exprs import finite, micros
 from skygrain.functions.prefix import running_total
 from skygrain.sources.scratch import written
 
-HALO, CHUNK_ROWS, STRETCH = 32, 4000, 1024
+HALO, CHUNK_ROWS = 32, 4000
 TREES, SAMPLE, DEPTH, MIN_FIT = 32, 256, 8, 16
-#: Readings with a lower score are like the mass of their source; the forest passes the others on to the exact check.
-SCORE_MIN = 0.5
 LEVEL_WINDOW, SIDE_WINDOW, ONE_SIDED, PASS_GAP_S = 10, 7, 8, 120.0
 MODEL_BROADCAST_BYTES = 64 << 20
+FAR = 1e9  # distance of a reading that is no number
+#: Trees cut at random places, so a score is sure to about a sixth of a distance; the reading at the limit lies that much
+#: beyond the jump.
+LIMIT_AT = 7 / 6
 
-FEATURES = "run int, level double, before double, after double, prev double, next double"
+FEATURES = ["run", "level", "before", "after"]
 
 
 def impossible(value: Column, low: float = 0.0, high: float = 500.0) -> Column:
@@ -93,18 +97,11 @@ def local_features(t: np.ndarray, v: np.ndarray, low: float, high: float, tolera
     back = np.arange(1, SIDE_WINDOW + 1)
     before = _neighbours(vu[c], part[c], (seen - calm)[:, None] - back, part)
     after = _neighbours(vu[c], part[c], seen[:, None] + back - 1, part)
-    prev, nxt = np.r_[np.nan, vu[:-1]][: len(u)], np.r_[vu[1:], np.nan][: len(u)]
-    if len(u):
-        prev[np.r_[True, part[1:] != part[:-1]]] = np.nan
-        nxt[np.r_[part[1:] != part[:-1], True]] = np.nan
 
-    at = np.cumsum(first) - 1  # a usable reading takes the level of its time
+    at = np.maximum(np.cumsum(first) - 1, 0)  # a reading takes the level of the usable one of its time, or of the last one
     out = {"run": length}
-    for name, x in (("level", level), ("before", before), ("after", after), ("prev", prev), ("next", nxt)):
-        full = np.full(n, np.nan)
-        if len(u):
-            full[usable] = x[at[usable]]
-        out[name] = full
+    for name, x in (("level", level), ("before", before), ("after", after)):
+        out[name] = x[at] if len(u) else np.full(n, np.nan)
     return out
 
 
@@ -113,54 +110,49 @@ def _chunk_features(low: float, high: float, tolerance: float, pass_gap_s: float
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                a, b = len(r.early_t), len(r.early_t) + len(r.t)
-                t, v = np.concatenate([r.early_t, r.t, r.late_t]).astype(np.int64), np.concatenate([r.early_v, r.v, r.late_v]).astype(float)
-                f = local_features(t, v, low, high, tolerance, pass_gap_s)
-                rows.append({"source": r.source, "chunk": r.chunk, "t": r.t, "v": r.v, **{k: x[a:b] for k, x in f.items()}})
-            yield pd.DataFrame(rows, columns=["source", "chunk", "t", "v", "run", "level", "before", "after", "prev", "next"])
+                own = np.asarray(r.own, bool)
+                f = local_features(np.asarray(r.t, np.int64), np.asarray(r.v, float), low, high, tolerance, pass_gap_s)
+                rows.append({"source": r.source, "t": r.t[own], "v": r.v[own], **{k: x[own] for k, x in f.items()}})
+            yield pd.DataFrame(rows, columns=["source", "t", "v", *FEATURES])
 
     return run
 
 
-def _halos(edges: DataFrame) -> DataFrame:
-    """(source, chunk, early, late): the HALO readings before and after each chunk of its source, from (source, chunk, head, tail).
-
-    Chunks are numbered within their source by a two-level count and meet in stretches of numbers. A stretch also gets the
-    HALO chunks on either side of it, which suffice, as a chunk holds one reading at least; so a task holds a stretch, never a source.
-    """
-    numbered = running_total(edges, ["source"], F.floor(F.col("chunk") / STRETCH), ["chunk"], F.lit(1).cast("long"), "i")
-    stretch = lambda i: F.floor(i / STRETCH)
-    i = F.col("i")
-    every = numbered.withColumn("stretch", F.explode(F.array_distinct(F.array(stretch(i - HALO), stretch(i), stretch(i + HALO)))))
-    w = Window.partitionBy("source", "stretch").orderBy("i")
-    near = every.select("source", "chunk", (stretch(i) == F.col("stretch")).alias("own"), F.flatten(F.collect_list("tail").over(w.rowsBetween(-HALO, -1))).alias("early"), F.flatten(F.collect_list("head").over(w.rowsBetween(1, HALO))).alias("late"))
-    return near.filter("own").select("source", "chunk", F.expr(f"slice(early, greatest(1, size(early) - {HALO - 1}), {HALO})").alias("early"), F.slice("late", 1, HALO).alias("late"))
-
-
-def featured(readings: DataFrame, low: float, high: float, tolerance: float, pass_gap_s: float) -> tuple[DataFrame, DataFrame]:
-    """(chunks with feature arrays, per source: number of readings) from columns source, t, v, o."""
+def featured(readings: DataFrame, low: float, high: float, tolerance: float, pass_gap_s: float) -> DataFrame:
+    """Chunks (source, arrays of t, v and the features) from columns source, t, v, o."""
     rows = readings.filter("source is not null and t is not null and v is not null")
-    hour = F.floor(F.col("t") / 3_600_000_000)
-    # Width of a chunk from the mean number of readings in a source's active hours: far outliers in time don't widen it.
-    density = rows.groupBy("source", hour.alias("h")).agg(F.count("*").alias("c")).groupBy("source").agg(F.sum("c").alias("n"), F.avg("c").alias("per_hour"))
-    density = written(density.select("source", "n", F.greatest(F.lit(1), (F.lit(3.6e9 * CHUNK_ROWS) / F.col("per_hour")).cast("long")).alias("width")), "density")
-    once = rows.groupBy("source", "t", "v").agg(F.min("o").alias("o")).join(density.select("source", "width"), "source")
-    chunks = once.groupBy("source", F.floor(F.col("t") / F.col("width")).cast("long").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("t", "o", "v"))).alias("items"))
-    chunks = written(chunks, "chunks")
-    edges = chunks.select("source", "chunk", F.slice("items", 1, HALO).alias("head"), F.expr(f"slice(items, greatest(1, size(items) - {HALO - 1}), {HALO})").alias("tail"))
-    near = _halos(edges)
-    arrays = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in ["t long", "v double", *FEATURES.split(", ")])
-    joined = chunks.join(near, ["source", "chunk"]).selectExpr("source", "chunk", "items.t t", "items.v v", "early.t early_t", "early.v early_v", "late.t late_t", "late.v late_v")
-    out = joined.mapInPandas(_chunk_features(low, high, tolerance, pass_gap_s), f"source string, chunk long, {arrays}")
-    return written(out, "features"), density.select("source", "n")
-
-
-def _matrix(v, level, prev, nxt, run, hour, scale, profile, spread) -> np.ndarray:
-    """Level, differences, season and run length, each as the logarithm of a multiple of what is usual for the source."""
+    once = written(rows.groupBy("source", "t", "v").agg(F.min("o").alias("o")), "once")
+    numbered = running_total(once, ["source"], F.floor(F.col("t") / 3_600_000_000), ["t", "o", "v"], F.lit(1).cast("long"), "i")
+    own, at = F.floor(F.col("i") / CHUNK_ROWS), F.col("i") % CHUNK_ROWS
+    member = lambda chunk, mine: F.struct(chunk.alias("chunk"), F.lit(mine).alias("own"))
+    to = F.array(member(own, True), F.when(at < HALO, member(own - 1, False)), F.when(at >= CHUNK_ROWS - HALO, member(own + 1, False)))
+    sent = numbered.select("source", "t", "v", "o", F.explode(F.array_compact(to)).alias("to")).select("source", "t", "v", "o", "to.*")
+    items = F.array_sort(F.collect_list(F.struct("t", "o", "v", "own"))).alias("items")
+    chunks = sent.groupBy("source", "chunk").agg(items).filter(F.exists("items", lambda i: i["own"]))
+    kinds = {"t": "long", "v": "double", "run": "int"}
+    arrays = ", ".join(f"{c} array<{kinds.get(c, 'double')}>" for c in ["t", "v", *FEATURES])
+    out = chunks.selectExpr("source", "items.t t", "items.v v", "items.own own").mapInPandas(_chunk_features(low, high, tolerance, pass_gap_s), f"source string, {arrays}")
+    return written(out, "features")
+
+
+def distances(v, level, before, after, run, hour, scale, profile, spread) -> np.ndarray:
+    """Level, differences, season and run length, the distances as multiples of what is usual for the source.
+
+    Differences are those from the calm readings of the pass before and after, and the lesser of both where they have one
+    sign. A missing side is no distance; a value that is no number is `FAR` in all.
+    """
     s = max(scale or 0.0, 0.01)
     season = np.asarray(profile, np.float64)[hour]
-    cols = [np.abs(v - level) / s, np.abs(v - prev) / s, np.abs(v - nxt) / s, np.abs(v - season) / max(spread or 0.0, 0.01), np.asarray(run, float)]
-    return np.log1p(np.nan_to_num(np.column_stack(cols), nan=0.0, posinf=1e9)).astype(np.float32)
+    with np.errstate(invalid="ignore"):
+        up, down = (v - before) / s, (v - after) / s
+        apart = np.where(up * down > 0, np.minimum(np.abs(up), np.abs(down)), 0.0)
+        out = np.column_stack([np.abs(v - level) / s, np.abs(up), np.abs(down), apart, np.abs(v - season) / max(spread or 0.0, 0.01), np.asarray(run, float)])
+    out[~np.isfinite(v), :5] = FAR
+    return np.minimum(np.nan_to_num(out, nan=0.0, posinf=FAR), FAR)
+
+
+def _matrix(d: np.ndarray) -> np.ndarray:
+    return np.log1p(d).astype(np.float32)
 
 
 def _usual(n: float) -> float:
@@ -206,12 +198,18 @@ def forest_score(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.exp2(-total / len(model["path"]) / model["usual"])
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    first = pdf.iloc[0]
-    x = _matrix(*(pdf[c].to_numpy(float) for c in ("v", "level", "prev", "next", "run")), pdf["hour"].to_numpy(int), first["scale"], first["profile"], first["spread"])
-    x = x[np.lexsort(x.T)]  # whatever the order in which the rows came
-    model = fit_forest(x, 7)
-    return pd.DataFrame({"source": [first["source"]], "model": [pickle.dumps(model)]})
+def _fit(jump: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        d = distances(*(pdf[c].to_numpy(float) for c in ("v", "level", "before", "after", "run")), pdf["hour"].to_numpy(int), first["scale"], first["profile"], first["spread"])
+        x = _matrix(d)
+        model = fit_forest(x[np.lexsort(x.T)], 7)  # whatever the order in which the rows came
+        # The reading at the limit: as far off as may be on both sides, for the rest as usual.
+        at = LIMIT_AT * jump
+        model["limit"] = forest_score(model, _matrix(np.array([[at, at, at, at, np.median(d[:, 4]), 1.0]])))[0]
+        return pd.DataFrame({"source": [first["source"]], "model": [pickle.dumps(model)]})
+
+    return run
 
 
 def _score(jump: float, run_min: int, low: float, high: float):
@@ -221,52 +219,63 @@ def _score(jump: float, run_min: int, low: float, high: float):
             out = []
             for r in pdf.itertuples(index=False):
                 t, v, before, after = r.t, r.v, r.before, r.after
-                usable = np.isfinite(r.level)
-                score = np.ones(len(t))
-                if r.model is not None:
+                usual = r.scale if r.scale == r.scale and r.scale is not None else 0.0
+                profile = np.zeros(24) if r.profile is None else r.profile
+                d = distances(v, r.level, before, after, r.run, (t // 3_600_000_000 % 24).astype(int), usual, profile, r.spread)
+                if r.model is None:
+                    score, limit = np.ones(len(t)), 1.0
+                    odd = d[:, 3] > jump
+                else:
                     if r.source not in models:
                         models = {r.source: pickle.loads(r.model)}  # chunks of a source mostly come together
-                    x = _matrix(v, r.level, r.prev, r.next, r.run, (t // 3_600_000_000 % 24).astype(int), r.scale, r.profile, r.spread)
-                    score[usable] = forest_score(models[r.source], x[usable])
-                s = max(r.scale if r.scale == r.scale and r.scale is not None else 0.0, 0.01)
+                    score, limit = forest_score(models[r.source], _matrix(d)), models[r.source]["limit"]
+                    odd = score >= limit
                 with np.errstate(invalid="ignore"):
-                    up, down = v - before, v - after
-                    least = np.minimum(np.abs(up), np.abs(down))
-                    # Away from the level before and after to one side, and the level afterwards is the old one.
-                    spike = (least > jump * s) & (up * down > 0) & (np.abs(before - after) < least / 2) & (score >= SCORE_MIN)
+                    least = np.minimum(np.abs(v - before), np.abs(v - after))
+                    # Away to one side of the level before and after, and the level afterwards is the old one.
+                    aside = ((v - before) * (v - after) > 0) & (np.abs(before - after) < least / 2) & (d[:, 3] > jump / 2)
                     bad = ~(np.isfinite(v) & (v > low) & (v <= high))
-                out.append(pd.DataFrame({"source": r.source, "t": t, "v": v, "score": score, "impossible": bad, "stuck": r.run >= run_min, "spike": spike, "times": least / s}))
+                out.append(pd.DataFrame({"source": r.source, "t": t, "v": v, "score": score, "limit": limit, "impossible": bad, "stuck": r.run >= run_min, "spike": odd & aside & ~bad, "times": d[:, 3]}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     return run
 
 
-def score_readings(readings: DataFrame, source: str, time: str, value: str, key: str, low: float = 0.0, high: float = 500.0, jump: float = 12.0, run_min: int = 6, tolerance: float = 0.01, pass_gap_s: float = PASS_GAP_S) -> DataFrame:
+def score_readings(
+    readings: DataFrame, source: str, time: str, value: str, key: str, low: float = 0.0, high: float = 500.0, jump: float = 12.0, run_min: int = 6, tolerance: float = 0.01, pass_gap_s: float = PASS_GAP_S
+) -> DataFrame:
     """Every distinct (source, time, value) with its forest score and the rules it breaks.
 
-    Columns: source, t (microseconds), v, score, impossible, stuck, spike, times (multiples of the source's usual distance).
-    `stuck`: `run_min` or more distinct times, each within `tolerance` of the one before. `spike`: the forest finds the
-    reading unusual and it lies more than `jump` usual distances from the calm readings of its pass before and after it.
+    Columns: source, t (microseconds), v, score, limit (the score from which a reading of this source is implausible),
+    impossible, stuck, spike, times (usual distances off to one side). `stuck`: `run_min` or more distinct times, each within
+    `tolerance` of the one before. `spike`: the score reaches the limit, and the reading lies to one side of the calm
+    readings of its pass before and after it, which are alike, by more than half of `jump`.
     """
     rows = readings.select(F.col(source).cast("string").alias("source"), micros(F.col(time)).alias("t"), F.col(value).cast("double").alias("v"), F.col(key).alias("o"))
-    chunks, counts = featured(rows, low, high, tolerance, pass_gap_s)
-    flat = chunks.select("source", F.explode(F.arrays_zip("t", "v", "run", "level", "prev", "next")).alias("r")).select("source", "r.*").filter(~F.isnan("level"))
+    chunks = featured(rows, low, high, tolerance, pass_gap_s)
+    flat = chunks.select("source", F.explode(F.arrays_zip("t", "v", *FEATURES)).alias("r")).select("source", "r.*").filter(~impossible(F.col("v"), low, high))
     flat = flat.withColumn("hour", F.pmod(F.floor(F.col("t") / 3_600_000_000), F.lit(24)).cast("int"))
     # Quantile sketches merge, so no source meets in one task before it is small.
-    by_hour = flat.groupBy("source", "hour").agg(F.percentile_approx("v", 0.5, 1000).alias("m"), F.count("*").alias("c"))
-    scale = flat.groupBy("source").agg(F.percentile_approx(F.abs(F.col("v") - F.col("level")), 0.5, 10000).alias("scale"), F.percentile_approx("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"))
+    by_hour = flat.groupBy("source", "hour").agg(F.percentile_approx("v", 0.5, 1000).alias("m"))
+    scale = flat.groupBy("source").agg(
+        F.percentile_approx(F.abs(F.col("v") - F.col("level")), 0.5, 10000).alias("scale"),
+        F.percentile_approx("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"),
+        F.count("*").alias("n"),
+    )
     days = by_hour.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("hour", "m"))).alias("m"))
-    stats = scale.join(days, "source").select("source", "scale", (F.col("q")[2] - F.col("q")[0]).alias("spread"), F.expr("transform(sequence(0, 23), h -> coalesce(m[h], q[1]))").alias("profile"))
-    stats = written(stats.join(counts, "source"), "source-stats")
+    profile = F.expr("transform(sequence(0, 23), h -> coalesce(m[h], q[1]))").alias("profile")
+    stats = written(scale.join(days, "source").select("source", "n", "scale", (F.col("q")[2] - F.col("q")[0]).alias("spread"), profile), "source-stats")
 
-    sampled = flat.join(stats, "source").filter(F.pmod(F.xxhash64("source", "t", "v"), F.lit(1_000_000)) < F.lit(1_000_000 * 2 * TREES * SAMPLE) / F.col("n")).filter(F.col("n") >= MIN_FIT)
-    models = written(sampled.groupBy("source").applyInPandas(_fit, "source string, model binary"), "forests").join(stats.select("source"), "source", "right")
+    share = F.lit(1_000_000 * 2 * TREES * SAMPLE) / F.col("n")
+    sampled = flat.join(stats, "source").filter((F.pmod(F.xxhash64("source", "t", "v"), F.lit(1_000_000)) < share) & (F.col("n") >= MIN_FIT))
+    models = written(sampled.groupBy("source").applyInPandas(_fit(jump), "source string, model binary"), "forests")
     known = stats.join(models, "source", "left")
     bytes_ = models.agg(F.coalesce(F.sum(F.length("model")), F.lit(0))).first()[0]
     if bytes_ <= MODEL_BROADCAST_BYTES:
         known = F.broadcast(known)
-    return chunks.join(known, "source", "left").mapInPandas(_score(jump, run_min, low, high), "source string, t long, v double, score double, impossible boolean, stuck boolean, spike boolean, times double")
+    columns = "source string, t long, v double, score double, limit double, impossible boolean, stuck boolean, spike boolean, times double"
+    return chunks.join(known, "source", "left").mapInPandas(_score(jump, run_min, low, high), columns)
 
 
 def implausible(readings: DataFrame, source: str, time: str, value: str, key: str, **rules) -> DataFrame:

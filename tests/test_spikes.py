@@ -67,8 +67,9 @@ def test_chunks_change_nothing(spark, monkeypatch):
     for i in range(446, 455):
         items[i][2] = 202.5
     whole = found(spark, items)
-    monkeypatch.setattr(spikes, "CHUNK_ROWS", 150)
-    assert found(spark, items) == whole == {3, 299, 300, 301, 600, 890, *range(446, 455)}
+    for rows_of_a_chunk in (70, 150):
+        monkeypatch.setattr(spikes, "CHUNK_ROWS", rows_of_a_chunk)
+        assert found(spark, items) == whole == {3, 299, 300, 301, 600, 890, *range(446, 455)}
 
 
 def test_every_reading_is_scored(spark):
@@ -79,6 +80,27 @@ def test_every_reading_is_scored(spark):
     assert max(got.values(), key=lambda r: r.score).v == 400.0
 
 
+def test_impossible_readings_are_scored_by_the_forest(spark):
+    items = series("a", 300)
+    items[20][2], items[120][2], items[220][2] = math.nan, -3.0, 2000.0
+    got = [r for r in spikes.score_readings(rows(spark, items), *ARGS).collect()]
+    bad = [r for r in got if r.impossible]
+    assert len(bad) == 3 and all(r.limit <= r.score < 1 for r in bad) and not any(r.spike for r in bad)
+
+
+def test_the_forest_decides_how_far_is_too_far(spark, monkeypatch):
+    items = series("a", 600, seed=4)
+    usual = np.median(np.abs([x[2] - 200.0 for x in items]))
+    mild, wild = (100, 250, 400), (175, 325, 475)
+    for k, times in ((mild, 8.5), (wild, 25)):
+        for i in k:
+            items[i][2] = float(200.0 + times * usual)
+    assert found(spark, items) == set(wild)
+    # Without it the direction alone would take the milder ones too.
+    monkeypatch.setattr(spikes, "forest_score", lambda model, x: np.ones(len(x)))
+    assert found(spark, items) >= {*mild, *wild}
+
+
 def test_empty_and_short(spark):
     assert found(spark, []) == set()
     assert found(spark, [("a", dt.datetime(2025, 1, 1), 200.0)]) == set()
@@ -110,17 +132,11 @@ def test_median_of_windows():
     assert np.allclose(spikes._median_of(w, keep), want, equal_nan=True)
 
 
-def test_halos_cross_stretches_and_gaps(spark, monkeypatch):
-    monkeypatch.setattr(spikes, "HALO", 2)
-    monkeypatch.setattr(spikes, "STRETCH", 3)
-    rng, want, items = np.random.default_rng(3), {}, []
-    for source in ("a", "b", "lone"):
-        chunks = [7] if source == "lone" else sorted({int(c) for c in rng.integers(-40, 40, 30)} | {10_000})
-        held = [[(c * 10 + k, 0, float(k)) for k in range(int(rng.integers(1, 5)))] for c in chunks]
-        items += [(source, c, h[:2], h[-2:]) for c, h in zip(chunks, held)]
-        for j, c in enumerate(chunks):
-            want[source, c] = ([x for h in held[:j] for x in h][-2:], [x for h in held[j + 1 :] for x in h][:2])
-    kind = "array<struct<t:long,o:long,v:double>>"
-    got = spikes._halos(spark.createDataFrame(items, f"source string, chunk long, head {kind}, tail {kind}")).collect()
-    assert len(got) == len(want)
-    assert {(r.source, r.chunk): ([tuple(x) for x in r.early], [tuple(x) for x in r.late]) for r in got} == want
+def test_a_burst_is_cut_into_chunks_of_one_size(spark, monkeypatch):
+    """All readings of an hour and more come within a second; no chunk outgrows its rows and halos."""
+    monkeypatch.setattr(spikes, "CHUNK_ROWS", 100)
+    start = dt.datetime(2025, 10, 1)
+    items = [("a", start + dt.timedelta(microseconds=i), 200.0 + i % 7) for i in range(1000)] + [("a", start + dt.timedelta(days=i), 200.0) for i in range(1, 5)]
+    r = rows(spark, items)
+    chunks = spikes.featured(r.selectExpr("platform source", "unix_micros(cast(at as timestamp)) t", "radiance v", "obs_id o"), 0.0, 500.0, 0.01, 120.0)
+    assert sorted(len(c.t) for c in chunks.collect()) == [4, *[100] * 10]
