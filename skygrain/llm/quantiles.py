@@ -2,14 +2,16 @@
 
 Every group and percentile seeks two neighbouring ranks. In a round each part of the data proposes the median of its values
 still in question with their weight, the weighted median of the proposals becomes the pivot, counts are taken three ways
-(below, equal, above) and the ranks decide which side survives. The rest is discarded, so passes shrink by about half; once
-a group is down to FINISH values, its ranks are read off exactly. The error is 0 whatever the order or number of the parts.
+(below, equal, above) and the ranks decide which side survives. The rest is discarded, so passes shrink by about half, until
+a target has at most HANDFUL values, of which its two ranks are read. Every group goes through the rounds, whatever its
+size; the error is 0 whatever the order or number of the parts.
 
 Input is folded to (group, value, count) first. These tables are the mergeable form: union those of several days, months or
 partitions and select again for the percentiles of all of them together.
 
 Scale: counts combine before the shuffle, proposals are one row per task and group, no group is ever sorted whole, and a
-hot group is spread over all tasks by its values.
+group of many values meets its pivot in parts of about PART_VALUES values, by their hash. The rounds are about the binary
+logarithm of the most distinct values, and each reads half of the one before.
 
 Defined results: null, NaN and infinite values are the caller's to leave out (they are dropped here); groups without values
 have no row; percentiles interpolate linearly between neighbouring values; an empty table gives an empty result.
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skygrain.functions.exprs import finite
-from skygrain.sources.scratch import written
+from skygrain.sources.scratch import new_path, written
 
-#: Distinct values that one task sorts to end a selection; at least 4, as a percentile may lie between two values.
-FINISH, MAX_ROUNDS = 4096, 80
+#: Values left at which a target ends (two, and what weights may leave beside them), and values of a part of a target.
+HANDFUL, PART_VALUES, MAX_ROUNDS = 4, 1_000_000, 200
 
 
 def counts(df: DataFrame, groups: list[str], value: Column) -> DataFrame:
@@ -74,66 +76,88 @@ def _pivots(live: DataFrame) -> DataFrame:
     return half.groupBy("target").agg(F.min("value").alias("pivot"))
 
 
+def _spread(state: DataFrame) -> DataFrame:
+    """state once per part of its target: a target of many values meets its rows in many tasks."""
+    return state.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
+
+def _parts(left) -> Column:
+    return F.ceil(F.greatest(F.lit(1), left) / PART_VALUES).cast("long")
+
+
+def _part(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.col("parts"))
+
+
 def select(table: DataFrame, groups: list[str], percentiles: list[float]) -> DataFrame:
     """(groups, p, value, n): the exact percentile `p` of each group's value counts, linearly interpolated."""
     if not percentiles or not all(0 <= p <= 1 for p in percentiles):
         raise ValueError("percentiles lie between 0 and 1")
-    table = written(table.select(*groups, "value", "n"), "counts")
+    spark, given = table.sparkSession, groups
+    table = table.select(*groups, "value", "n")
+    if not groups:
+        table, groups = table.withColumn("_all", F.lit(True)), ["_all"]
+    table = written(table, "counts")
     sizes = table.groupBy(*groups).agg(F.sum("n").alias("size"), F.count("*").alias("left"))
     ps = F.explode(F.array(*map(F.lit, percentiles))).alias("p")
     targets = sizes.select(*groups, "size", "left", ps).withColumn("rank", F.col("p") * (F.col("size") - 1))
     # A target is a group and a percentile; its id is a hash of both, checked to be unique.
-    targets = written(targets.withColumn("target", F.xxhash64(*groups, "p")), "targets")
+    targets = written(targets.withColumns({"target": F.xxhash64(*groups, "p"), "parts": _parts(F.col("left"))}), "targets")
     seen = targets.agg(F.count("*"), F.count_distinct("target")).first()
     if seen[0] != seen[1]:
         raise ValueError("hash collision between groups")
-    same = [F.col(f"t.{g}").eqNullSafe(F.col(f"v.{g}")) for g in groups]
-    on = same[0] if same else F.lit(True)
-    for c in same[1:]:
-        on = on & c
-    # `low` values lie under those still in question.
-    live = written(table.alias("v").join(targets.select(*groups, "target").alias("t"), on).select("target", "value", "n"), "live-0")
-    state = written(targets.select("target", "rank", F.lit(0).cast("long").alias("low"), "left"), "state-0")
-    done: list[DataFrame] = []
+    if not seen[0]:
+        return targets.select(*given, "p", F.lit(None).cast("double").alias("value"), F.col("size").alias("n"))
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(f"t.{g}").eqNullSafe(F.col(f"v.{g}"))
+    # `low` values lie under those still in question; a part of a target is a share of its values.
+    start = table.alias("v").join(targets.select(*groups, "target", "parts").alias("t"), on)
+    live = written(start.select("target", _part(F.col("value")).alias("part"), "value", "n"), "live-0")
+    state = targets.select("target", "parts", "rank", F.lit(0).cast("long").alias("low"))
+    ended: list[str] = []
     for k in range(1, MAX_ROUNDS + 1):
-        small = state.filter(F.col("left") <= FINISH)
-        done.append(_finish(live.join(small, "target"), small))
-        state = state.filter(F.col("left") > FINISH)
-        if state.isEmpty():
-            break
-        open_ = live.join(state.select("target"), "target", "left_semi")
-        at = open_.join(written(_pivots(open_), f"pivots-{k}"), "target")
         v, pivot = F.col("value"), F.col("pivot")
         total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-        three = at.groupBy("target", "pivot").agg(total(v < pivot).alias("below"), total(v == pivot).alias("equal"), F.count_if(v < pivot).alias("n_below"), F.count_if(v > pivot).alias("n_above"))
+        at = live.join(_spread(state.select("target", "parts").join(_pivots(live), "target")), ["target", "part"])
+        three = at.groupBy("target", "pivot").agg(
+            total(v < pivot).alias("below"), total(v == pivot).alias("equal"), F.count_if(v < pivot).alias("n_below"), F.count_if(v > pivot).alias("n_above")
+        )
         under, low, high = F.col("low") + F.col("below"), F.floor("rank"), F.ceil("rank")
         upto = under + F.col("equal")
         # The pivot is a value of its target: both ranks are the pivot's, or lie up to it, or from it. Beside another value
         # it stays with the one copy that a rank may need, so a value of more than half the weight can't stop the search.
-        state = state.join(three, "target").withColumn("side", F.when((low >= under) & (high < upto), 0).when(high < upto, -1).otherwise(1))
+        sides = state.drop("parts").join(three, "target").withColumn("side", F.when((low >= under) & (high < upto), 0).when(high < upto, -1).otherwise(1))
         at_, down = F.col("side") == 0, F.col("side") == -1
-        state = state.withColumn("keep", F.when(at_, F.col("equal")).when(down, F.greatest(F.lit(0), high + 1 - under)).otherwise(F.greatest(F.lit(0), upto - low)))
-        state = state.select(
-            "target", "rank", "pivot", "side", "keep", F.when(at_, under).when(down, F.col("low")).otherwise(upto - F.col("keep")).alias("low"),
-            F.when(at_, 1).when(down, F.col("n_below") + 1).otherwise(F.col("n_above") + 1).alias("left"),
-        )
-        state = written(state, f"state-{k}")
-        kept = live.join(state.select("target", "pivot", "side", "keep"), "target").filter("case side when 0 then value = pivot when -1 then value <= pivot else value >= pivot end")
+        keep = F.when(at_, F.col("equal")).when(down, F.greatest(F.lit(0), high + 1 - under)).otherwise(F.greatest(F.lit(0), upto - low))
+        left = F.when(at_, 1).when(down, F.col("n_below") + 1).otherwise(F.col("n_above") + 1)
+        sides = sides.withColumns({"keep": keep, "left": left}).select(
+            "target", "rank", "pivot", "side", "keep", "left", F.when(at_, under).when(down, F.col("low")).otherwise(upto - F.col("keep")).alias("low")
+        )
+        # The old parts meet the rows as they are, the new ones follow from the values left.
+        both = state.select("target", F.col("parts").alias("old")).join(sides, "target").withColumn("parts", _parts(F.col("left")))
+        state = written(both.withColumn("ends", F.col("left") <= HANDFUL), f"state-{k}")
+        asked = _spread(state.withColumnsRenamed({"parts": "new", "old": "parts"})).drop("parts").withColumnRenamed("new", "parts")
+        kept = live.join(asked, ["target", "part"]).filter("case side when 0 then value = pivot when -1 then value <= pivot else value >= pivot end")
         kept = kept.withColumn("n", F.when(v == pivot, F.col("keep")).otherwise(F.col("n"))).filter("n > 0")
-        live = written(kept.select("target", "value", "n"), f"live-{k}")
-        state = state.select("target", "rank", "low", "left")
+        path = new_path(spark, f"live-{k}")
+        kept.select("target", _part(v).alias("part"), "value", "n", "rank", "low", "ends").write.partitionBy("ends").parquet(path)
+        n_ended, n_open = state.agg(F.count_if("ends"), F.count_if(~F.col("ends"))).first()
+        if n_ended:
+            ended.append(f"{path}/ends=true")
+        if not n_open:
+            break
+        live = spark.read.schema(live.schema).parquet(f"{path}/ends=false")
+        state = state.filter(~F.col("ends")).select("target", "parts", "rank", "low")
     else:
         raise RuntimeError(f"selection did not end in {MAX_ROUNDS} rounds")
-    values = done[0]
-    for d in done[1:]:
-        values = values.unionByName(d)
-    return targets.join(values, "target").select(*groups, "p", "value", F.col("size").alias("n"))
+    values = _placed(spark.read.schema("target long, value double, n long, rank double, low long").parquet(*ended))
+    return targets.join(values, "target").select(*given, "p", "value", F.col("size").alias("n"))
 
 
-def _finish(live: DataFrame, small: DataFrame) -> DataFrame:
-    """(target, value) of targets with at most FINISH distinct values left: a bounded sort per target."""
-    upto = Window.partitionBy("target").orderBy("value")
-    placed = live.withColumn("end", F.col("low") + F.sum("n").over(upto))
+def _placed(last: DataFrame) -> DataFrame:
+    """(target, value) from the handful of values that each target is left with."""
+    placed = last.withColumn("end", F.col("low") + F.sum("n").over(Window.partitionBy("target").orderBy("value")))
     at = lambda r: F.min(F.when(F.col("end") > r, F.col("value")))
     found = placed.groupBy("target", "rank").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"))
     return found.select("target", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("value"))

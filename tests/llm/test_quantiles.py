@@ -33,16 +33,36 @@ def rows(seed=0):
     return out
 
 
-@pytest.mark.parametrize("finish", [40, 4096])
-def test_against_numpy(spark, monkeypatch, finish):
-    monkeypatch.setattr(quantiles, "FINISH", finish)
+def test_against_numpy(spark):
     check(spark, rows())
 
 
-def test_parts_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "FINISH", 60)
-    for parts in (1,):
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_parts_change_nothing(spark, monkeypatch, parts):
+    """Equal results whatever the number of parts that propose medians, and of those that a target's values are in."""
+    if parts == 3:
+        monkeypatch.setattr(quantiles, "PART_VALUES", 40)
+    proposals = []
+    kept = quantiles._pivots
+    monkeypatch.setattr(quantiles, "_pivots", lambda live: proposals.append(live.rdd.getNumPartitions()) or kept(live))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 27 if parts == 1 else 1000)
         check(spark, rows(1), parts)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert len(proposals) > 4 and (proposals[0] >= parts if parts > 1 else max(proposals) == 1)
+
+
+def test_small_groups_go_through_the_rounds(spark, monkeypatch):
+    rounds = []
+    kept = quantiles._pivots
+    monkeypatch.setattr(quantiles, "_pivots", lambda live: rounds.append(1) or kept(live))
+    check(spark, [("a", float(v)) for v in range(50)])
+    assert len(rounds) >= 4
 
 
 def test_days_join(spark):
