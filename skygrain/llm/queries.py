@@ -37,7 +37,7 @@ def _folds(spark: SparkSession, sf_dir: str):
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, place, day = _folds(spark, sf_dir)
-    return splits.divided(f, "space", place, F.col("space_fold")).unionByName(splits.divided(f, "time", day, F.col("time_fold")))
+    return splits.divided(f, {"space": (place, F.col("space_fold")), "time": (day, F.col("time_fold"))})
 
 
 P5_WEIGHTS = {"train": 0.8, "validation": 0.1, "test": 0.1}

@@ -72,8 +72,24 @@ def test_shares(spark):
 
 def test_divided(spark):
     rows = [(1, "p", "0"), (2, "p", "1"), (3, "q", "0"), (4, "q", "0"), (5, "r", None), (6, "r", "1"), (7, None, "0"), (8, None, "1"), (9, "p", "1")]
-    got = splits.divided(records(spark, rows), "place", {"key": F.col("author")}, F.col("source")).collect()
-    assert [tuple(r) for r in got] == [("place", "p")]
+    got = splits.divided(records(spark, rows), {"place": ({"key": F.col("author")}, F.col("source")), "letter": ({"key": F.col("source")}, F.col("author"))}).collect()
+    assert sorted(tuple(r) for r in got) == [("letter", "0"), ("letter", "1"), ("place", "p")]
+
+
+def test_a_giant_component_is_even_work(spark, monkeypatch):
+    """A node of 10^5 members: its rows meet its least member where they are, in all tasks alike."""
+    monkeypatch.setattr(splits, "HOT_ROWS", 1000)
+    n = 100_000
+    cluster = spark.range(n, numPartitions=8).select(F.lit(0).cast("long").alias("v"), F.col("id").alias("u"))
+    cluster = cluster.unionByName(spark.range(5, numPartitions=1).select((F.col("id") + n).alias("v"), F.lit(n).cast("long").alias("u")))
+    least = cluster.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("c"))
+    got = splits._with_least(cluster, least)
+    assert got.count() == n + 5 and got.filter("v = 0 and m = 0").count() == n
+    per_task = [r["count"] for r in got.filter("v = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(per_task) >= 8 and max(per_task) <= 2 * n / 8
+    star = [(0, i) for i in range(1, 5000)] + [(10_000 + i, 10_001 + i) for i in range(20)]
+    of = {r.node: r.component for r in splits.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert of == union_find(star)
 
 
 def test_a_hot_entity(spark):
@@ -85,4 +101,4 @@ def test_a_hot_entity(spark):
 def test_empty(spark):
     assert split(spark, []) == []
     assert splits.components(spark.createDataFrame([], "a long, b long")).count() == 0
-    assert splits.divided(records(spark, []), "p", {"key": F.col("author")}, F.col("source")).count() == 0
+    assert splits.divided(records(spark, []), {"p": ({"key": F.col("author")}, F.col("source"))}).count() == 0
