@@ -90,7 +90,8 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mix(spark: SparkSession, sf_dir: str):
     targets = table(spark, sf_dir, "mix_targets")
     listed = targets.filter("source is not null").select("source").distinct()
-    return mixing.schedule(mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source", listed), targets)
+    sizes = mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source", listed)
+    return *mixing.schedule(sizes, targets), sizes
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +99,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(*_mix(spark, sf_dir))
+    plan, slots, _ = _mix(spark, sf_dir)
+    return mixing.report(plan, slots)
 
 
 def p9_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, taken, docs = _mix(spark, sf_dir)
-    return mixing.drawn(taken, docs)
+    return mixing.drawn(*_mix(spark, sf_dir))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
