@@ -6,9 +6,11 @@ that holds a third of all rows is spread over the state partitions. The watermar
 no left record can still reach are evicted, and a left row leaves, with the nearest of its candidates, once the watermark
 has passed its tolerance horizon.
 
-The replay is cut into slices of about SLICE rows by time. A slice is one micro-batch, and slices come in order, so state
-holds a slice and a tolerance, and no row is late whatever the order of the tables' files. Rows go to the stream's folder in
-`spark.checkpoint.dir`, where state and results are kept as well; a lost executor is recovered from there.
+The replay is cut by time into slices of about ROWS_PER_CORE rows per core of the cluster, so a larger cluster takes a larger
+table in as many micro-batches. A slice is one micro-batch, and slices come in order, so state holds a slice and a
+tolerance, and no row is late whatever the order of the tables' files. Borders come from a running total over the counts of
+spans of time, as a table that rows are joined with. Rows go to the stream's folder in `spark.checkpoint.dir`, where state
+and results are kept as well; a lost executor is recovered from there.
 
 Defined results: rows with null entity or time, and right rows that `right` doesn't hold at all, match nothing; entities are
 equal as given (normalise before); of equally near right rows the smaller key wins; repeated rows are rows of their own, and
@@ -21,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skygrain.functions.exprs import micros
-from skygrain.sources.scratch import new_path
+from skygrain.functions.prefix import running_total
+from skygrain.sources.scratch import new_path, written
 
-CELLS_OF, SLICE = 16, 500_000
+CELLS_OF, SPAN_CELLS, ROWS_PER_CORE = 16, 64, 100_000
 LAST = 253402300000000000  # a time after all others: moves the watermark past the last row
 
 
@@ -48,20 +51,17 @@ def events(left: DataFrame, right: DataFrame, tolerance_us: int) -> DataFrame:
     return one.unionByName(two)
 
 
-def _staged(every: DataFrame, path: str) -> int:
-    """Writes the rows by slice of time and says how many slices there are."""
-    stats = every.groupBy(F.floor(F.col("t") / 3_600_000_000).alias("hour")).agg(F.count("*").alias("c"))
-    total = stats.agg(F.sum("c")).first()[0] or 0
-    n = max(1, -(-total // SLICE))
-    # Borders at equal counts, from counts by hour; a slice differs from another by an hour's rows at most.
-    cuts = stats.agg(F.percentile("hour", F.array(*[F.lit(i / n) for i in range(1, n)]), F.col("c"))).first()[0] if n > 1 and total else []
-    border = F.lit(0)
-    for c in cuts:
-        border = border + (F.col("t") >= F.lit(int(c) * 3_600_000_000)).cast("int")
-    out = every.withColumn("slice", border)
-    # Within a slice rows are spread by key; few files, as each is listed by the stream.
-    out.repartition("slice", F.pmod(F.xxhash64("entity", "cell"), F.lit(4))).write.partitionBy("slice", "side").parquet(path)
-    return n
+def _staged(every: DataFrame, span: int, path: str) -> list[int]:
+    """Writes the rows by slice of time; the numbers of the slices that hold any, in order. A slice is whole spans."""
+    cores = every.sparkSession.sparkContext.defaultParallelism
+    at = F.floor(F.col("t") / span).cast("long")
+    counts = written(every.groupBy(at.alias("span")).agg(F.count("*").alias("c")), "span-counts")
+    before = running_total(counts, [], F.floor(F.col("span") / 1024), ["span"], F.col("c"), "before")
+    slices = written(before.select("span", F.floor(F.col("before") / (ROWS_PER_CORE * cores)).alias("slice")), "slices")
+    out = every.withColumn("span", at).join(slices, "span").drop("span")
+    # Within a slice rows are spread by key over as many files as there are cores to read them.
+    out.repartition("slice", F.pmod(F.xxhash64("entity", "cell"), F.lit(cores))).write.partitionBy("slice", "side").parquet(path)
+    return [r["slice"] for r in slices.select("slice").distinct().orderBy("slice").collect()]  # one row per micro-batch
 
 
 def nearest(left: DataFrame, right: DataFrame, tolerance_us: int) -> DataFrame:
@@ -70,8 +70,9 @@ def nearest(left: DataFrame, right: DataFrame, tolerance_us: int) -> DataFrame:
     base = new_path(spark, "asof")
     entity = left.schema["entity"].dataType.simpleString()
     sentinel = spark.range(2).select(F.lit("\u0000last").cast(entity).alias("entity"), F.lit(0).cast("long").alias("cell"), F.lit(LAST).alias("t"), F.lit(-1).cast("long").alias("key"), F.col("id").cast("int").alias("side"))
-    n = _staged(events(left, right, tolerance_us), f"{base}/staged")
-    sentinel.write.partitionBy("side").parquet(f"{base}/staged/slice={n}")
+    slices = _staged(events(left, right, tolerance_us), SPAN_CELLS * CELLS_OF * tolerance_us, f"{base}/staged")
+    slices.append(slices[-1] + 1 if slices else 0)
+    sentinel.write.partitionBy("side").parquet(f"{base}/staged/slice={slices[-1]}")
 
     def stream(side: int) -> DataFrame:
         rows = spark.readStream.schema(f"entity {entity}, cell long, t long, key long").parquet(f"{base}/in/side={side}/*")
@@ -86,7 +87,7 @@ def nearest(left: DataFrame, right: DataFrame, tolerance_us: int) -> DataFrame:
     best = joined.groupBy("l_at", "l_key").agg(F.min(F.struct(gap.alias("gap"), F.col("r_key").alias("k"))).alias("b"))
     query = best.select(F.col("l_key").alias("key"), F.col("b.k").alias("right_key"), F.col("b.gap").alias("gap_us")).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").start(f"{base}/out")
     try:
-        for k in [*range(n), n]:
+        for k in slices:
             for side in (0, 1):
                 _moved(spark, f"{base}/staged/slice={k}/side={side}", f"{base}/in/side={side}/slice={k}")
             query.processAllAvailable()

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skygrain.llm import asof_stream
 
@@ -44,13 +45,24 @@ def test_against_brute_force(spark):
 
 def test_many_slices(spark, monkeypatch):
     """Small slices move the watermark with every batch; no row may be lost at a slice's border."""
-    monkeypatch.setattr(asof_stream, "SLICE", 120)
+    monkeypatch.setattr(asof_stream, "ROWS_PER_CORE", 120 // spark.sparkContext.defaultParallelism)
     left, right = random_rows(2)
     spaced = lambda rows: [(e, t and t + (k % 7) * 3_600_000_000, k) for e, t, k in rows]
     left, right = spaced(left), spaced(right) + right
     assert run(spark, left, right) == brute(left, right)
 
 
+def test_slices_grow_with_the_cluster(spark, monkeypatch, tmp_path):
+    """Borders lie at equal counts; as many rows per core give as many slices."""
+    every = spark.range(4000).select(F.lit("a").alias("entity"), F.lit(0).cast("long").alias("cell"), (F.col("id") * 1000).alias("t"), F.col("id").alias("key"), F.lit(0).alias("side"))
+    cores = spark.sparkContext.defaultParallelism
+    for k, rows in enumerate((every, every.unionByName(every))):
+        monkeypatch.setattr(asof_stream, "ROWS_PER_CORE", rows.count() // (4 * cores))
+        slices = asof_stream._staged(rows, 50_000, str(tmp_path / str(k)))
+        sizes = [spark.read.parquet(str(tmp_path / str(k) / f"slice={s}")).count() for s in slices]
+        assert len(slices) in (4, 5) and max(sizes) <= rows.count() / 4 + 100 and sum(sizes) == rows.count()
+
+
 @pytest.mark.parametrize("left,right", [([], []), ([("a", 1, 1)], []), ([], [("a", 1, 1)])])
 def test_empty(spark, left, right):
     assert run(spark, left, right) == {}
