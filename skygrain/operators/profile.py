@@ -1,12 +1,19 @@
-"""Column profiles per load, with character-class masks of the values.
+"""Column profiles per load, with character-class masks of the values and their distribution held against other loads.
 
-Every row is unpivoted into its columns and aggregated to (load, column, mask) with partial aggregation, so a load that
-holds a third of the rows arrives as a few small rows per task. Masks generalise a value: digits become 9, lower-case
-letters a, upper-case letters A, other letters @; in long texts a run of one class is written once. Numbers have the mask
-of their sign, their digits before the point and whether any follow it.
+Masks generalise a value: digits become 9, lower-case letters a, upper-case letters A, other letters @; in long texts a run
+of one class is written once. Numbers have the mask of their sign, their digits before the point and whether any follow it,
+and beside it a band: how many of the column's usual quantiles they exceed. Missing values are a class of their own.
 
-A load's mask distribution is held against the column's distribution over the other loads by Jensen-Shannon divergence
-(base 2, 0 to 1), and the masks that are rare in the column are counted as violations.
+Two passes over the table: one wide aggregate per load gives all counts, ranges, moments and sketches without unpivoting
+anything; the other counts (load, column, mask, band) with partial aggregation, so a load that holds a third of the rows
+arrives as a few small rows per task.
+
+A load's distribution over masks and bands is held against that of the other loads by Jensen-Shannon divergence (base 2, 0
+to 1); missing shares, zeros, signs, ranges, levels, spreads, values that recur and text forms all move it, so the
+divergence alone says which loads broke a column. Masks that are rare in the column are counted as violations.
+
+Errors: quantiles are sketches of accuracy 2,000 (rank error 1/2,000), distinct counts have a standard error of 2 %; all
+other figures are exact.
 
 Defined results: null, NaN and infinite numbers are missing; null strings are missing, empty strings have the empty mask;
 a null load is a load of its own; an empty table gives an empty profile; columns absent from the table are an error.
@@ -25,6 +32,8 @@ from skygrain.sources.scratch import written
 RARE_SHARE = 0.005
 MISSING_MASK = "<missing>"
 MASK_CHARS = 64
+#: Quantiles of the profile, whose usual values part a column's numbers into bands.
+BANDS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 def mask(text: Column) -> Column:
@@ -36,116 +45,153 @@ def mask(text: Column) -> Column:
     return F.when(F.length(m) <= MASK_CHARS, m).otherwise(F.regexp_replace(m, r"([9aA@])\1+", "$1+"))
 
 
+def _form(x: Column) -> Column:
+    """A number's mask as a whole number: (digits before the point, whether any follow, sign); -1 for null."""
+    whole = F.floor(F.abs(x))
+    digits = F.when(whole < 1, F.lit(0)).otherwise(F.floor(F.log10(whole) + F.lit(1e-12)) + 1).cast("int")
+    more = (whole * F.signum(x) != x).cast("int")
+    return F.when(x.isNull(), F.lit(-1)).otherwise((digits * 2 + more) * 3 + F.signum(x).cast("int") + 1)
+
+
+def _form_text(form: Column) -> Column:
+    sign, more, digits = form % 3 - 1, F.floor(form / 3) % 2, F.floor(form / 6).cast("int")
+    whole = F.when((digits == 0) & (more == 0), "zero").when(digits == 0, "0").otherwise(F.repeat(F.lit("9"), digits))
+    return F.when(form >= 0, F.concat(F.when(sign < 0, "-").otherwise(""), whole, F.when(more == 1, ".9").otherwise("")))
+
+
 def number_mask(x: Column) -> Column:
     """Mask of a number's form: its sign, the digits before the point, and whether any follow it."""
-    whole = F.floor(F.abs(x))
-    digits = F.when(whole < 1, F.lit("0")).otherwise(F.repeat(F.lit("9"), (F.floor(F.log10(whole) + F.lit(1e-12)) + 1).cast("int")))
-    return F.concat(F.when(x < 0, "-").otherwise(""), F.when(x == 0, "zero").otherwise(digits), F.when(x == whole * F.signum(x), "").otherwise(".9"))
+    return _form_text(_form(x))
+
+
+def _number(c: str) -> Column:
+    return F.when(finite(F.col(c)), F.col(c).cast("double"))
+
+
+def figures(df: DataFrame, load: str, numeric: list[str], text: list[str] = ()) -> DataFrame:
+    """One row per load and column: counts, range, moments, quantiles q and distinct values, in one pass."""
+    parts = []
+    for c in [*numeric, *text]:
+        x = _number(c) if c in numeric else F.lit(None).cast("double")
+        here = x if c in numeric else F.col(c)
+        parts.append(
+            F.struct(
+                F.lit(c).alias("column_name"), F.count(here).alias("n_here"), F.count_if(x == 0).alias("n_zero"), F.count_if(x < 0).alias("n_negative"),
+                F.count_if(x > 0).alias("n_positive"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                F.percentile_approx(x, F.array(*map(F.lit, BANDS)), 2000).alias("q"), F.approx_count_distinct(here, 0.02).alias("n_distinct"),
+            )
+        )
+    wide = df.groupBy(F.col(load).alias("load_id")).agg(F.count("*").alias("n"), *[p.alias(f"_{i}") for i, p in enumerate(parts)])
+    return wide.select("load_id", "n", F.explode(F.array(*[f"_{i}" for i in range(len(parts))])).alias("p")).select("load_id", "n", "p.*")
+
 
+def usual_cuts(fig: DataFrame) -> dict[str, list[float]]:
+    """Per numeric column the median over the loads of each quantile: a few numbers a column."""
+    mid = fig.filter("q is not null").groupBy("column_name").agg(*[F.median(F.col("q")[i]).alias(f"c{i}") for i in range(len(BANDS))])
+    return {r["column_name"]: sorted({r[f"c{i}"] for i in range(len(BANDS))}) for r in mid.collect()}
 
-def unpivoted(df: DataFrame, load: str, numeric: list[str], text: list[str]) -> DataFrame:
-    """Columns load_id, column_name, x (finite number or null), mask, h (hash of the value), gone (missing)."""
-    parts = [F.struct(F.lit(c).alias("column_name"), F.when(finite(F.col(c)), F.col(c).cast("double")).alias("x"), F.lit(None).cast("string").alias("s")) for c in numeric]
-    parts += [F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("x"), F.col(c).cast("string").alias("s")) for c in text]
-    flat = df.select(F.col(load).alias("load_id"), F.explode(F.array(*parts)).alias("p")).select("load_id", "p.*")
-    form = F.coalesce(mask(F.col("s")), number_mask(F.col("x")), F.lit(MISSING_MASK))
-    return flat.select("load_id", "column_name", "x", form.alias("mask"), F.xxhash64("x", "s").alias("h"), (F.col("x").isNull() & F.col("s").isNull()).alias("gone"))
+
+def by_mask(df: DataFrame, load: str, numeric: list[str], text: list[str], cuts: dict[str, list[float]]) -> DataFrame:
+    """(load_id, column_name, mask, band, n), missing values under MISSING_MASK."""
+    out, at = None, F.col(load).alias("load_id")
+    if numeric:
+        band = lambda c: sum(((_number(c) > k).cast("int") for k in cuts.get(c, [])), F.lit(0))
+        parts = [F.struct(F.lit(c).alias("column_name"), _form(_number(c)).alias("form"), F.coalesce(band(c), F.lit(0)).alias("band")) for c in numeric]
+        n = df.select(at, F.explode(F.array(*parts)).alias("p")).select("load_id", "p.*").groupBy("load_id", "column_name", "form", "band").agg(F.count("*").alias("n"))
+        out = n.select("load_id", "column_name", F.coalesce(_form_text(F.col("form")), F.lit(MISSING_MASK)).alias("mask"), "band", "n")
+    if text:
+        parts = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("s")) for c in text]
+        flat = df.select(at, F.explode(F.array(*parts)).alias("p")).select("load_id", "p.column_name", F.coalesce(mask(F.col("p.s")), F.lit(MISSING_MASK)).alias("mask"))
+        n = flat.groupBy("load_id", "column_name", "mask").agg(F.count("*").alias("n")).select("load_id", "column_name", "mask", F.lit(0).alias("band"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a.load_id.eqNullSafe(b.load_id) & (a.column_name == b.column_name)
 
 
 def profile(df: DataFrame, load: str, numeric: list[str], text: list[str] = ()) -> DataFrame:
     """One row per load and column: counts, rates, range, moments, quantiles, distinct values, masks and their divergence."""
-    flat = unpivoted(df, load, list(numeric), list(text))
-    x, here = F.col("x"), ~F.col("gone")
-    # Masks are few, so the first aggregation leaves little; the profile and the masks both follow from it.
-    by_mask = flat.groupBy("load_id", "column_name", "mask").agg(
-        F.count("*").alias("n"), F.count_if(here).alias("n_here"), F.count_if(x == 0).alias("n_zero"), F.count_if(x < 0).alias("n_negative"), F.count_if(x > 0).alias("n_positive"),
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("x").alias("s1"), F.sum(x * x).alias("s2"),
-    )
-    by_mask = written(by_mask, "masks")
-    # Sketches of bounded size; both merge over tasks and loads.
-    spread = flat.filter(here).groupBy("load_id", "column_name").agg(F.percentile_approx("x", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))), 2000).alias("q"), F.approx_count_distinct("h", 0.02).alias("n_distinct"))
-    total = lambda c: F.sum(c).alias(c)
-    sums = by_mask.groupBy("load_id", "column_name").agg(*map(total, ("n", "n_here", "n_zero", "n_negative", "n_positive", "s1", "s2")), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    out = sums.join(spread, sums.load_id.eqNullSafe(spread.load_id) & (sums.column_name == spread.column_name), "left").select(sums["*"], "q", "n_distinct")
-    forms = mask_divergence(by_mask)
-    out = out.join(forms, out.load_id.eqNullSafe(forms.load_id) & (out.column_name == forms.column_name), "left").select(out["*"], "n_masks", "n_rare", "divergence", "dominant_mask")
-    n, mean = F.col("n_here"), F.col("s1") / F.col("n_here")
+    numeric, text = list(numeric), list(text)
+    fig = written(figures(df, load, numeric, text), "figures")
+    forms = mask_divergence(written(by_mask(df, load, numeric, text, usual_cuts(fig)), "masks"))
+    out = fig.join(forms, _same(fig, forms), "left").select(fig["*"], "n_classes", "n_masks", "n_rare", "divergence", "dominant_mask")
+    n = F.col("n_here")
     ratio = lambda a, b: F.when(b > 0, a / b)
     return out.select(
         "load_id", "column_name", F.col("n").alias("n_rows"), (F.col("n") - n).alias("n_missing"), (1 - n / F.col("n")).alias("missing_rate"), n.alias("n_non_missing"), "n_zero",
-        ratio(F.col("n_zero"), n).alias("zero_rate_non_missing"), "n_negative", "n_positive", F.col("lo").alias("min"), F.col("hi").alias("max"),
-        F.when(n > 0, mean).alias("mean"), F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - n * mean * mean) / (n - 1)))).alias("std"), "q",
-        F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "n_masks", ratio(F.col("n_rare"), F.col("n")).alias("rare_rate"), "divergence", "dominant_mask",
+        ratio(F.col("n_zero"), n).alias("zero_rate_non_missing"), "n_negative", "n_positive", "min", "max", "mean", "std", "q", "n_distinct", "n_classes",
+        F.coalesce("n_masks", F.lit(0)).alias("n_masks"), ratio(F.coalesce("n_rare", F.lit(0)), F.col("n")).alias("rare_rate"), "divergence", "dominant_mask",
     )
 
 
-def mask_divergence(by_mask: DataFrame) -> DataFrame:
-    """Per load and column: masks, rows of rare masks, the dominant mask, divergence from the other loads together."""
-    load, column = Window.partitionBy("load_id", "column_name"), Window.partitionBy("column_name")
-    every = by_mask.filter(F.col("mask") != MISSING_MASK)
-    # Masks of one column over all loads: as many rows as masks, joined back to the loads' own.
-    overall = every.groupBy("column_name", "mask").agg(F.sum("n").alias("all_n")).withColumn("all_total", F.sum("all_n").over(column))
-    per = every.withColumn("total", F.sum("n").over(load)).join(overall, ["column_name", "mask"])
-    p, q = F.col("n") / F.col("total"), F.when(F.col("all_total") > F.col("total"), (F.col("all_n") - F.col("n")) / (F.col("all_total") - F.col("total"))).otherwise(F.lit(None))
-    per = per.withColumns({"p": p, "q": F.coalesce(q, p)}).withColumn("m", (F.col("p") + F.col("q")) / 2)
+def mask_divergence(masks: DataFrame) -> DataFrame:
+    """Per load and column: divergence from the other loads together over masks and bands, masks, rows of rare masks, dominant mask."""
+    if "band" not in masks.columns:
+        masks = masks.withColumn("band", F.lit(0))
+    load, column, kind = Window.partitionBy("load_id", "column_name"), Window.partitionBy("column_name"), ["column_name", "mask", "band"]
+    # Classes of one column over all loads: as many rows as classes, joined back to the loads' own.
+    overall = masks.groupBy(*kind).agg(F.sum("n").alias("all_n")).withColumn("all_total", F.sum("all_n").over(column))
+    per = masks.withColumn("total", F.sum("n").over(load)).join(overall, kind)
+    p, rest = F.col("n") / F.col("total"), F.col("all_total") - F.col("total")
+    per = per.withColumns({"p": p, "q": F.coalesce(F.when(rest > 0, (F.col("all_n") - F.col("n")) / rest), p)}).withColumn("m", (F.col("p") + F.col("q")) / 2)
     part = lambda a: F.when(F.col(a) > 0, F.col(a) * F.log2(F.col(a) / F.col("m"))).otherwise(0.0)
-    # Masks that only other loads have add half their share each: 1 less the shares q that are met here.
-    return per.groupBy("load_id", "column_name").agg(
-        F.count("*").alias("n_masks"), F.sum(F.when(F.col("all_n") < RARE_SHARE * F.col("all_total"), F.col("n")).otherwise(0)).alias("n_rare"),
-        F.greatest(F.lit(0.0), (F.sum(part("p")) + F.sum(part("q")) + (1 - F.sum("q"))) / 2).alias("divergence"), F.max_by("mask", F.struct("n", "mask")).alias("dominant_mask"),
-    )
+    # Classes that only other loads have add half their share each: 1 less the shares q that are met here.
+    both = (F.sum(part("p")) + F.sum(part("q")) + (1 - F.sum("q"))) / 2
+    far = per.groupBy("load_id", "column_name").agg(F.count("*").alias("n_classes"), F.greatest(F.lit(0.0), both).alias("divergence"))
+    own = masks.filter(F.col("mask") != MISSING_MASK).groupBy("load_id", "column_name", "mask").agg(F.sum("n").alias("n"))
+    known = own.join(_rare(own), ["column_name", "mask"], "left")
+    forms = known.groupBy("load_id", "column_name").agg(
+        F.count("*").alias("n_masks"), F.sum(F.when(F.col("column_share").isNotNull(), F.col("n")).otherwise(0)).alias("n_rare"), F.max_by("mask", F.struct("n", "mask")).alias("dominant_mask")
+    )
+    return far.join(forms, _same(far, forms), "left").select(far["*"], "n_masks", "n_rare", "dominant_mask")
+
+
+def _rare(own: DataFrame) -> DataFrame:
+    """(column_name, mask, column_share) of the masks that are rare in their column."""
+    overall = own.groupBy("column_name", "mask").agg(F.sum("n").alias("all_n"))
+    return overall.withColumn("column_share", F.col("all_n") / F.sum("all_n").over(Window.partitionBy("column_name"))).filter(F.col("column_share") < RARE_SHARE).drop("all_n")
 
 
 def mask_violations(df: DataFrame, load: str, numeric: list[str], text: list[str] = ()) -> DataFrame:
     """Rare masks of each column with the loads that hold them (load_id, column_name, mask, n, column_share)."""
-    per = unpivoted(df, load, list(numeric), list(text)).filter(F.col("mask") != MISSING_MASK).groupBy("load_id", "column_name", "mask").agg(F.count("*").alias("n"))
-    per = written(per, "masks")
-    overall = per.groupBy("column_name", "mask").agg(F.sum("n").alias("all_n")).withColumn("column_share", F.col("all_n") / F.sum("all_n").over(Window.partitionBy("column_name")))
-    return per.join(overall.filter(F.col("column_share") < RARE_SHARE), ["column_name", "mask"]).select("load_id", "column_name", "mask", "n", "column_share")
+    per = written(by_mask(df, load, list(numeric), list(text), {}).filter(F.col("mask") != MISSING_MASK).drop("band"), "masks")
+    return per.join(_rare(per), ["column_name", "mask"]).select("load_id", "column_name", "mask", "n", "column_share")
+
 
+#: A load breaks a column if the divergence of its masks lies farther from the column's median than this, than `times`
+#: typical deviations, and than what a sample of its size may show: about a quarter of its classes over its rows.
+LEAST_DIVERGENCE = 0.015
+#: Figures that say in what a broken column is off: the least distance from the column's median that counts.
+SHARES = {"missing_rate": 0.05, "zero_share": 0.05, "negative_share": 0.05, "rare_rate": 0.02}
 
-#: What a load is held against: a signal of the profile, the least distance from the column's median over the loads that
-#: counts at all (absolute, or as a share of the column's own spread), and the number of typical deviations beyond it.
-#: Sampling noise of shares falls with the rows of a load, hence the binomial term in `shifts`.
-SHARES = {"missing_rate": 0.05, "zero_share": 0.08, "negative_share": 0.05, "rare_rate": 0.05}
 
+def shifts(profiles: DataFrame, times: float = 6.0) -> DataFrame:
+    """Loads whose column lies far outside what it shows in the other loads (load_id, column_name, divergence, signals).
 
-def shifts(profiles: DataFrame, times: float = 12.0) -> DataFrame:
-    """Loads whose column lies far outside what it shows in the other loads (load_id, column_name, signals)."""
+    The divergence of masks decides; `signals` names the figures that are off, `text_form` where none of them is.
+    """
+    share = lambda c: F.coalesce(F.col(c) / F.when(F.col("n_non_missing") > 0, F.col("n_non_missing")), F.lit(0.0))
     p = profiles.withColumns(
         {
-            "zero_share": F.coalesce("zero_rate_non_missing", F.lit(0.0)),
-            "negative_share": F.coalesce(F.col("n_negative") / F.when(F.col("n_non_missing") > 0, F.col("n_non_missing")), F.lit(0.0)),
-            "rare_rate": F.coalesce("rare_rate", F.lit(0.0)),
-            "divergence": F.coalesce("divergence", F.lit(0.0)),
-            "distinct": F.log1p("n_distinct"),
-            "distinct_share": F.coalesce(F.col("n_distinct") / F.when(F.col("n_non_missing") > 0, F.col("n_non_missing")), F.lit(0.0)),
-            "level": F.col("q")[2],
-            "wide": F.col("q")[4] - F.col("q")[0],
-            "rows": F.greatest(F.lit(1), F.col("n_rows")).cast("double"),
+            "zero_share": share("n_zero"), "negative_share": share("n_negative"), "rare_rate": F.coalesce("rare_rate", F.lit(0.0)), "divergence": F.coalesce("divergence", F.lit(0.0)),
+            "distinct": share("n_distinct"), "level": F.col("q")[2], "spread": F.col("std"), "range": F.col("max") - F.col("min"),
         }
-    )
-    signals = [*SHARES, "divergence", "distinct", "distinct_share", "level", "wide", "std", "min", "max"]
+    )
+    signals = ["divergence", *SHARES, "distinct", "level", "spread", "range"]
     one = Window.partitionBy("column_name")
     # One row per load and column: the window is as long as there are loads.
     p = p.withColumns({f"{s}_mid": F.median(s).over(one) for s in signals})
     p = p.withColumns({f"{s}_off": F.abs(F.col(s) - F.col(f"{s}_mid")) for s in signals})
-    p = p.withColumns({f"{s}_typical": F.median(f"{s}_off").over(one) for s in signals})
-    far = lambda s, least: F.col(f"{s}_off") > F.greatest(least, F.lit(times) * F.col(f"{s}_typical"))
-    noise = lambda s: F.sqrt(F.greatest(F.col(f"{s}_mid") * (1 - F.col(f"{s}_mid")), F.lit(0.01)) / F.col("rows"))
-    spread, usual = F.greatest(F.col("std_mid"), F.lit(1e-12)), F.col("wide_mid")
-    tests = {s: far(s, F.greatest(F.lit(least), 6 * noise(s))) for s, least in SHARES.items()}
-    tests["divergence"] = far("divergence", F.greatest(F.lit(0.1), 20 / F.col("rows")))
-    # Columns of many values by the share of distinct ones, columns of few by their number.
-    many = F.col("distinct_share_mid") > 0.05
-    tests["distinct"] = F.when(many, far("distinct_share", F.greatest(0.2 * F.col("distinct_share_mid"), 6 * noise("distinct_share")))).otherwise(far("distinct", F.lit(1.2)))
-    # The median of a sample of n scatters by about 1.25 standard deviations over the root of n.
-    tests["level"] = far("level", F.greatest(0.3 * spread, 8 * spread / F.sqrt("rows")))
-    tests["spread"] = far("std", F.greatest(0.3 * spread, 8 * spread / F.sqrt("rows")))
-    # Single extremes are a sample's own; a broken range leaves the usual one by far.
-    tests["range"] = far("max", F.greatest(2.5 * (F.col("max_mid") - F.col("min_mid")), usual)) | far("min", F.greatest(2.5 * (F.col("max_mid") - F.col("min_mid")), usual))
+    p = p.withColumn("typical", F.median("divergence_off").over(one))
+    least = F.greatest(F.lit(LEAST_DIVERGENCE), F.col("n_classes") / (4 * F.col("n_rows")), F.lit(times) * F.col("typical"))
+    broken = p.filter(F.col("divergence_off") > least)
+    tests = {s: F.col(f"{s}_off") > k for s, k in SHARES.items()}
+    tests |= {"distinct": F.col("distinct_off") > 0.2 * F.greatest(F.lit(0.05), F.col("distinct_mid")), "level": F.col("level_off") > 0.3 * F.col("spread_mid")}
+    tests |= {"spread": F.col("spread_off") > 0.3 * F.col("spread_mid"), "range": F.col("range_off") > F.col("range_mid")}
     hits = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests.items()]))
-    return p.select("load_id", "column_name", hits.alias("signals")).filter(F.size("signals") > 0)
+    return broken.select("load_id", "column_name", "divergence", F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("text_form"))).alias("signals"))
 
 
 def wrong_reports(profiles: DataFrame, reports: DataFrame, load: str, column: str, tolerance: float = 0.001) -> DataFrame:

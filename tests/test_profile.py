@@ -62,6 +62,20 @@ def test_broken_columns(spark):
     assert shifted(spark, items) == {("ld01", "temp"), ("ld02", "temp"), ("ld03", "rain"), ("ld04", "file"), ("ld05", "temp")}
 
 
+def test_masks_decide_who_broke_a_column(spark, monkeypatch):
+    """Without a divergence of masks no figure alone makes a shift."""
+    items = loads(spark)
+    for i, x in enumerate(items):
+        if x[0] == "ld02":
+            x[1] += 25
+        if x[0] == "ld07" and i % 12 == 0:
+            x[3] = x[3].replace("_", "-")  # a twelfth of the names
+    assert shifted(spark, items) == {("ld02", "temp"), ("ld07", "file")}
+    kept = profile.mask_divergence
+    monkeypatch.setattr(profile, "mask_divergence", lambda masks: kept(masks).withColumn("divergence", F.lit(0.0)))
+    assert shifted(spark, items) == set()
+
+
 def test_reports(spark):
     p = profile.profile(frame(spark, loads(spark, 2, 100)), "load_id", ["temp", "rain"], [])
     zero = {r.load_id: r.zero_rate_non_missing for r in p.filter("column_name = 'rain'").collect()}
