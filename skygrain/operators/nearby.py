@@ -1,9 +1,9 @@
 """Points near other points, and the regions that contain points, by adaptive coverage with cells.
 
-Each distinct place gets a cover of its surroundings (a disc, a ring, or a polygon's cover for regions): large cells are
-tried first, cells that lie whole inside are kept as interior, cells outside are dropped, and only cells on the boundary are
-cut into smaller ones. Points meet covers in an equi-join on (group, cell). Interior matches are accepted as they are;
-boundary matches alone get the exact test.
+Each distinct place gets a cover of its surroundings (a ring for `pairs_within`), each region one of its polygon
+(`containing`): large cells are tried first, cells that lie whole inside are kept as interior, cells outside are dropped,
+and only cells on the boundary are cut into smaller ones. Points meet covers in an equi-join on (group, cell). Interior
+matches are accepted as they are; boundary matches alone get the exact test.
 
 Cells are squares of about equal size: bands of latitude, each cut into as many cells of longitude as its widest parallel
 holds, so covers stay small near the poles. Work is per distinct place; rows of one place and group fold into one node
@@ -140,7 +140,8 @@ def pairs_within(points: DataFrame, key: str, group: str, lat: str, lon: str, le
     y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
     rows = points.filter(finite(y) & finite(x) & y.between(-90, 90) & F.col(group).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("g"), y.alias("lat"), lon180(x).alias("lon"))
     nodes = written(rows.groupBy("g", "lat", "lon").agg(F.min("k").alias("k"), F.count("*").alias("n")), "nodes")
-    places = nodes.select("lat", "lon").distinct()
+    # Covers are the numpy work, so places go to all cores, whatever their bytes.
+    places = nodes.select("lat", "lon").distinct().repartition(2 * points.sparkSession.sparkContext.defaultParallelism, "lat", "lon")
     covers = places.mapInPandas(_covers(most_km / KM_PER_DEGREE, levels, least_km, most_km), "lat double, lon double, cells array<long>, accept array<long>, test array<long>")
     covers = written(covers, "covers")
     located = nodes.join(covers, ["lat", "lon"])
@@ -160,3 +161,89 @@ def pairs_within(points: DataFrame, key: str, group: str, lat: str, lon: str, le
         one = near.filter(F.col(f"{side}n") == 1).withColumn(f"{side}row", F.col(f"{side}k"))
         near = one.unionByName(near.filter(F.col(f"{side}n") > 1).join(more, f"{side}k"))
     return near.select(F.least("lrow", "rrow").alias(f"left_{key}"), F.greatest("lrow", "rrow").alias(f"right_{key}"))
+
+
+def _crossing(south, north, west, east, edges: np.ndarray) -> np.ndarray:
+    """Which rectangles an edge (y1, x1, y2, x2) may meet: their boxes overlap and the corners are on both sides of its line."""
+    hit = np.zeros(len(south), bool)
+    for y1, x1, y2, x2 in edges:
+        near = (south <= max(y1, y2)) & (north >= min(y1, y2)) & (west <= max(x1, x2)) & (east >= min(x1, x2)) & ~hit
+        if near.any():
+            side = [(x2 - x1) * (y[near] - y1) - (y2 - y1) * (x[near] - x1) for y in (south, north) for x in (west, east)]
+            hit[near] = (np.min(side, axis=0) <= 0) & (np.max(side, axis=0) >= 0)
+    return hit
+
+
+def _inside(lat: np.ndarray, lon: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    odd = np.zeros(len(lat), bool)
+    for y1, x1, y2, x2 in edges:
+        over = (y1 > lat) != (y2 > lat)
+        odd[over] ^= lon[over] < (x2 - x1) * (lat[over] - y1) / (y2 - y1) + x1
+    return odd
+
+
+def polygon_cover(grid: Grid, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell ids, interior flags) of a polygon whose edges may run beyond longitude 180 but span less than a turn."""
+    south, north, west, east = edges[:, [0, 2]].min(), edges[:, [0, 2]].max(), edges[:, [1, 3]].min(), edges[:, [1, 3]].max()
+    low, high = (int(grid.cell(np.array([v]), np.array([0.0]), 0)[0][0]) for v in (south, north))
+    bands, columns = [], []
+    for b in range(low, high + 1):
+        width = 360 / grid.columns[b]
+        c = np.arange(int(np.floor((west + 180) / width)), int(np.floor((east + 180) / width)) + 1)
+        bands.append(np.full(len(c), b))
+        columns.append(c)
+    band, column = np.concatenate(bands), np.concatenate(columns)  # columns count on past 180 degrees
+    ids, inside = [], []
+    for level in range(grid.levels):
+        s, n, w, e = grid.bounds(level, band, column)
+        part = _crossing(s, n, w, e, edges)
+        full = ~part & _inside((s + n) / 2, (w + e) / 2, edges)
+        last = level == grid.levels - 1
+        for keep, flag in ((full, True), *(((part, False),) if last else ())):
+            turn = grid.columns[band[keep] >> level] << level
+            ids.append(grid.pack(level, band[keep], column[keep] % turn))
+            inside.append(np.full(keep.sum(), flag))
+        band = (2 * band[part][:, None] + np.array([0, 0, 1, 1])).ravel()
+        column = (2 * column[part][:, None] + np.array([0, 1, 0, 1])).ravel()
+    ids, inside = np.concatenate(ids), np.concatenate(inside)
+    one, at = np.unique(ids, return_index=True)
+    return one, inside[at]
+
+
+def containing(points: DataFrame, key: str, lat: str, lon: str, regions: DataFrame, region: str, ring: str, size: float = 2.0, levels: int = 5) -> DataFrame:
+    """(key, region): the regions that contain each point.
+
+    `ring` is an array of structs (lat, lon): the corners in order, closed by itself; longitudes of one ring may run beyond
+    180 so that it can cross the date line, but its corners span less than a turn. Edges are straight in degrees; a point on an edge
+    belongs to one side, the same for all. Rings of fewer than three corners contain nothing; null regions and rings are left
+    out. A region's cover has cells of `size` degrees, halved up to `levels` - 1 times along its edges.
+    """
+    grid = Grid(size, levels)
+    name, key_name = regions.schema[region].dataType.simpleString(), key
+    ends = f"zip_with({ring}, concat(slice({ring}, 2, size({ring}) - 1), slice({ring}, 1, 1)), (a, b) -> struct(double(a.lat) as y1, double(a.lon) as x1, double(b.lat) as y2, double(b.lon) as x2))"
+    known = regions.filter(F.col(region).isNotNull() & (F.size(ring) >= 3)).select(F.col(region).alias("region"), F.expr(ends).alias("edges"))
+    known = written(known, "regions")
+
+    def covers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ids, inside = polygon_cover(grid, np.array([[e["y1"], e["x1"], e["y2"], e["x2"]] for e in r.edges], float))
+                yield pd.DataFrame({"region": r.region, "cell": ids, "inside": inside})
+
+    cover = written(known.mapInPandas(covers, f"region {name}, cell long, inside boolean"), "region-covers")
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            y, x = pdf["lat"].to_numpy(), pdf["lon"].to_numpy()
+            own = np.column_stack([grid.pack(k, *grid.cell(y, x, k)) for k in range(levels)]) if len(pdf) else []
+            yield pd.DataFrame({"lat": y, "lon": x, "cells": list(own)})
+
+    y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
+    rows = points.filter(finite(y) & finite(x) & y.between(-90, 90)).select(F.col(key).alias("_key"), y.alias("lat"), lon180(x).alias("lon"))
+    # Rows of one place are tested once.
+    places = rows.select("lat", "lon").distinct().mapInPandas(cells, "lat double, lon double, cells array<long>")
+    met = places.select("lat", "lon", F.explode("cells").alias("cell")).join(cover, "cell")
+    at = "aggregate(edges, 0, (n, e) -> n + if((e.y1 > lat) != (e.y2 > lat) and {x} < (e.x2 - e.x1) * (lat - e.y1) / (e.y2 - e.y1) + e.x1, 1, 0)) % 2 = 1"
+    tested = met.filter("not inside").select("lat", "lon", "region").distinct().join(known, "region").filter(F.expr(at.format(x="lon")) | F.expr(at.format(x="lon + 360")))
+    held = met.filter("inside").select("lat", "lon", "region").distinct().unionByName(tested.select("lat", "lon", "region"))
+    return rows.join(held, ["lat", "lon"]).select(F.col("_key").alias(key_name), F.col("region").alias(region))

@@ -57,7 +57,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearby.pairs_within(table(spark, sf_dir, "clara_era5_merged"), "row_id", "hour", "latitude", "longitude", 1.0, 42.0)
 
 
-QUERIES["p4_found"] = p4_found
+#: Areas of study: corners as (latitude, longitude), one with a bay, one across the date line, one that lies in another.
+AREAS = {
+    "middle": [(35.13, -10.37), (35.13, 40.41), (48.17, 40.41), (48.17, 15.29), (40.63, 12.71), (48.17, 5.33), (48.17, -10.37)],
+    "inner": [(38.61, 0.13), (44.37, 20.77), (37.11, 25.91)],
+    "south": [(-60.13, -70.39), (-5.57, -80.21), (-5.57, 30.87), (-60.13, 60.11)],
+    "date line": [(-40.31, 150.67), (30.43, 140.19), (45.29, 200.53), (-20.71, 230.77)],
+}
+
+
+def p4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas that contain each located row."""
+    rings = ", ".join(f"('{name}', array({', '.join(f'struct({y}D as lat, {x}D as lon)' for y, x in ring)}))" for name, ring in AREAS.items())
+    areas = spark.sql(f"select * from values {rings} as t(area, ring)")
+    return nearby.containing(table(spark, sf_dir, "clara_era5_merged"), "row_id", "latitude", "longitude", areas, "area", "ring")
+
+
+QUERIES |= {"p4_found": p4_found, "p4_regions": p4_regions}
+_EDGES = ", ".join(f"('{name}', {a[0]}::double, {a[1]}::double, {b[0]}::double, {b[1]}::double)" for name, ring in AREAS.items() for a, b in zip(ring, ring[1:] + ring[:1]))
 
 
 _P7 = ("cell_id", "hour", "clara_radiance_hourly_mean", "clara_n_datapoints")
@@ -75,6 +92,10 @@ QUERIES |= {"p7_found": p7_found, "p7_regular": p7_regular}
 
 
 SQL: dict[str, str] = {
+    "p4_regions": f"""with e(area, y1, x1, y2, x2) as (values {_EDGES}),
+ m as (select row_id, latitude::double y, ((longitude::double + 180) - 360 * floor((longitude::double + 180) / 360)) - 180 x from clara_era5_merged where latitude between -90 and 90 and isfinite(longitude)),
+ t as (select row_id, y, x from m union all select row_id, y, x + 360 from m)
+ select distinct row_id, area from (select row_id, x, area from t join e on (y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 group by 1, 2, 3 having count(*) % 2 = 1)""",
     "p4_found": """with m as (select row_id, hour, latitude::double lat, longitude::double lon from clara_era5_merged where latitude between -90 and 90 and isfinite(longitude))
  select a.row_id left_row_id, b.row_id right_row_id from m a join m b on a.hour = b.hour and a.row_id < b.row_id and abs(a.lat - b.lat) < 0.5
  where 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) between 1 and 42""",

@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+import numpy as np
+
 from skygrain.operators import nearby
 
 COLUMNS = "row_id long, hour int, latitude double, longitude double, k string, g int, cell long"
@@ -72,3 +74,39 @@ def test_interior_cells_hold_only_matches():
 
 def test_empty(spark):
     assert pairs(spark, [], 1, 42) == set()
+
+
+def test_regions_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rings = {"star": [(10 + (25 if k % 2 else 8) * np.sin(k * 0.7), 20 + (30 if k % 2 else 9) * np.cos(k * 0.7)) for k in range(9)], "line": [(-20, 170), (35, 165), (20, 215), (-30, 200)], "two": [(0, 0), (1, 1)], "pole": [(80, -170), (89.9, -170), (89.9, 170), (80, 170)]}
+    regions = spark.createDataFrame([(n, [(float(y), float(x)) for y, x in r], 5) for n, r in rings.items()] + [(None, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], 5), ("void", None, 5)], "area string, ring array<struct<lat:double,lon:double>>, lat int")
+    points = [(i, float(np.float32(rng.uniform(-90, 90))), float(np.float32(rng.uniform(-180, 360)))) for i in range(1500)] + [(9000, None, 1.0), (9001, 5.0, float("nan")), (9002, 95.0, 20.0), (9003, 9.0, 21.0), (9003, 9.0, 21.0)]
+    df = spark.createDataFrame([(*p, "clash") for p in points], "id long, y double, x double, region string")
+    got = sorted((r.id, r.area) for r in nearby.containing(df, "id", "y", "x", regions, "area", "ring").collect())
+    want = []
+    for i, y, x in points:
+        if y is None or not np.isfinite(x) or abs(y) > 90:
+            continue
+        x = (x + 180) % 360 - 180
+        for name, ring in rings.items():
+            if len(ring) > 2:
+                edges = np.array([[*a, *b] for a, b in zip(ring, ring[1:] + ring[:1])], float)
+                if any(nearby._inside(np.array([y]), np.array([at]), edges)[0] for at in (x, x + 360)):
+                    want.append((i, name))
+    assert got == sorted(want) and len({n for _, n in want}) == 3
+    assert nearby.containing(df.limit(0), "id", "y", "x", regions, "area", "ring").count() == 0
+
+
+def test_polygon_cover_is_adaptive():
+    """Interior cells hold inside points only, and most of a large region lies in cells that need no test."""
+    grid = nearby.Grid(2.0, 5)
+    edges = np.array([[0, 0, 0, 40], [0, 40, 30, 40], [30, 40, 30, 0], [30, 0, 0, 0]], float) + 0.013
+    ids, inside = nearby.polygon_cover(grid, edges)
+    area = lambda keep: sum(1 / 4.0 ** (int(i) & 7) for i in ids[keep])
+    assert area(inside) > 20 * area(~inside) and len(set((ids & 7).tolist())) > 3
+    rng = np.random.default_rng(1)
+    y, x = rng.uniform(-5, 35, 4000), rng.uniform(-5, 45, 4000)
+    own = [{int(v) for v in c} for c in np.column_stack([grid.pack(k, *grid.cell(y, x, k)) for k in range(5)])]
+    cells, full = set(ids.tolist()), set(ids[inside].tolist())
+    truth = nearby._inside(y, x, edges)
+    assert all(t for c, t in zip(own, truth) if c & full) and all(c & cells for c, t in zip(own, truth) if t)
