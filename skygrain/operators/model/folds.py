@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skygrain.functions.exprs import finite, hours
+from skygrain.functions.prefix import running_total
+from skygrain.operators.stats import melted, percentiles
+
 
 def time_blocks(df: DataFrame, time: str, k: int) -> DataFrame:
     """(time, time_block): contiguous blocks of the distinct times, floor((rank - 1) k / n). One row per distinct time."""
     t = df.filter(F.col(time).isNotNull()).select(time).distinct()
-    w = Window.orderBy(time)
-    return t.select(time, F.floor((F.row_number().over(w) - 1) * k / F.count("*").over(Window.partitionBy(F.lit(0)))).cast("long").alias("time_block"))
+    numbered = running_total(t, [], F.floor(hours(F.col(time)) / 1024), [time], F.lit(1).cast("long"), "_i")
+    n = t.agg(F.count("*").alias("_n"))
+    return numbered.join(F.broadcast(n)).select(time, F.floor(F.col("_i") * k / F.col("_n")).cast("long").alias("time_block"))  # one row
 
 
-def space_blocks(places: DataFrame, lat: str, lon: str, k: int, seeds: int = 5, seed: int = 14122) -> DataFrame:
+def space_blocks(places: DataFrame, lat: str, lon: str, k: int, seeds: int = 5, seed: int = 20) -> DataFrame:
     """places with `space_block`: k-means of unit vectors over distinct places, the best of several seeds."""
     la, lo = F.radians(lat), F.radians(lon)
     p = places.select(lat, lon).distinct().withColumn("_v", array_to_vector(F.array(F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))))
@@ -47,7 +52,8 @@ def metrics(y: Column, p: Column) -> list[Column]:
 
 def medians(train: DataFrame, columns: list[str]) -> DataFrame:
     """One row of exact medians, non-finite values left out; 0 for a column without values."""
-    return train.agg(*[F.coalesce(F.median(F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c).cast("double"))), F.lit(0.0)).alias(f"_m_{c}") for c in columns])
+    m = percentiles(melted(train, [], columns), ["variable"], "value", {"m": 0.5})
+    return m.agg(*[F.coalesce(F.max(F.when(F.col("variable") == c, F.col("m"))), F.lit(0.0)).alias(f"_m_{c}") for c in columns])
 
 
 def imputed(df: DataFrame, fill: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,6 +62,15 @@ def imputed(df: DataFrame, fill: DataFrame, columns: list[str]) -> DataFrame:
     return df.join(F.broadcast(fill)).withColumns({c: F.when(ok(c), F.col(c).cast("double")).otherwise(F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])  # one row
 
 
+def codes_of(train: DataFrame, column: str, most: int = 256) -> list:
+    """The codes of a categorical column, fitted on the training rows; more than `most` are an error."""
+    x = F.col(column)
+    got = sorted(r[0] for r in train.filter(x.isNotNull() & finite(x)).select(x.cast("long")).distinct().limit(most + 1).collect())
+    if len(got) > most:
+        raise ValueError(f"{column} has more than {most} codes")
+    return got
+
+
 def onehot(df: DataFrame, column: str, codes: list[int]) -> DataFrame:
     """0/1 columns for the codes seen in training; other values, and missing ones, have none."""
     return df.withColumns({f"{column}_{k}": F.coalesce((F.col(column) == k).cast("double"), F.lit(0.0)) for k in codes})

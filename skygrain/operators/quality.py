@@ -53,13 +53,17 @@ def calendar(df: DataFrame, day: str, step: str = "1 day") -> DataFrame:
     return ends.select(F.explode(F.expr(f"sequence(a, b, interval {step})")).alias(day))
 
 
-def coverage(days: DataFrame, readings: DataFrame) -> DataFrame:
-    """Per day of the calendar: counts and a status, the first that holds of no rows, dead, nothing located, nothing usable."""
-    out = days.join(readings, "day", "left").fillna(0)
-    status = (
-        F.when(F.col("n_rows") == 0, "no_file").when(F.col("n_nonzero") == 0, "dead_file").when(F.col("n_located") == 0, "no_geolocation").when(F.col("n_valid") == 0, "nothing_usable").otherwise("ok")
-    )
-    return out.withColumn("status", status)
+def coverage(days: DataFrame, group: str, day: str) -> DataFrame:
+    """Per group every day from its first to its last: n_olr, n_geolocated, n_earth_view, n_valid and the first status that holds.
+
+    `days` has these counts and `dead` (nothing but zeros) for the days with rows.
+    """
+    every = days.groupBy(group).agg(F.explode(F.sequence(F.min(day), F.max(day))).alias(day))
+    out = every.join(days, [group, day], "left").fillna(0).fillna({"dead": False})
+    status = F.when(F.col("dead"), "dead_olr")
+    for count, name in (("n_olr", "no_olr"), ("n_geolocated", "no_geolocation"), ("n_earth_view", "no_earth_view"), ("n_valid", "gap_too_large")):
+        status = status.when(F.col(count) == 0, name)
+    return out.withColumn("status", status.otherwise("ok")).drop("dead")
 
 
 def dead_groups(df: DataFrame, group: str, value: str, least: int = 1000) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from skygrain.functions.exprs import finite, haversine_km
 from skygrain.functions.prefix import running_total
+from skygrain.functions.skew import join_hot
+from skygrain.sources.scratch import written
 
 #: Parts between quantiles into which ranks cut a group's distinct values.
 STRETCHES = 128
@@ -32,18 +34,44 @@ def missingness(long: DataFrame, keys: list[str], value: str = "value") -> DataF
     return long.groupBy(*keys, "variable").agg(F.count("*").alias("n_rows"), F.count_if(F.col(value).isNull()).alias("n_missing"))
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Average ranks from counts of distinct values, null values left out.
+def _cumulative(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Written value counts (keys, value, _c) with `_below`, the rows of the group that have a smaller value.
 
-    Values are counted in stretches between quantiles of their group, so a group of many values is many tasks' work.
+    Values are summed in stretches between quantiles of their group, so a group of many values is many tasks' work.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)]), 10 * STRETCHES).alias("_cuts"))
-    counts = counts.join(cuts, keys)
-    stretch = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    below = running_total(counts.withColumn("_stretch", stretch).drop("_cuts"), keys, F.col("_stretch"), [value], F.col("_c"), "_below")
-    ranks = below.select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias(name))
-    return df.join(ranks, [*keys, value])
+    cut = counts.join(cuts, keys).withColumn("_stretch", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    return running_total(cut, keys, F.col("_stretch"), [value], F.col("_c"), "_below").drop("_stretch")
+
+
+def ranked(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Average ranks from counts of distinct values, null values left out; rows of a frequent value aren't shuffled by it."""
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")), "value-counts")
+    ranks = _cumulative(counts, keys, value).select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias(name), "_c")
+    return join_hot(df, written(ranks, "ranks"), [*keys, value], "_c")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """(keys, names of ps): exact percentiles of the finite values, linearly interpolated, from counts of distinct values.
+
+    No task holds a group's values, unlike the built-in aggregates. Groups without finite values have no row. Key columns
+    must have no nulls.
+    """
+    given = list(keys)
+    rows = df.filter(finite(F.col(value))).select(*given, F.col(value).cast("double").alias("_x"))
+    keys = given or ["_all"]
+    if not given:
+        rows = rows.withColumn("_all", F.lit(True))
+    counts = written(rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c")), "value-counts")
+    placed = _cumulative(counts, keys, "_x").join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), keys)
+    at = lambda rank: F.max(F.when((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_c")), F.col("_x")))
+    parts = []
+    for i, p in enumerate(ps.values()):
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        parts += [at(F.floor(rank)).alias(f"_a{i}"), at(F.ceil(rank)).alias(f"_b{i}")]
+    g = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *parts)
+    rest = lambda p: F.lit(float(p)) * (F.col("_n") - 1) - F.floor(F.lit(float(p)) * (F.col("_n") - 1))
+    return g.select(*given, *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * rest(p)).alias(n) for i, (n, p) in enumerate(ps.items())])
 
 
 def guarded_corr(x: str, y: str, least: int = 20) -> Column:

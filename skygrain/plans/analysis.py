@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 from skygrain.functions.exprs import finite, finite_or_null, hours, micros
 from skygrain.operators import grid, quality, series, stats
 from skygrain.plans.registry import COVARIATES, ERA, OBS, Registry, era, long_sql, obs
-from skygrain.sources.scratch import written
+from skygrain.sources import files
+from skygrain.sources.scratch import new_path, written
 from skygrain.sources.tables import table
 
 query = Registry()
@@ -52,7 +53,9 @@ def count_calendar_fill(spark, d):
 
 @query(f"select date_trunc('hour', TimeJD) as hour, count(*) n, round(sum(v), 4) total, round(avg(v), 6) mean, round(median(v), 6) median, min(v) min, max(v) max from {OBS} group by 1")
 def hourly_stats(spark, d):
-    return obs(spark, d).groupBy(HOUR("TimeJD").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), r6(F.avg("v")).alias("mean"), r6(F.median("v")).alias("median"), F.min("v").alias("min"), F.max("v").alias("max"))
+    o = obs(spark, d).select(HOUR("TimeJD").alias("hour"), "v")
+    g = o.groupBy("hour").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), r6(F.avg("v")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return g.join(stats.percentiles(o, ["hour"], "v", {"median": 0.5}), "hour").withColumn("median", r6("median"))
 
 
 @query(f"""select count(*) n_rows, count(distinct hour) n_hours, count(*) filter (clara_n_datapoints > 0) n_matched, coalesce(sum(clara_n_datapoints), 0)::bigint n_observations, round(count(*) filter (clara_n_datapoints > 0) / count(*), 6) match_rate,
@@ -72,6 +75,7 @@ def spatial_mean(spark, d):
 
 _P = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 _PN = ["p01", "p05", "p25", "p50", "p75", "p95", "p99"]
+_QUARTILES = [("q25", 0.25), ("median", 0.5), ("q75", 0.75)]
 _QSQL = lambda x: ", ".join(f"round(quantile_cont({x}, {p}), 6) {n}" for p, n in zip(_P, _PN))
 
 
@@ -79,15 +83,18 @@ _QSQL = lambda x: ", ".join(f"round(quantile_cont({x}, {p}), 6) {n}" for p, n in
  select 'linear' scale, count(x) n_used, count(*) - count(x) n_invalid, 0::bigint n_nonpositive, min(x) min, max(x) max, round(avg(x), 4) mean, round(stddev_samp(x), 4) std, {_QSQL('x')} from c
  union all select 'log', count(*) filter (x > 0), count(*) - count(x), count(*) filter (x <= 0), round(min(ln(x)) filter (x > 0), 6), round(max(ln(x)) filter (x > 0), 6), round(avg(ln(x)) filter (x > 0), 4), round(stddev_samp(ln(x)) filter (x > 0), 4), {_QSQL("case when x > 0 then ln(x) end")} from c""".replace("ln(x)", "ln(case when x > 0 then x end)"))
 def radiance_summary(spark, d):
-    """The whole table's distribution, linear and logarithmic; the exact percentiles merge counts of distinct values."""
-    c = table(spark, d, "clara_full").select(finite_or_null(F.col("CLARA_radiance")).alias("x"))
-
-    def row(scale, x, nonpositive, digits):
-        keep = (lambda e: e) if digits is None else r6
-        q = [r6(F.percentile(x, p)).alias(n) for p, n in zip(_P, _PN)]
-        return c.agg(F.lit(scale).alias("scale"), F.count(x).alias("n_used"), F.count_if(F.col("x").isNull()).alias("n_invalid"), nonpositive.alias("n_nonpositive"), keep(F.min(x)).alias("min"), keep(F.max(x)).alias("max"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"), *q)
-
-    return row("linear", F.col("x"), F.lit(0).cast("long"), None).unionByName(row("log", F.ln(F.when(F.col("x") > 0, F.col("x"))), F.count_if(F.col("x") <= 0), 6))
+    """The whole table's distribution, linear and logarithmic, with exact percentiles; one pass for the figures of both."""
+    x = finite_or_null(F.col("CLARA_radiance"))
+    both = F.explode(F.array(F.struct(F.lit("linear").alias("scale"), x.alias("y")), F.struct(F.lit("log").alias("scale"), F.ln(F.when(x > 0, x)).alias("y")))).alias("s")
+    c = table(spark, d, "clara_full").select(x.alias("x"), both).select("x", "s.*")
+    log = F.col("scale") == "log"
+    keep = lambda e: F.when(log, r6(e)).otherwise(e)
+    g = c.groupBy("scale").agg(
+        F.count("y").alias("n_used"), F.count_if(F.col("x").isNull()).alias("n_invalid"), F.count_if(log & (F.col("x") <= 0)).alias("n_nonpositive"),
+        F.min("y").alias("min"), F.max("y").alias("max"), F.round(F.avg("y"), 4).alias("mean"), F.round(F.stddev_samp("y"), 4).alias("std"),
+    )
+    q = stats.percentiles(c, ["scale"], "y", dict(zip(_PN, _P)))
+    return g.withColumns({"min": keep(F.col("min")), "max": keep(F.col("max"))}).join(q.select("scale", *[r6(n).alias(n) for n in _PN]), "scale", "left")
 
 
 @query(f"""select variable, count(*) n_rows, count(*) - count(value) n_missing, count(*) filter (value = 0) n_zero, count(*) filter (value < 0) n_negative, count(*) filter (value > 0) n_positive, min(value) min, max(value) max, round(avg(value), 4) mean, round(stddev_samp(value), 4) std
@@ -107,8 +114,9 @@ def zero_heavy(spark, d):
 @query(f"select variable, {_QSQL('value')} from {long_sql('hour', 'clara_era5_merged')} group by 1")
 def sampled_quantiles(spark, d):
     """Exact quantiles of every covariate over all rows."""
-    long = stats.melted(table(spark, d, "clara_era5_merged"), ["hour"], COVARIATES)
-    return long.groupBy("variable").agg(*[r6(F.percentile("value", p)).alias(n) for p, n in zip(_P, _PN)])
+    long = stats.melted(table(spark, d, "clara_era5_merged"), [], COVARIATES)
+    q = stats.percentiles(long, ["variable"], "value", dict(zip(_PN, _P)))
+    return q.select("variable", *[r6(n).alias(n) for n in _PN])
 
 
 @query(f"select hour, variable, count(*) n_rows, count(*) filter (value is null) n_missing from {long_sql('hour', '(select * from clara_era5_merged where hour is not null)')} group by 1, 2")
@@ -145,9 +153,10 @@ def sampling_by_hour(spark, d):
  c as (select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from e) select day, coalesce(n_samples, 0) n_samples, coalesce(n_kept, 0) n_kept, q25, median, q75 from c left join e using (day)""")
 def daily_quartiles(spark, d):
     kept = F.when(quality.in_range(F.col("CLARA_radiance")), F.col("CLARA_radiance"))
-    g = table(spark, d, "clara_full").filter("TimeJD is not null").groupBy(_day().alias("day")).agg(F.count("*").alias("n_samples"), F.count(kept).alias("n_kept"), *[r6(F.percentile(kept, p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
-    g = written(g, "days")
-    return quality.calendar(g, "day").join(g, "day", "left").fillna(0, ["n_samples", "n_kept"])
+    c = table(spark, d, "clara_full").filter("TimeJD is not null").select(_day().alias("day"), kept.alias("v"))
+    g = written(c.groupBy("day").agg(F.count("*").alias("n_samples"), F.count("v").alias("n_kept")), "days")
+    q = stats.percentiles(c, ["day"], "v", dict(_QUARTILES)).select("day", *[r6(n).alias(n) for n, _ in _QUARTILES])
+    return quality.calendar(g, "day").join(g, "day", "left").join(q, "day", "left").fillna(0, ["n_samples", "n_kept"])
 
 
 @query(f"""with e as (select platform, orbit_leg, date_trunc('month', TimeJD)::date as month, count(*) n_samples, count(*) filter (isfinite(CLARA_radiance) and CLARA_radiance > 0 and CLARA_radiance <= 500) n_earth_view, count(distinct TimeJD::date) n_days,
@@ -156,10 +165,14 @@ def daily_quartiles(spark, d):
 def monthly_quartiles(spark, d):
     """Quartiles per platform, leg and month; thin groups keep their counts and lose their quartiles."""
     kept = F.when(quality.in_range(F.col("CLARA_radiance")), F.col("CLARA_radiance"))
-    qs = ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))
-    g = table(spark, d, "clara_full").filter("TimeJD is not null and platform is not null").groupBy("platform", "orbit_leg", F.trunc(_day(), "month").alias("month")).agg(F.count("*").alias("n_samples"), F.count(kept).alias("n_earth_view"), F.count_distinct(_day()).alias("n_days"), *[F.percentile(kept, p).alias(n) for p, n in qs])
+    c = table(spark, d, "clara_full").filter("TimeJD is not null and platform is not null")
+    # A null leg is a group of its own, and joins know no nulls.
+    c = c.select(F.struct("platform", F.coalesce("orbit_leg", F.lit("")).alias("leg"), F.trunc(_day(), "month").alias("month")).alias("g"), "orbit_leg", _day().alias("day"), kept.alias("v"))
+    g = c.groupBy("g").agg(F.max("orbit_leg").alias("orbit_leg"), F.count("*").alias("n_samples"), F.count("v").alias("n_earth_view"), F.count_distinct("day").alias("n_days"))
+    g = g.join(stats.percentiles(c, ["g"], "v", dict(_QUARTILES)), "g", "left")
     thin = F.col("n_earth_view") < 300
-    return g.select("platform", "orbit_leg", "month", "n_samples", "n_earth_view", "n_days", r6(F.col("n_earth_view") / F.col("n_samples")).alias("earth_view_fraction"), thin.alias("is_thin"), *[F.when(~thin, r6(n)).alias(n) for _, n in qs])
+    quartiles = [F.when(~thin, r6(n)).alias(n) for n, _ in _QUARTILES]
+    return g.select("g.platform", "orbit_leg", "g.month", "n_samples", "n_earth_view", "n_days", r6(F.col("n_earth_view") / F.col("n_samples")).alias("earth_view_fraction"), thin.alias("is_thin"), *quartiles)
 
 
 def _resample_sql(bucket: str, step: str) -> str:
@@ -191,15 +204,18 @@ def resample_yearly(spark, d):
     return _resampled(spark, d, "year")
 
 
-@query("""with r as (select TimeJD::date as day, count(*) n_rows, count(*) filter (CLARA_radiance <> 0) n_nonzero, count(*) filter (isfinite(CLARA_fov_latitude)) n_located, count(*) filter (isfinite(CLARA_radiance) and CLARA_radiance > 0 and CLARA_radiance <= 500 and isfinite(CLARA_fov_latitude)) n_valid from clara_full where TimeJD is not null and platform = 'KR-262' group by 1),
- c as (select unnest(generate_series(min(TimeJD::date), max(TimeJD::date), interval 1 day))::date as day from clara_full where TimeJD is not null), j as (select day, coalesce(n_rows, 0) n_rows, coalesce(n_nonzero, 0) n_nonzero, coalesce(n_located, 0) n_located, coalesce(n_valid, 0) n_valid from c left join r using (day))
- select *, case when n_rows = 0 then 'no_file' when n_nonzero = 0 then 'dead_file' when n_located = 0 then 'no_geolocation' when n_valid = 0 then 'nothing_usable' else 'ok' end status from j""")
+@query("""with r as (select platform, TimeJD::date as day, count(*) n_olr, count(*) filter (isfinite(CLARA_geo_gap_seconds) or isfinite(CLARA_fov_latitude)) n_geolocated, count(*) filter (isfinite(CLARA_geo_gap_seconds)) n_earth_view,
+ count(*) filter (isfinite(CLARA_fov_latitude)) n_valid, bool_and(coalesce(CLARA_radiance = 0, false)) and count(*) < 1000 dead from clara_full where TimeJD is not null and platform is not null group by 1, 2),
+ c as (select platform, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from r group by 1),
+ j as (select platform, day, coalesce(n_olr, 0) n_olr, coalesce(n_geolocated, 0) n_geolocated, coalesce(n_earth_view, 0) n_earth_view, coalesce(n_valid, 0) n_valid, coalesce(dead, false) dead from c left join r using (platform, day))
+ select * exclude (dead), case when dead then 'dead_olr' when n_olr = 0 then 'no_olr' when n_geolocated = 0 then 'no_geolocation' when n_earth_view = 0 then 'no_earth_view' when n_valid = 0 then 'gap_too_large' else 'ok' end status from j""")
 def coverage_manifest(spark, d):
-    """Status of one platform for every day of the record."""
-    c = table(spark, d, "clara_full").filter("TimeJD is not null").withColumn("day", _day())
-    lat = finite(F.col("CLARA_fov_latitude"))
-    r = c.filter("platform = 'KR-262'").groupBy("day").agg(F.count("*").alias("n_rows"), F.count_if(F.col("CLARA_radiance") != 0).alias("n_nonzero"), F.count_if(lat).alias("n_located"), F.count_if(lat & quality.in_range(F.col("CLARA_radiance"))).alias("n_valid"))
-    return quality.coverage(quality.calendar(c, "day"), r)
+    """Counts and status of every platform for every day from its first to its last."""
+    gap, lat = finite(F.col("CLARA_geo_gap_seconds")), finite(F.col("CLARA_fov_latitude"))
+    c = table(spark, d, "clara_full").filter("TimeJD is not null and platform is not null").withColumn("day", _day())
+    zeros = F.bool_and(F.coalesce(F.col("CLARA_radiance") == 0, F.lit(False)))
+    r = c.groupBy("platform", "day").agg(F.count("*").alias("n_olr"), F.count_if(gap | lat).alias("n_geolocated"), F.count_if(gap).alias("n_earth_view"), F.count_if(lat).alias("n_valid"), (zeros & (F.count("*") < 1000)).alias("dead"))
+    return quality.coverage(written(r, "days"), "platform", "day")
 
 
 @query("""with n as (select TimeJD::date as day, count(*) n from clara_full where TimeJD is not null group by 1) select month(day)::bigint as month, count(*) filter (n > 0) n_days, sum(case when dayofmonth(day) <= 10 then n else 0 end)::bigint early, sum(case when dayofmonth(day) between 11 and 20 then n else 0 end)::bigint middle, sum(case when dayofmonth(day) > 20 then n else 0 end)::bigint late from n group by 1""")
@@ -218,7 +234,7 @@ def median_cadence(spark, d):
     return g.groupBy("cell_id").agg(F.round(F.median("g") / 1e6, 3).alias("cadence_s"))
 
 
-_ACF = lambda s, keys, n: f"""with s as {s}, p as (select {keys} a.i, l.lag, a.x x, b.x y from s a, (select unnest(range(1, {n} + 1)) lag) l, s b where {'a.k = b.k and ' if keys else ''} a.i = b.i + l.lag),
+_ACF = lambda s, keys, n: f"""with s as {s}, p as (select {keys} a.i, l.lag, a.x x, b.x y from s a, (select unnest(range(0, {n} + 1)) lag) l, s b where {'a.k = b.k and ' if keys else ''} a.i = b.i + l.lag),
  g as (select {'k,' if keys else ''} lag, count(*) n_pairs, covar_pop(x, y) c, stddev_pop(x) sx, stddev_pop(y) sy, count(*) >= 6 and max(x) > min(x) and max(y) > min(y) ok from p group by {'k,' if keys else ''} lag)
  select {'k as cell_id,' if keys else ''} lag::bigint lag, n_pairs, case when ok then round(c / (sx * sy), 5) end autocorrelation, case when ok then round(1.96 / sqrt(n_pairs), 6) end band from g"""
 
@@ -237,6 +253,12 @@ def temporal_acf_hourly(spark, d):
 
 _DAILY = f"(select TimeJD::date as day, avg(v) m from {OBS} group by 1)"
 _YEARS = "((day - date '2025-10-01') / 365.25)"
+_AT = "((epoch_us(TimeJD) - epoch_us(timestamp '2025-10-01')) / (365.25 * 86400 * 1e6))"
+
+
+def _years(t):
+    """Years of 365.25 days since the record's first day."""
+    return (micros(t) - micros(F.expr("TIMESTAMP_NTZ'2025-10-01'"))) / (365.25 * 86400 * 1e6)
 
 
 def _daily(spark, d):
@@ -250,6 +272,26 @@ def trend_fit(spark, d):
     return t.select("n", F.round("slope", 5).alias("slope_per_year"), F.round("intercept", 5).alias("intercept"), r6("r2").alias("r2"))
 
 
+def _power_sql(fit: str, rows: str) -> str:
+    """A parabola from power sums of (x, y), by determinants, as SQL."""
+    return f"""select '{fit}' fit, 2::bigint as degree, n, c0, c1, c2, 1 - (yy - (c0 * m0 + c1 * m1 + c2 * m2)) / (yy - m0 * m0 / n) r2 from
+ (select *, (m0 * (p2 * p4 - p3 * p3) - p1 * (m1 * p4 - p3 * m2) + p2 * (m1 * p3 - p2 * m2)) / det c0, (n * (m1 * p4 - p3 * m2) - m0 * (p1 * p4 - p3 * p2) + p2 * (p1 * m2 - m1 * p2)) / det c1,
+  (n * (p2 * m2 - m1 * p3) - p1 * (p1 * m2 - m1 * p2) + m0 * (p1 * p3 - p2 * p2)) / det c2 from (select *, n * (p2 * p4 - p3 * p3) - p1 * (p1 * p4 - p3 * p2) + p2 * (p1 * p3 - p2 * p2) det from
+  (select count(*) n, sum(x) p1, sum(x * x) p2, sum(x ** 3) p3, sum(x ** 4) p4, sum(y) m0, sum(x * y) m1, sum(x * x * y) m2, sum(y * y) yy from {rows})))"""
+
+
+@query(f"""select fit, degree, n, round(c0, 3) c0, round(c1, 2) c1, round(c2, 1) c2, round(r2, 5) r2 from ({_power_sql('daily', f"(select {_YEARS} x, m y from {_DAILY})")} union all {_power_sql('observations', f"(select {_AT} x, v y from {OBS})")})""")
+def trend_polynomial(spark, d):
+    """Parabolas through the daily means and through the observations themselves."""
+    rows = []
+    o = obs(spark, d)
+    for fit, df, x, y in (("daily", _daily(spark, d), F.col("years"), F.col("m")), ("observations", o, _years(F.col("TimeJD")), F.col("v"))):
+        p = series.polynomial(df, x, y, 2)
+        rows.append((fit, 2, p["n"], *p["coefficients"], p["r2"]))
+    out = spark.createDataFrame(rows, "fit string, degree long, n long, c0 double, c1 double, c2 double, r2 double")
+    return out.withColumns({"c0": F.round("c0", 3), "c1": F.round("c1", 2), "c2": F.round("c2", 1), "r2": F.round("r2", 5)})
+
+
 @query(f"with t as (select regr_slope(m, {_YEARS}) s, regr_intercept(m, {_YEARS}) c from {_DAILY}) select day, round(m - c - s * {_YEARS}, 5) residual from {_DAILY}, t")
 def detrended(spark, d):
     g = _daily(spark, d)
@@ -257,6 +299,27 @@ def detrended(spark, d):
     return g.join(F.broadcast(t)).select("day", F.round(F.col("m") - F.col("intercept") - F.col("slope") * F.col("years"), 5).alias("residual"))  # one row
 
 
+_RULES = {
+    "day": ("(TimeJD::date - date '1970-01-01')", lambda t: F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date"))),
+    "week": ("floor((TimeJD::date - date '1970-01-06') / 7.0)", lambda t: F.floor(F.datediff(t.cast("date"), F.lit("1970-01-06").cast("date")) / 7)),
+    "month": ("(year(TimeJD) * 12 + month(TimeJD))", lambda t: F.year(t) * 12 + F.month(t)),
+    "year": ("year(TimeJD)", lambda t: F.year(t)),
+}
+_RESIDUALS = f"""(select rule k, i, round(avg(r), 6) x from (select unnest([{', '.join(f"'{k}'" for k in _RULES)}]) rule, unnest([{', '.join(f'{sql}::bigint' for sql, _ in _RULES.values())}]) i, v - c - s * {_AT} r
+ from {OBS}, (select regr_slope(m, {_YEARS}) s, regr_intercept(m, {_YEARS}) c from {_DAILY})) group by 1, 2)"""
+
+
+@query(_ACF(_RESIDUALS, "a.k,", 20).replace("k as cell_id", "k as rule"))
+def acf_residuals(spark, d):
+    """Autocorrelation of the mean residuals of days, weeks (Tuesday to Monday), months and years about the daily trend."""
+    t = series.trend(_daily(spark, d), F.col("years"), F.col("m"))
+    o = obs(spark, d).join(F.broadcast(t))  # one row
+    residual = (F.col("v") - F.col("intercept") - F.col("slope") * _years(F.col("TimeJD"))).alias("r")
+    rules = F.array(*[F.struct(F.lit(k).alias("rule"), f(F.col("TimeJD")).cast("long").alias("i")) for k, (_, f) in _RULES.items()])
+    s = o.select(residual, F.explode(rules).alias("b")).groupBy("b.rule", "b.i").agg(r6(F.avg("r")).alias("x"))
+    return series.autocorrelation(written(s, "residuals"), "i", "x", 20, ["rule"]).withColumns({"autocorrelation": F.round("autocorrelation", 5), "band": r6("band")})
+
+
 @query("select row_id, strftime(hour, '%Y%m%dT%H%M%S') stamp, year(hour)::int y, month(hour)::int mo, dayofyear(hour)::int doy, hour(hour)::int h from clara_era5_merged where hour is not null")
 def date_parts(spark, d):
     return table(spark, d, "clara_era5_merged").filter("hour is not null").select("row_id", F.date_format("hour", "yyyyMMdd'T'HHmmss").alias("stamp"), F.year("hour").alias("y"), F.month("hour").alias("mo"), F.dayofyear("hour").alias("doy"), F.hour("hour").alias("h"))
@@ -302,23 +365,33 @@ def unit_vector(spark, d):
     return u.select("obs_id", *[(r6(c) + 0.0).alias(c) for c in "xyz"], r5(F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("z")))))).alias("lat"), r5(F.degrees(F.atan2("y", "x"))).alias("lon"))
 
 
-@query("select fix_id, round(view_angle, 3) a, latitude b, longitude c, 2::bigint commas from clara_track where isfinite(view_angle) and isfinite(latitude) and isfinite(longitude)")
+@query(f"with u as (select obs_id, {_XYZ} from {OBS}) select obs_id, round(x, 9) + 0.0 x, round(y, 9) + 0.0 y, round(z, 9) + 0.0 z from u")
 def parse_triple(spark, d):
-    """Triples written as text and read again; text with other than two commas is an error."""
-    t = table(spark, d, "clara_track").filter(finite(F.col("view_angle")) & finite(F.col("latitude")) & finite(F.col("longitude")))
-    text = F.concat(F.lit("("), F.concat_ws(",", F.round("view_angle", 3), "latitude", "longitude"), F.lit(")"))
-    commas = F.regexp_count(text, F.lit(","))
-    parts = F.transform(F.split(F.expr("trim(both '()' from s)"), ","), lambda x: x.cast("double"))
-    t = t.select("fix_id", text.alias("s"), commas.cast("long").alias("commas")).withColumn("p", F.when(F.col("commas") == 2, parts).otherwise(F.raise_error(F.lit("not a triple"))))
-    return t.select("fix_id", F.col("p")[0].alias("a"), F.col("p")[1].alias("b"), F.col("p")[2].alias("c"), "commas")
+    """Positions delivered as text "(x,y,z)", read again and split; a text with other than two commas is an error."""
+    path = new_path(spark, "triples")
+    obs(spark, d).select("obs_id", files.unit_triple(F.col("lat"), F.col("lon")).alias("position")).write.option("header", True).csv(path)
+    t = spark.read.schema("obs_id long, position string").option("header", True).csv(path).withColumn("p", files.triple(F.col("position")))
+    return t.select("obs_id", *[(F.round(F.col("p")[i], 9) + 0.0).alias(c) for i, c in enumerate("xyz")])
 
 
-@query(f"with u as (select obs_id, {_XYZ} from {OBS}) select bool_and(y = 0 and z = 0) scalar, bool_and(abs(sqrt(x * x + y * y + z * z) - 1) <= 1e-3) unit, count(*) n from u")
+@query(f"""select 'scalar' delivery, obs_id, round(lat, 5) + 0.0 lat, round(lon, 5) + 0.0 lon from {OBS} union all
+ select 'unit', obs_id, round(lat, 5) + 0.0, round(((lon + 180) - 360 * floor((lon + 180) / 360)) - 180, 5) + 0.0 from {OBS}""")
 def vector_to_degrees(spark, d):
-    """Which encoding a column of triples has: plain scalars, or unit vectors."""
-    la, lo = F.radians("lat"), F.radians("lon")
-    u = obs(spark, d).select((F.cos(la) * F.cos(lo)).alias("x"), (F.cos(la) * F.sin(lo)).alias("y"), F.sin(la).alias("z"))
-    return u.agg(F.bool_and((F.col("y") == 0) & (F.col("z") == 0)).alias("scalar"), F.bool_and(F.abs(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) - 1) <= 1e-3).alias("unit"), F.count("*").alias("n"))
+    """Two deliveries of the positions as text, scalars in parentheses and unit vectors; each decides by all its rows which it is."""
+    path = new_path(spark, "positions")
+    o = obs(spark, d)
+    one = lambda c: F.concat(F.lit("("), F.col(c).cast("string"), F.lit(",0,0)"))
+    both = unit = files.unit_triple(F.col("lat"), F.col("lon"))
+    o.select(F.lit("scalar").alias("delivery"), "obs_id", one("lat").alias("lat"), one("lon").alias("lon")).unionByName(
+        o.select(F.lit("unit").alias("delivery"), "obs_id", both.alias("lat"), unit.alias("lon"))
+    ).write.partitionBy("delivery").option("header", True).csv(path)
+    r5 = lambda c: (F.round(c, 5) + 0.0).alias(c)
+    parts = []
+    for name in ("scalar", "unit"):
+        raw = spark.read.schema("obs_id long, lat string, lon string").option("header", True).csv(f"{path}/delivery={name}")
+        degrees = files.positions(raw.withColumns({c: files.triple(F.col(c)) for c in ("lat", "lon")}), "lat", "lon")
+        parts.append(degrees.select(F.lit(name).alias("delivery"), "obs_id", r5("lat"), r5("lon")))
+    return parts[0].unionByName(parts[1])
 
 
 _MATCHED = "(select row_id, clara_radiance_hourly_mean::double y, * from clara_era5_merged where isfinite(clara_radiance_hourly_mean))"
@@ -342,17 +415,16 @@ def spearman_vs_target(spark, d):
     return ranks.groupBy("variable").agg(F.count("*").alias("n"), r6(stats.guarded_corr("a", "b")).alias("spearman"))
 
 
-_PAIRS4 = ["era5_t2m", "era5_sp", "era5_tcwv", "era5_tp"]
 
 
-@query(f"""with m as (select row_id, variable, value from {long_sql('row_id', '(select * from clara_era5_merged where isfinite(clara_radiance_hourly_mean))', _PAIRS4)} where value is not null),
+@query(f"""with m as (select row_id, variable, value from {long_sql('row_id', '(select * from clara_era5_merged where isfinite(clara_radiance_hourly_mean))', COVARIATES)} where value is not null),
  p as (select a.variable va, b.variable vb, a.value x, b.value y from m a join m b on a.row_id = b.row_id and a.variable < b.variable), r as (select va, vb, rank() over (partition by va, vb order by x) + (count(*) over (partition by va, vb, x) - 1) / 2.0 a, rank() over (partition by va, vb order by y) + (count(*) over (partition by va, vb, y) - 1) / 2.0 b from p)
  select va, vb, count(*) n, case when count(*) >= 20 and max(a) > min(a) and max(b) > min(b) then round(corr(a, b), 6) end spearman from r group by 1, 2""")
 def spearman_matrix(spark, d):
-    """Rank correlation of every two of four covariates on the rows that have both; the pairs come from one row's array."""
+    """Rank correlation of every two covariates on the rows that have both; the pairs come from one row's array."""
     e = table(spark, d, "clara_era5_merged").filter(finite(F.col("clara_radiance_hourly_mean")))
-    x = {c: finite_or_null(F.col(c).cast("double")) for c in _PAIRS4}
-    two = [(a, b) for a in _PAIRS4 for b in _PAIRS4 if a < b]
+    x = {c: finite_or_null(F.col(c).cast("double")) for c in COVARIATES}
+    two = [(a, b) for a in COVARIATES for b in COVARIATES if a < b]
     p = e.select(F.explode(F.array(*[F.struct(F.lit(a).alias("va"), F.lit(b).alias("vb"), x[a].alias("x"), x[b].alias("y")) for a, b in two])).alias("p")).select("p.*").filter("x is not null and y is not null")
     p = written(p, "variable-pairs")
     ranks = stats.ranked(stats.ranked(p, ["va", "vb"], "x", "a"), ["va", "vb"], "y", "b")
@@ -369,22 +441,34 @@ def _pairs(spark, d):
     return stats.sampled_pairs(e, "hour", "row_id", "lat", "lon", ["v"])
 
 
-@query(f"select least(floor(dist / 1700), 11)::bigint bin, count(*) n_pairs, round(avg(dist), 4) mean_distance_km, round(avg(pow(x - y, 2)) / 2, 5) semivariance from {_SAMPLED} where isfinite(x) and isfinite(y) group by 1 having count(*) >= 10")
+_BINNED = f"(select *, least(floor(dist / (top / 12)), 11)::bigint bin from (select *, max(dist) over () top, count(*) over () total from {_SAMPLED} where isfinite(x) and isfinite(y)) where total >= 50 and top > 0)"
+
+
+def _by_twelfths(spark, d):
+    """Pairs with both values in twelve bins of equal width up to the greatest distance; none below 50 pairs."""
+    p = _pairs(spark, d).filter(finite(F.col("left_v")) & finite(F.col("right_v")))
+    top = p.agg(F.max("distance_km"), F.count("*")).first()
+    if top[1] < 50 or not top[0]:
+        p = p.limit(0)
+    return stats.by_distance(p, "v", (top[0] or 12.0) / 12, 12)
+
+
+@query(f"select bin, count(*) n_pairs, round(avg(dist), 4) mean_distance_km, round(avg(pow(x - y, 2)) / 2, 5) semivariance from {_BINNED} group by 1 having count(*) >= 10")
 def variogram(spark, d):
-    g = stats.by_distance(_pairs(spark, d), "v", 1700.0, 12)
+    g = _by_twelfths(spark, d)
     return g.select("bin", "n_pairs", F.round("mean_distance_km", 4).alias("mean_distance_km"), F.round("semivariance", 5).alias("semivariance"))
 
 
-@query(f"select least(floor(dist / 1700), 11)::bigint bin, count(*) n_pairs, case when max(x) > min(x) and max(y) > min(y) then round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 5) end correlation from {_SAMPLED} where isfinite(x) and isfinite(y) group by 1 having count(*) >= 10")
+@query(f"select bin, count(*) n_pairs, case when max(x) > min(x) and max(y) > min(y) then round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 5) end correlation from {_BINNED} group by 1 having count(*) >= 10")
 def spatial_autocorr(spark, d):
-    return stats.by_distance(_pairs(spark, d), "v", 1700.0, 12).select("bin", "n_pairs", F.round("correlation", 5).alias("correlation"))
+    return _by_twelfths(spark, d).select("bin", "n_pairs", F.round("correlation", 5).alias("correlation"))
 
 
 @query(f"select count(*) n_pairs, round(quantile_cont(dist, 0.1), 4) p10, round(quantile_cont(dist, 0.5), 4) p50, round(quantile_cont(dist, 0.9), 4) p90 from {_SAMPLED}")
 def pair_distance_quantile(spark, d):
-    p = _pairs(spark, d)
-    q = lambda x: F.round(F.percentile("distance_km", x), 4)
-    return p.agg(F.count("*").alias("n_pairs"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"))
+    p = _pairs(spark, d).select("distance_km")
+    q = stats.percentiles(p, [], "distance_km", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return q.join(F.broadcast(p.agg(F.count("*").alias("n_pairs")))).select("n_pairs", *[F.round(c, 4).alias(c) for c in ("p10", "p50", "p90")])  # one row
 
 
 QUERIES, SQL = query.queries, query.sql

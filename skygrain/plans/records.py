@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skygrain.functions.exprs import finite, finite_or_null, haversine_km, hours, lon180, micros
 from skygrain.operators import grid, nearest, quality, series, stats
 from skygrain.plans.modelling import matched
 from skygrain.plans.registry import COVARIATES, ERA, OBS, Registry, era, long_sql, obs
 from skygrain.sources import scratch
-from skygrain.sources.files import csv_by_position, file_inventory as inventory, julian_to_timestamp
+from skygrain.sources.files import csv_by_position, file_inventory as inventory, julian_to_timestamp, read_geolocation, unit_triple
 from skygrain.sources.scratch import written
 from skygrain.sources.tables import table
 
@@ -21,36 +22,73 @@ r6 = lambda c: F.round(c, 6)
 # --- scans and sinks ---------------------------------------------------------------------------------------------------
 
 
-@query("select fix_id, fix_time, view_angle, latitude, longitude from clara_track where fix_time is not null")
+_FIN = lambda c: f"case when isfinite({c}) then {c} end {c}"
+
+
+def finite_floats(df: DataFrame) -> DataFrame:
+    """df with NaN and infinities of its floating-point columns as null: done once, at the scan."""
+    return df.withColumns({f.name: finite_or_null(F.col(f.name)) for f in df.schema if f.dataType.typeName() in ("float", "double")})
+
+
+@query(f"select fix_id, fix_time, {_FIN('view_angle')}, {_FIN('latitude')}, {_FIN('longitude')} from clara_track where fix_time is not null")
 def csv_roundtrip_scan(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "clara_track").filter("fix_time is not null")
     path = scratch.new_path(spark, "track-csv")
     cols = ["fix_id", "fix_time", "view_angle", "latitude", "longitude"]
     t.select(*[F.col(c).cast("string") for c in cols]).write.option("header", True).option("nullValue", "\\N").csv(path)
     raw = csv_by_position(spark, path, [0, 1, 2, 3, 4], cols, null="\\N")
-    return raw.select(F.col("fix_id").cast("long"), F.col("fix_time").cast("timestamp_ntz"), *[F.col(c).try_cast("double") for c in cols[2:]])
+    return finite_floats(raw.select(F.col("fix_id").cast("long"), F.col("fix_time").cast("timestamp_ntz"), *[F.col(c).try_cast("double") for c in cols[2:]]))
+
+
+_JD = "(epoch_us(TimeJD) / 86400000000.0 + 2440587.5)"
 
 
-@query("select obs_id, TimeJD as ts from clara_full where TimeJD is not null")
+@query(f"select obs_id, make_timestamp(round(({_JD} - 2440587.5) * 86400000000.0)::bigint) as ts from clara_full where TimeJD is not null")
 def julian_day_to_ts(spark, d):
-    """Times as a Julian day (whole days and the fraction's microseconds) and back."""
-    t = micros(F.col("TimeJD")) + F.lit(210866803200000000)
-    c = table(spark, d, "clara_full").filter("TimeJD is not null").select("obs_id", F.floor(t / 86_400_000_000).cast("long").alias("day"), F.pmod(t, F.lit(86_400_000_000)).alias("rest"))
-    return c.select("obs_id", julian_to_timestamp(F.col("day"), F.col("rest")).alias("ts"))
+    """Times delivered as Julian Days in doubles, read back to the microseconds that a double holds."""
+    path = scratch.new_path(spark, "julian-days")
+    day = micros(F.col("TimeJD")) / F.lit(86_400_000_000.0) + F.lit(2440587.5)
+    table(spark, d, "clara_full").filter("TimeJD is not null").select("obs_id", day.alias("julian_day")).write.parquet(path)
+    return spark.read.schema("obs_id long, julian_day double").parquet(path).select("obs_id", julian_to_timestamp(F.col("julian_day")).alias("ts"))
+
+
+def geolocation_delivery(spark: SparkSession, d: str) -> str:
+    """Writes the track as one folder of CSV a day, named by day and version (odd days have a later one), positions as text triples."""
+    t = finite_floats(table(spark, d, "clara_track").filter("fix_time is not null"))
+    here = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    triple = F.when(here, unit_triple(F.col("latitude"), F.col("longitude"))).otherwise("(0.0,0.0,0.0)")
+    version = F.when(F.day("fix_time") % 2 == 0, "V50_1_4").otherwise("V50_1_5")
+    name = F.concat_ws("_", F.lit("geo"), F.date_format("fix_time", "yyyyMMdd"), version)
+    path = scratch.new_path(spark, "geolocation")
+    cols = {"time": F.col("fix_time").cast("string"), "angle": F.col("view_angle").cast("string"), "spare_2": F.lit("x"), "spare_3": F.lit("y"), "id": F.col("fix_id").cast("string"), "clara latitude": triple, "clara longitude": triple}
+    t.select(name.alias("delivery"), *[c.alias(n) for n, c in cols.items()]).repartition("delivery").write.partitionBy("delivery").option("header", True).csv(path)
+    return path
+
+
+_POSITION = "case when isfinite(latitude) and isfinite(longitude) then"
+
 
+@query(f"""select fix_id, fix_time, {_FIN('view_angle')}, round({_POSITION} latitude end, 5) + 0.0 latitude, round({_POSITION} ((longitude + 180) - 360 * floor((longitude + 180) / 360)) - 180 end, 5) + 0.0 longitude
+ from clara_track where fix_time is not null""")
+def vector_csv_scan(spark, d):
+    """The track delivered as daily CSV folders with unit vectors as text, found by day whatever their version, and read by position."""
+    fixes = read_geolocation(spark, geolocation_delivery(spark, d), "V50_1_4")
+    r5 = lambda c: F.round(c, 5) + 0.0
+    return finite_floats(fixes).select("fix_id", "fix_time", "view_angle", r5("latitude").alias("latitude"), r5("longitude").alias("longitude"))
 
-@query("select obs_id, TimeJD, CLARA_radiance, CLARA_fov_latitude, CLARA_fov_longitude from clara_full")
+
+@query(f"select obs_id, TimeJD, {_FIN('CLARA_radiance')}, {_FIN('CLARA_fov_latitude')}, {_FIN('CLARA_fov_longitude')} from clara_full")
 def parquet_scan_project(spark, d):
     t = table(spark, d, "clara_full")
     need = ["obs_id", "TimeJD", "CLARA_radiance", "CLARA_fov_latitude", "CLARA_fov_longitude"]
     if gone := set(need) - set(t.columns):
         raise ValueError(f"missing columns: {sorted(gone)}")
-    return t.select(*need)
+    return finite_floats(t.select(*need))
 
 
-@query("select row_id, hour, latitude, longitude, clara_radiance_hourly_mean from clara_era5_merged where clara_n_datapoints > 0")
+@query(f"select row_id, hour, {_FIN('latitude')}, {_FIN('longitude')}, {_FIN('clara_radiance_hourly_mean')} from clara_era5_merged where clara_n_datapoints > 0")
 def scan_filter_project(spark, d):
-    return table(spark, d, "clara_era5_merged").filter("clara_n_datapoints > 0").select("row_id", "hour", "latitude", "longitude", "clara_radiance_hourly_mean")
+    return finite_floats(table(spark, d, "clara_era5_merged").filter("clara_n_datapoints > 0").select("row_id", "hour", "latitude", "longitude", "clara_radiance_hourly_mean"))
 
 
 @query("""select source_file, count(*) n_rows, min(hour) first_hour, max(hour) last_hour, count(distinct latitude) n_latitudes, count(distinct longitude) n_longitudes
@@ -90,11 +128,15 @@ def subset_span_json(spark, d):
     return g.select("platform", F.to_json(F.struct("platform", "n", "first_day", "last_day")).alias("span"))
 
 
-@query("""select load_id, substr(sha256(string_agg(row_id::varchar, ',' order by row_id)), 1, 16) manifest_sha from clara_era5_merged where load_id is not null group by 1""")
+@query("""with c as (select load_id, floor(row_id / 4096)::bigint chunk, sha256(string_agg(row_id::varchar, ',' order by row_id)) s from clara_era5_merged where load_id is not null group by 1, 2)
+ select load_id, substr(sha256(string_agg(s, ',' order by chunk)), 1, 16) manifest_sha from c group by 1""")
 def manifest_hash(spark, d):
-    """A load's rows in one digest; a load is a delivery of bounded size, a larger one belongs in a table of digests."""
-    g = table(spark, d, "clara_era5_merged").filter("load_id is not null").groupBy("load_id").agg(F.array_sort(F.collect_list("row_id")).alias("ids"))
-    return g.select("load_id", F.substring(F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256), 1, 16).alias("manifest_sha"))
+    """A load's rows in one digest: that of the digests of its chunks of 4,096 ids, so no row holds a load's ids."""
+    text = lambda a: F.array_join(F.transform(a, lambda i: i.cast("string")), ",")
+    e = table(spark, d, "clara_era5_merged").filter("load_id is not null").select("load_id", "row_id", F.floor(F.col("row_id") / 4096).alias("chunk"))
+    c = e.groupBy("load_id", "chunk").agg(F.sha2(text(F.array_sort(F.collect_list("row_id"))), 256).alias("s"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "s"))), lambda x: x["s"])
+    return c.groupBy("load_id").agg(F.substring(F.sha2(F.array_join(every, ","), 256), 1, 16).alias("manifest_sha"))
 
 
 @query("select strftime(hour, '%Y-%m') as month, count(*) n_rows, count(distinct hour) n_hours, round(sum(latitude::double), 6) checksum from clara_era5_merged where hour is not null and isfinite(latitude) group by 1")
@@ -141,12 +183,31 @@ def derived_covariates(spark, d):
     return t.select("row_id", *[r6(f()).alias(name) for name, (need, f) in made.items() if set(need) <= set(t.columns)])
 
 
-@query("select row_id, hour, latitude, longitude, era5_t2m, era5_lcc, era5_mcc, era5_hcc from clara_era5_merged")
+#: What each derived column is made of; inputs may be derived themselves.
+DEPENDS = {"t2m_celsius": {"era5_t2m"}, "cloud_sum": {"era5_lcc", "era5_mcc", "era5_hcc"}, "clear_warmth": {"t2m_celsius", "cloud_sum"}}
+
+
+def needed(wanted: set[str], depends: dict[str, set[str]] = DEPENDS) -> set[str]:
+    """The stored columns that the wanted ones follow from, through any number of derivations; a circle is an error."""
+    out, todo, seen = set(), list(wanted), set()
+    while todo:
+        c = todo.pop()
+        if c in seen:
+            continue
+        seen.add(c)
+        if c in depends:
+            todo += depends[c]
+        else:
+            out.add(c)
+    return out
+
+
+@query("select row_id, hour, " + ", ".join(_FIN(c) for c in ("latitude", "longitude", "era5_t2m", "era5_lcc", "era5_mcc", "era5_hcc")) + " from clara_era5_merged")
 def dependency_projection(spark, d):
-    """The columns that two derived covariates need, in schema order."""
+    """The stored columns behind a derived one, in schema order: the closure of its dependencies reaches the scan."""
     t = table(spark, d, "clara_era5_merged")
-    need = {"row_id", "hour", "latitude", "longitude", "era5_t2m", "era5_lcc", "era5_mcc", "era5_hcc"}
-    return t.select(*sorted((c for c in t.columns if c in need), key=["row_id", "hour", "latitude", "longitude", *COVARIATES].index))
+    need = {"row_id", "hour", "latitude", "longitude"} | needed({"clear_warmth"})
+    return finite_floats(t.select(*[c for c in t.columns if c in need]))
 
 
 @query(f"""select row_id, (epoch_us(hour) - (select epoch_us(min(hour)) from {ERA})) / 3.6e9 hours_since_start, round(sin(2 * pi() * extract(hour from hour) / 24), 6) + 0.0 hour_sin, round(cos(2 * pi() * extract(hour from hour) / 24), 6) + 0.0 hour_cos,
@@ -196,13 +257,14 @@ def feature_group_case(spark, d):
     return g.select("variable", F.when(F.col("variable").isin("era5_slt"), "categorical").otherwise("continuous").alias("kind"), F.when(F.col("variable").startswith("era5_"), "Atmospheric").otherwise("Other").alias("feature_group"), "n_reports")
 
 
-@query("""select hour, latitude, longitude, clara_radiance_hourly_mean::float clara_radiance_hourly_mean, coalesce(clara_n_datapoints, 0)::int clara_n_datapoints, null::float era5_t2m from clara_hourly_by_grid
- union all select hour, latitude, longitude, clara_radiance_hourly_mean::float, coalesce(clara_n_datapoints, 0)::int, era5_t2m from clara_era5_merged""")
+@query(f"""select hour, {_FIN('latitude')}, {_FIN('longitude')}, {_FIN('clara_radiance_hourly_mean')}, clara_n_datapoints, {_FIN('era5_t2m')} from
+ (select hour, latitude, longitude, clara_radiance_hourly_mean::float clara_radiance_hourly_mean, coalesce(clara_n_datapoints, 0)::int clara_n_datapoints, null::float era5_t2m from clara_hourly_by_grid
+ union all select hour, latitude, longitude, clara_radiance_hourly_mean::float, coalesce(clara_n_datapoints, 0)::int, era5_t2m from clara_era5_merged)""")
 def conform_schema_union(spark, d):
     """Two tables in one schema: missing columns null, counts 0, extra columns dropped, types cast."""
     kinds = {"hour": "timestamp_ntz", "latitude": "float", "longitude": "float", "clara_radiance_hourly_mean": "float", "clara_n_datapoints": "int", "era5_t2m": "float"}
     both = table(spark, d, "clara_hourly_by_grid").unionByName(table(spark, d, "clara_era5_merged"), allowMissingColumns=True)
-    return both.select(*[(F.coalesce(F.col(c), F.lit(0)) if c.endswith("_n_datapoints") else F.col(c)).cast(t).alias(c) for c, t in kinds.items()])
+    return finite_floats(both.select(*[(F.coalesce(F.col(c), F.lit(0)) if c.endswith("_n_datapoints") else F.col(c)).cast(t).alias(c) for c, t in kinds.items()]))
 
 
 @query("select cell_id, hour, clara_radiance_hourly_mean::float mean32, coalesce(clara_n_datapoints, 0)::int n32 from clara_hourly_by_grid")
@@ -314,10 +376,10 @@ def dead_file_detect(spark, d):
     return quality.dead_groups(e, "load_id", "era5_tp", 100_000)
 
 
-@query("""with m as (select distinct platform, date_trunc('month', TimeJD)::date mo from clara_full where platform is not null and TimeJD is not null and orbit_leg = 'A'),
+@query("""with m as (select distinct platform, date_trunc('month', TimeJD)::date mo from clara_full where platform is not null and TimeJD is not null),
  e as (select platform, unnest(generate_series(min(mo), max(mo), interval 1 month))::date mo from m group by 1) select platform, mo as month from e anti join m using (platform, mo)""")
 def absent_months(spark, d):
-    m = table(spark, d, "clara_full").filter("platform is not null and TimeJD is not null and orbit_leg = 'A'").select("platform", F.trunc(F.col("TimeJD").cast("date"), "month").alias("month")).distinct()
+    m = table(spark, d, "clara_full").filter("platform is not null and TimeJD is not null").select("platform", F.trunc(F.col("TimeJD").cast("date"), "month").alias("month")).distinct()
     every = m.groupBy("platform").agg(F.explode(F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month"))).alias("month"))
     return every.join(m, ["platform", "month"], "left_anti")
 
@@ -388,33 +450,59 @@ def nearest_longitude_wrap(spark, d):
     return obs(spark, d).select("obs_id", grid.wrapped_index(F.col("lon"), 0.0, 0.25).alias("cell"))
 
 
-_TRACK = """(select lower(trim(platform)) p, fix_time t, min(latitude) latitude from clara_track where platform is not null and fix_time is not null and latitude is not null and not isnan(latitude) group by 1, 2)"""
+_TRACK = """(select p, t, v.lat latitude, v.lon longitude, v.angle view_angle from (select lower(trim(platform)) p, fix_time t, arg_min({'lat': latitude, 'lon': longitude, 'angle': case when isfinite(view_angle) then view_angle end}, fix_id) v
+ from clara_track where platform is not null and fix_time is not null and isfinite(latitude) and isfinite(longitude) group by 1, 2))"""
 _SAMPLES = "(select obs_id, lower(trim(platform)) p, TimeJD t from clara_full where platform is not null and TimeJD is not null)"
 
 
 def _clocks(spark, d):
+    """(readings, fixes) with platform p and time; fixes with a position only, names in one form."""
     same = F.lower(F.trim("platform")).alias("p")
-    track = table(spark, d, "clara_track").filter("platform is not null and fix_time is not null and latitude is not null and not isnan(latitude)").select(same, F.col("fix_time").alias("t"), "latitude")
-    samples = table(spark, d, "clara_full").filter("platform is not null and TimeJD is not null").select("obs_id", same, F.col("TimeJD").alias("t"))
-    return samples.withColumn("at", F.col("t")).drop("t").withColumnRenamed("at", "time"), track.withColumnRenamed("t", "time")
+    known = F.col("platform").isNotNull() & F.col("fix_time").isNotNull() & finite(F.col("latitude")) & finite(F.col("longitude"))
+    track = table(spark, d, "clara_track").filter(known).select("fix_id", same, F.col("fix_time").alias("time"), "latitude", "longitude", finite_or_null(F.col("view_angle")).alias("view_angle"))
+    samples = table(spark, d, "clara_full").filter("platform is not null and TimeJD is not null").select("obs_id", same, F.col("TimeJD").alias("time"))
+    return samples, track
 
 
-@query(f"""with b as (select s.obs_id, s.t, k.t t0, k.latitude y0 from {_SAMPLES} s asof left join {_TRACK} k on s.p = k.p and s.t >= k.t),
- a as (select s.obs_id, k.t t1, k.latitude y1 from {_SAMPLES} s asof left join {_TRACK} k on s.p = k.p and s.t <= k.t),
- c as (select obs_id, epoch_us(t) t, case when epoch_us(t) - epoch_us(t0) <= 60000000 then epoch_us(t0) end t0, y0, case when epoch_us(t1) - epoch_us(t) <= 60000000 then epoch_us(t1) end t1, y1 from a join b using (obs_id))
- select obs_id, round(case when t1 > t0 then y0 + (y1 - y0) * ((t - t0) / (t1 - t0)) when t1 = t0 then y0 end, 6) latitude from c""")
-def interp_track(spark, d):
-    """Latitude of the track at each reading's time: bracketing within 60 seconds, then a straight line."""
-    samples, track = _clocks(spark, d)
-    b = series.bracketed(samples, track, "p", "time", ["latitude"])
-    return series.interpolated(b, ["latitude"]).select("obs_id", r6("latitude").alias("latitude"))
+_UNIT = "cos(radians({0}latitude)) * cos(radians({0}longitude)) {0}x, cos(radians({0}latitude)) * sin(radians({0}longitude)) {0}y, sin(radians({0}latitude)) {0}z"
+_BOTH = f"""b as (select s.obs_id, s.p, s.t, k.t t0, k.latitude, k.longitude, k.view_angle a0 from {_SAMPLES} s asof left join {_TRACK} k on s.p = k.p and s.t >= k.t),
+ a as (select s.obs_id, k.t t1, k.latitude, k.longitude, k.view_angle a1 from {_SAMPLES} s asof left join {_TRACK} k on s.p = k.p and s.t <= k.t)"""
 
 
-@query(f"""with b as (select s.obs_id, s.t, k.t t0 from {_SAMPLES} s asof left join {_TRACK} k on s.p = k.p and s.t >= k.t), a as (select s.obs_id, k.t t1 from {_SAMPLES} s asof left join {_TRACK} k on s.p = k.p and s.t <= k.t)
- select obs_id, least(coalesce(epoch_us(t) - epoch_us(t0), 9000000000000), coalesce(epoch_us(t1) - epoch_us(t), 9000000000000)) gap_us from a join b using (obs_id) where least(coalesce(epoch_us(t) - epoch_us(t0), 9000000000000), coalesce(epoch_us(t1) - epoch_us(t), 9000000000000)) <= 4000000""")
+@query(f"""with {_BOTH}, d as (select p, median(epoch_us(t) - epoch_us(l)) m from (select p, t, lag(t) over (partition by p order by t) l from {_TRACK}) where l is not null group by 1),
+ u as (select obs_id, b.p, epoch_us(t) t, epoch_us(t0) t0, epoch_us(t1) t1, a0, a1, cos(radians(b.latitude)) * cos(radians(b.longitude)) x0, cos(radians(b.latitude)) * sin(radians(b.longitude)) y0, sin(radians(b.latitude)) z0,
+   cos(radians(a.latitude)) * cos(radians(a.longitude)) x1, cos(radians(a.latitude)) * sin(radians(a.longitude)) y1, sin(radians(a.latitude)) z1 from b join a using (obs_id)),
+ g as (select u.*, least(t - t0, t1 - t) gap, case when t1 > t0 then (t - t0) / (t1 - t0) when t1 = t0 then 0.0 end share, greatest(60000000, 3 * d.m) reach from u left join d using (p)),
+ w as (select obs_id, case when t0 is not null and t1 is not null then gap end gap, case when gap <= reach and t0 is not null and t1 is not null then share end s, * exclude (obs_id, gap) from g),
+ i as (select obs_id, gap, x0 + (x1 - x0) * s x, y0 + (y1 - y0) * s y, z0 + (z1 - z0) * s z, a0 + (a1 - a0) * s angle from w)
+ select obs_id, round(degrees(asin(greatest(-1, least(1, z / sqrt(x * x + y * y + z * z))))), 5) + 0.0 latitude, round(degrees(atan2(y, x)), 5) + 0.0 longitude, round(angle, 5) + 0.0 view_angle, gap / 1e6 gap_seconds from i""")
+def interp_track(spark, d):
+    """Position, view angle and measured gap of every reading from the track.
+
+    The unit vector is interpolated between the fixes before and after, so tracks cross the date line and the poles. Null
+    outside the track, or if the nearer fix is beyond three times the platform's median cadence, and 60 seconds.
+    """
+    samples, track = _clocks(spark, d)
+    lat, lon = F.radians("latitude"), F.radians("longitude")
+    track = track.withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat), "us": micros(F.col("time"))})
+    own = Window.partitionBy("p", F.floor(F.col("us") / 3_600_000_000)).orderBy("us")
+    # Steps within an hour; the few from one hour into another don't move a median that is held against 60 seconds.
+    steps = track.select("p", "us").distinct().withColumn("step", F.col("us") - F.lag("us").over(own))
+    cadence = steps.groupBy("p").agg((3 * F.percentile_approx("step", 0.5, 100_000)).alias("reach")).withColumn("reach", F.greatest(F.lit(60_000_000), F.col("reach")))
+    values = ["x", "y", "z", "view_angle"]
+    b = series.bracketed(samples, track, "p", "time", "fix_id", values).join(cadence, "p", "left")
+    i = series.interpolated(b.withColumn("gap", series.gap(b)), values)
+    i = i.withColumns({v: F.when(F.col("gap") <= F.col("reach"), F.col(v)) for v in values})
+    norm = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+    r5 = lambda c: F.round(c, 5) + 0.0
+    latitude = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("z") / norm))))
+    return i.select("obs_id", r5(latitude).alias("latitude"), r5(F.degrees(F.atan2("y", "x"))).alias("longitude"), r5("view_angle").alias("view_angle"), (F.col("gap") / 1e6).alias("gap_seconds"))
+
+
+@query(f"""with {_BOTH}, g as (select obs_id, least(coalesce(epoch_us(t) - epoch_us(t0), 9000000000000), coalesce(epoch_us(t1) - epoch_us(t), 9000000000000)) gap_us from a join b using (obs_id)) select * from g where gap_us <= 4000000""")
 def asof_nearest_tolerance(spark, d):
     samples, track = _clocks(spark, d)
-    b = series.bracketed(samples, track, "p", "time", ["latitude"], reach_s=4)
+    b = series.bracketed(samples, track, "p", "time", "fix_id", ["latitude"])
     gap = F.least(F.col("t") - F.col("t_before"), F.col("t_after") - F.col("t"))
     return b.select("obs_id", gap.alias("gap_us")).filter("gap_us <= 4000000")
 

@@ -1,40 +1,51 @@
 """Written intermediate tables.
 
 Iterative and multi-pass operators cut their lineage by writing a table into the folder that the cluster names in
-``spark.checkpoint.dir``. All executors share it, so a lost executor loses nothing. Only where that setting is absent, as
-in tests on one machine, a temporary folder of the driver takes its place.
+``spark.checkpoint.dir``. All executors share it, so a lost executor loses nothing. Only where that setting is absent and all
+tasks run on the driver's machine, as in tests, a temporary folder takes its place; without it a cluster is an error.
+
+An application's tables lie in one folder, which goes when the driver's Python ends: frames that were handed out read them.
 """
 
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-_OWN: list[str] = []
+_FOLDERS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-            atexit.register(_remove, _OWN[0])
-        at = f"file://{_OWN[0]}"
-    return at.rstrip("/")
-
-
-def _remove(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
+    """The folder of this application's tables."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at:
+            _FOLDERS[app] = f"{at.rstrip('/')}/skygrain/{app}"
+            atexit.register(_remove, spark, _FOLDERS[app])
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            _FOLDERS[app] = f"file://{own}"
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _FOLDERS[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM is gone: the folder stays until the shared one is cleared
+        pass
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/skygrain/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

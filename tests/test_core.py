@@ -45,10 +45,48 @@ def test_circular_and_distance(spark):
 
 def test_bracketing(spark):
     t0 = dt.datetime(2025, 1, 1, 0, 59, 58)
-    track = spark.createDataFrame([("a", t0, 10.0), ("a", t0 + dt.timedelta(seconds=10), 20.0), ("a", t0 + dt.timedelta(seconds=400), 30.0)], "p string, at timestamp_ntz, lat double")
-    samples = spark.createDataFrame([(i, "a", t0 + dt.timedelta(seconds=s)) for i, s in enumerate((-1, 0, 1, 5, 10, 200))], "i int, p string, at timestamp_ntz")
-    got = {r.i: r.lat for r in series.interpolated(series.bracketed(samples, track, "p", "at", ["lat"]), ["lat"]).collect()}
-    assert got == {0: None, 1: 10.0, 2: 11.0, 3: 15.0, 4: 20.0, 5: None}
+    track = [("a", t0, 10.0, 1), ("a", t0 + dt.timedelta(seconds=10), 20.0, 2), ("a", t0 + dt.timedelta(seconds=10), 99.0, 5), ("a", t0 + dt.timedelta(seconds=400), 30.0, 3), ("b", t0, 1.0, 4)]
+    track = spark.createDataFrame(track, "p string, at timestamp_ntz, lat double, k int")
+    samples = spark.createDataFrame([(i, "a", t0 + dt.timedelta(seconds=s)) for i, s in enumerate((-1, 0, 1, 5, 10, 200, 9000))], "i int, p string, at timestamp_ntz")
+    got = {r.i: r.lat for r in series.interpolated(series.bracketed(samples, track, "p", "at", "k", ["lat"]), ["lat"], 60_000_000).collect()}
+    assert got == {0: None, 1: 10.0, 2: 11.0, 3: 15.0, 4: 20.0, 5: None, 6: None}
+    # Only the nearer fix counts, however far the other one is, also across slices.
+    near = {r.i: r.lat for r in series.interpolated(series.bracketed(samples, track, "p", "at", "k", ["lat"]), ["lat"], 250_000_000).collect()}
+    assert near == {**got, 5: 20.0 + 10.0 * 190 / 390}
+
+
+def test_percentiles_against_numpy(spark, monkeypatch):
+    from skygrain.functions import skew
+    from skygrain.operators import stats
+
+    rng = np.random.default_rng(1)
+    values = {"a": rng.standard_normal(999), "b": rng.integers(0, 3, 400).astype(float), "c": np.array([5.0])}
+    rows = [(g, float(v)) for g, x in values.items() for v in x] + [("a", math.nan), ("a", None), ("none", math.inf)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = {"low": 0.0, "q": 0.25, "mid": 0.5, "high": 0.99, "top": 1.0}
+    for r in stats.percentiles(df, ["g"], "v", ps).collect():
+        assert all(math.isclose(r[n], np.quantile(values[r.g], p), abs_tol=1e-12) for n, p in ps.items())
+    one = stats.percentiles(df, [], "v", ps).collect()
+    assert len(one) == 1 and math.isclose(one[0].mid, np.median(np.concatenate(list(values.values()))))
+    assert stats.percentiles(df.limit(0), ["g"], "v", ps).count() == 0
+    # Ranks are the same whether or not rows of frequent values stay where they are.
+    want = {(r.g, repr(r.v)): r.rank for r in stats.ranked(df, ["g"], "v", "rank").collect()}
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    got = stats.ranked(df, ["g"], "v", "rank").collect()
+    assert {(r.g, repr(r.v)): r.rank for r in got} == want and len(got) == len(rows) - 1
+
+
+def test_polynomial_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(2025, 2026, 300)
+    y = 3 - 2 * (x - 2025) + 5 * (x - 2025) ** 2 + 0.1 * rng.standard_normal(300)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x - 2025, y)], "x double, y double")
+    got = series.polynomial(df, F.col("x"), F.col("y"), 2)
+    assert np.allclose(got["coefficients"], np.polyfit(x - 2025, y, 2)[::-1], atol=1e-8) and got["n"] == 300 and got["r2"] > 0.9
+    at = df.select(series.evaluated(got["coefficients"], F.col("x")).alias("p")).first().p
+    assert math.isclose(at, np.polyval(got["coefficients"][::-1], float(x[0] - 2025)))
+    with pytest.raises(ValueError):
+        series.polynomial(df.limit(2), F.col("x"), F.col("y"), 2)
 
 
 def test_week_buckets(spark):
