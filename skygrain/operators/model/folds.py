@@ -6,6 +6,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from skygrain.functions.exprs import finite, hours
@@ -16,7 +17,8 @@ from skygrain.operators.stats import melted, percentiles
 def time_blocks(df: DataFrame, time: str, k: int) -> DataFrame:
     """(time, time_block): contiguous blocks of the distinct times, floor((rank - 1) k / n). One row per distinct time."""
     t = df.filter(F.col(time).isNotNull()).select(time).distinct()
-    numbered = running_total(t, [], F.floor(hours(F.col(time)) / 1024), [time], F.lit(1).cast("long"), "_i")
+    at = F.col(time) if isinstance(t.schema[time].dataType, NumericType) else hours(F.col(time))
+    numbered = running_total(t, [], F.floor(at / 1024), [time], F.lit(1).cast("long"), "_i")
     n = t.agg(F.count("*").alias("_n"))
     return numbered.join(F.broadcast(n)).select(time, F.floor(F.col("_i") * k / F.col("_n")).cast("long").alias("time_block"))  # one row
 

@@ -131,40 +131,71 @@ def spline_design(knots: dict[str, np.ndarray], cycles: dict[str, float], extra:
     return design
 
 
-def fit_ridge(df: DataFrame, design: Design, target: str, fold: str, alphas: np.ndarray = np.logspace(-3, 6, 60)) -> dict:
-    """Ridge on the standardised design; alpha by leave-one-out error, whose sums a second pass collects per alpha."""
-    m = sum(moments(df, design, target, fold).values())
+def _ridge_start(m: np.ndarray, alphas: np.ndarray) -> dict:
     gram, cross, mean, scale, ybar, _ = standardised(m)
     n = m[0, 0]
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     values = np.maximum(values, 0) * n
     turned = vectors.T @ (cross * n)
-    shrunk = 1 / (values[:, None] + alphas)
+    return {"m": m, "n": n, "gram": gram, "cross": cross, "mean": mean, "scale": scale, "ybar": float(ybar), "values": values, "vectors": vectors, "turned": turned, "shrunk": 1 / (values[:, None] + alphas)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(alphas))
-        for pdf in batches:
-            z = ((design(pdf) - mean) / scale) @ vectors
-            y = pdf[target].to_numpy(float) - ybar
-            h = (z * z) @ shrunk + 1 / n
-            total += (((y[:, None] - z @ (turned[:, None] * shrunk)) / np.maximum(1 - h, 1e-9)) ** 2).sum(axis=0)
-        yield pd.DataFrame({"i": range(len(alphas)), "e": total})
-
-    errors = df.mapInPandas(run, "i long, e double").groupBy("i").agg(F.sum("e").alias("e")).orderBy("i").collect()
-    alpha = float(alphas[int(np.argmin([r["e"] for r in errors]))])
-    b = vectors @ (turned / (values + alpha))
-    inverse = vectors @ np.diag(1 / (values + alpha)) @ vectors.T
-    sse = m[-1, -1] - n * ybar**2 - 2 * b @ (cross * n) + b @ (gram * n) @ b
+
+def _ridge_end(f: dict, alpha: float) -> dict:
+    n, gram, cross, vectors = f["n"], f["gram"], f["cross"], f["vectors"]
+    b = vectors @ (f["turned"] / (f["values"] + alpha))
+    inverse = vectors @ np.diag(1 / (f["values"] + alpha)) @ vectors.T
+    sse = f["m"][-1, -1] - n * f["ybar"] ** 2 - 2 * b @ (cross * n) + b @ (gram * n) @ b
     sigma2 = max(sse, 0) / max(n - np.linalg.matrix_rank(gram) - 1, 1)
-    return {"b": b, "mean": mean, "scale": scale, "ybar": float(ybar), "alpha": alpha, "inverse": inverse, "sigma2": float(sigma2)}
+    return {"b": b, "mean": f["mean"], "scale": f["scale"], "ybar": f["ybar"], "alpha": alpha, "inverse": inverse, "sigma2": float(sigma2)}
+
 
+def fit_ridges(df: DataFrame, design: Design, target: str, part: str, sets: dict[str, set[int]], alphas: np.ndarray = np.logspace(-3, 6, 60)) -> dict[str, dict]:
+    """A ridge per named set of parts of the rows, on its standardised design; sets without rows have none.
 
-def scored(df: DataFrame, design: Design, fit: dict, keep: list[str], schema: str) -> DataFrame:
-    """keep columns with `prediction` and its parameter variance sigma2 x' (X'X + alpha I)^-1 x."""
+    One pass gathers the moments of every part, whose sums are those of any set. Alpha is chosen by leave-one-out error,
+    whose sums for all sets and alphas a second pass collects.
+    """
+    own = moments(df, design, target, part)
+    starts = {}
+    for name, ks in sets.items():
+        m = sum((own[k] for k in ks if k in own), np.zeros((0, 0)) if not own else np.zeros_like(next(iter(own.values()))))
+        if m.size and m[0, 0] >= 2:
+            starts[name] = _ridge_start(m, alphas)
+    of: dict[int, list[str]] = {k: [n for n in starts if k in sets[n]] for k in own}
+    keep = {n: {k: f[k] for k in ("n", "mean", "scale", "ybar", "vectors", "turned", "shrunk")} for n, f in starts.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {n: np.zeros(len(alphas)) for n in keep}
+        for pdf in batches:
+            x, y, parts = design(pdf), pdf[target].to_numpy(float), pdf[part].to_numpy()
+            for k in np.unique(parts):
+                at = parts == k
+                for name in of[int(k)]:
+                    f = keep[name]
+                    z = ((x[at] - f["mean"]) / f["scale"]) @ f["vectors"]
+                    h = (z * z) @ f["shrunk"] + 1 / f["n"]
+                    error = (y[at] - f["ybar"])[:, None] - z @ (f["turned"][:, None] * f["shrunk"])
+                    total[name] += ((error / np.maximum(1 - h, 1e-9)) ** 2).sum(axis=0)
+        yield pd.DataFrame([(n, i, e) for n, t in total.items() for i, e in enumerate(t)], columns=["name", "i", "e"])
+
+    errors: dict[str, dict[int, float]] = {}
+    for r in df.mapInPandas(run, "name string, i long, e double").groupBy("name", "i").agg(F.sum("e").alias("e")).collect():  # sets x alphas
+        errors.setdefault(r["name"], {})[r["i"]] = r["e"]
+    return {n: _ridge_end(f, float(alphas[min(errors[n], key=lambda i: (errors[n][i], i))])) for n, f in starts.items()}
+
+
+def scored(df: DataFrame, design: Design, fits: dict[str, dict], fit: str, keep: list[str], schema: str) -> DataFrame:
+    """keep columns with the `prediction` of the fit that the row names, and its parameter variance sigma2 x' (X'X + alpha I)^-1 x."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            z = (design(pdf) - fit["mean"]) / fit["scale"]
-            yield pdf[keep].assign(prediction=z @ fit["b"] + fit["ybar"], variance=fit["sigma2"] * np.einsum("ij,jk,ik->i", z, fit["inverse"], z))
+            x, names = design(pdf), pdf[fit].to_numpy()
+            prediction, variance = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+            for name in set(names):
+                f, at = fits[name], names == name
+                z = (x[at] - f["mean"]) / f["scale"]
+                prediction[at] = z @ f["b"] + f["ybar"]
+                variance[at] = f["sigma2"] * np.einsum("ij,jk,ik->i", z, f["inverse"], z)
+            yield pdf[keep].assign(prediction=prediction, variance=variance)
 
     return df.mapInPandas(run, f"{schema}, prediction double, variance double")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import concurrent.futures
 import functools
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -41,11 +43,17 @@ def _featured(spark, d):
     """Matched rows with all features, missing ones filled by medians, soil types as 0/1 columns."""
     m = matched(spark, d).withColumns({"lat": F.col("latitude").cast("double"), "lon": lon180(F.col("longitude")), "hours": micros(F.col("hour")) / 3.6e9})
     m = written(m.filter(F.col("hour").isNotNull()).select("row_id", "s", "t", "v", "y", *FEATURES, "era5_slt"), "matched")
-    m = folds.imputed(m, folds.medians(m, FEATURES), FEATURES)
-    return written(folds.onehot(m, "era5_slt", list(range(1, 8))).drop("era5_slt"), "features")
+    m = written(folds.imputed(m, folds.medians(m, FEATURES), FEATURES), "imputed")
+    return written(folds.onehot(m, "era5_slt", folds.codes_of(m, "era5_slt")).drop("era5_slt"), "features")
 
 
-ONEHOT = [f"era5_slt_{k}" for k in range(1, 8)]
+def _all(m):
+    """The features of a featured frame: the continuous ones and the codes found in it."""
+    return [*FEATURES, *_codes(m)]
+
+
+def _codes(m):
+    return [c for c in m.columns if c.startswith("era5_slt_")]
 
 
 @query("""select hour, floor((row_number() over (order by hour) - 1) * 4 / count(*) over ())::bigint time_block from (select distinct hour from clara_era5_merged where hour is not null)""")
@@ -100,8 +108,11 @@ def pivot_rmse(spark, d):
 def impute_onehot(spark, d):
     """Medians of the training rows fill gaps; soil types become 0/1 columns."""
     m = matched(spark, d)
-    x = folds.onehot(folds.imputed(m, folds.medians(m.filter("s <> 0"), ["era5_t2m", "era5_sp"]), ["era5_t2m", "era5_sp"]), "era5_slt", list(range(1, 8)))
-    return x.select("row_id", F.round("era5_t2m", 4).alias("t2m"), F.round("era5_sp", 4).alias("sp"), *ONEHOT)
+    train = m.filter("s <> 0")
+    x = folds.onehot(folds.imputed(m, folds.medians(train, ["era5_t2m", "era5_sp"]), ["era5_t2m", "era5_sp"]), "era5_slt", folds.codes_of(train, "era5_slt"))
+    # The query's columns are fixed; a code that no training row has is 0 everywhere.
+    codes = [(F.col(c) if c in x.columns else F.lit(0.0)).alias(c) for c in (f"era5_slt_{k}" for k in range(1, 8))]
+    return x.select("row_id", F.round("era5_t2m", 4).alias("t2m"), F.round("era5_sp", 4).alias("sp"), *codes)
 
 
 @query(f"""select row_id, round(exp(mu + (a + b) / 2), 5) mean, round((exp(a + b) - 1) * exp(2 * mu + a + b), 4) total, round((exp(a) - 1) * exp(2 * mu + a), 4) model_part from (select row_id, y mu, era5_lcc::double a, greatest(era5_mcc::double, 0) b from {MATCHED} where not isnan(era5_lcc) and not isnan(era5_mcc) and era5_lcc between 0 and 1 and era5_mcc between -1e-10 and 1)""")
@@ -133,9 +144,6 @@ def st_scaler(spark, d):
 
 # --- models ------------------------------------------------------------------------------------------------------------
 
-_ALL = [*FEATURES, *ONEHOT]
-
-
 def _blocks(m):
     """The given blocks that can be fitted: rows on both sides and a target that varies."""
     f = folds.fold_sums(m, "s", "t", {"n": F.lit(1), "y": F.col("y"), "yy": F.col("y") ** 2}).collect()  # one row per block
@@ -150,24 +158,34 @@ def _held_out(m):
 
 
 def _forest(train, trees=TREES):
-    return RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=trees, minInstancesPerNode=5, featureSubsetStrategy="sqrt", maxDepth=12, maxBins=64, seed=14122).fit(train)
+    return RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=trees, minInstancesPerNode=5, featureSubsetStrategy="sqrt", maxDepth=12, maxBins=64, seed=20).fit(train)
 
 
 def _assembled(m):
-    return VectorAssembler(inputCols=_ALL, outputCol="x").transform(m)
+    return VectorAssembler(inputCols=_all(m), outputCol="x").transform(m)
 
 
 def _benchmark(predicted):
-    out = functools.reduce(DataFrame.unionByName, predicted)
+    out = functools.reduce(DataFrame.unionByName, predicted) if isinstance(predicted, list) else predicted
     return out.groupBy("fold").agg(*folds.metrics(F.col("v"), F.col("p")))
 
 
+def _side_by_side(jobs, at_once=4):
+    """The results of independent driver-side jobs, a few at a time: small fits don't fill a cluster one by one."""
+    with concurrent.futures.ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(lambda job: job()), jobs))
+
+
 @query()
 def rf_benchmark(spark, d):
     """Random forest of log radiance on blocked folds; metrics on the original scale."""
-    m = written(_featured(spark, d), "rf")
-    out = [_forest(_assembled(train)).transform(_assembled(test)).select(F.lit(name).alias("fold"), "v", F.exp("prediction").alias("p")) for name, train, test in _held_out(m)]
-    return _benchmark(out)
+    m = _featured(spark, d)
+
+    def one(name, train, test):
+        p = _forest(_assembled(train)).transform(_assembled(test)).select(F.lit(name).alias("fold"), "v", F.exp("prediction").alias("p"))
+        return written(p, "forest")
+
+    return _benchmark(_side_by_side([functools.partial(one, *b) for b in _held_out(m)]))
 
 
 @query()
@@ -177,32 +195,45 @@ def tree_moments(spark, d):
     return _forest_mean(m, m).select("row_id", F.col("prediction").alias("mean"), "variance")
 
 
-@query()
-def lasso_benchmark(spark, d):
-    """Lasso with its penalty chosen over five inner folds, from moments."""
-    m = _featured(spark, d).withColumn("inner", F.pmod(F.col("row_id"), F.lit(5)))
+def _parted(m):
+    """m with `part`, the number of its (space, time) block, and the blocks by number."""
     spaces, times = (sorted(r[0] for r in m.select(c).distinct().collect()) for c in ("s", "t"))  # block numbers
     place = lambda c, of: F.array_position(F.array(*map(F.lit, of)), F.col(c)) - 1
-    # One pass: the moments of every training set are sums of its blocks' own.
-    parts = linear.moments(m.withColumn("part", (place("s", spaces) * len(times) + place("t", times)) * 5 + F.col("inner")), linear.plain_design(_ALL), "y", "part")
-    own = {(spaces[k // 5 // len(times)], times[k // 5 % len(times)], k % 5): x for k, x in parts.items()}
+    return m.withColumn("part", place("s", spaces) * len(times) + place("t", times)), [(a, b) for a in spaces for b in times]
+
+
+def _outside(cells, spaces, times, within=None):
+    """Numbers of the blocks in none of the spaces and none of the times, of those in `within` if given."""
+    return {k for k, (a, b) in enumerate(cells) if a not in spaces and b not in times and (within is None or k in within)}
+
+
+@query()
+def lasso_benchmark(spark, d):
+    """Lasso with its penalty chosen over five inner folds, contiguous in time, from moments gathered in one pass."""
+    m = _featured(spark, d)
+    inner = folds.time_blocks(m, "hours", 5).withColumnRenamed("time_block", "inner")
+    m, cells = _parted(m.join(inner, "hours"))
+    names = _all(m)
+    own = linear.moments(m.withColumn("both", F.col("part") * 5 + F.col("inner")), linear.plain_design(names), "y", "both")
     out = []
     for s, t in _blocks(m):
         by_inner: dict[int, np.ndarray] = {}
-        for (a, b, i), x in own.items():
-            if a != s and b != t:
-                by_inner[i] = by_inner.get(i, 0) + x
+        train = _outside(cells, {s}, {t})
+        for k, x in own.items():
+            if k // 5 in train:
+                by_inner[k % 5] = by_inner.get(k % 5, 0) + x
         w, c, _ = linear.fit_lasso(by_inner)
         p = F.lit(c)
-        for f, b in zip(_ALL, w):
+        for f, b in zip(names, w):
             if b:
                 p = p + F.lit(float(b)) * F.col(f)
         out.append(m.filter((F.col("s") == s) & (F.col("t") == t)).select(F.lit(f"s{s}t{t}").alias("fold"), "v", F.exp(p).alias("p")))
     return _benchmark(out)
 
 
-def _spline(train):
-    return linear.spline_design(linear.knots_of(train, [*CONTINUOUS, "lat"]), {"lon": 360.0, "local_time": 24.0}, ONEHOT)
+def _spline(m):
+    """The spline design, its knots from the features of all rows: they say nothing of the target, and moments add up over blocks."""
+    return linear.spline_design(linear.knots_of(m, [*CONTINUOUS, "lat"]), {"lon": 360.0, "local_time": 24.0}, _codes(m))
 
 
 @query()
@@ -218,18 +249,49 @@ def spline_basis(spark, d):
     return m.mapInPandas(run, "row_id long, basis array<double>")
 
 
-def _gam(train, test):
-    design = _spline(train)
-    fit = linear.fit_ridge(train.withColumn("one", F.lit(0)), design, "y", "one")
-    keep = ["row_id", "v", "y", "lat", "lon", "hours"]
-    return linear.scored(test, design, fit, keep, "row_id long, v double, y double, lat double, lon double, hours double")
+_KEEP = "row_id long, v double, y double, lat double, lon double, hours double"
+
+
+def _named(cells, blocks):
+    """Training sets of the outer blocks by name."""
+    return {f"s{s}t{t}": _outside(cells, {s}, {t}) for s, t in blocks}
+
+
+def _nested(cells, name="", spaces=(), times=()):
+    """3 x 3 inner blocks of what lies outside the given spaces and times: {name: (training parts, test parts)}."""
+    within = _outside(cells, set(spaces), set(times))
+    left = [sorted({cells[k][i] for k in within}) for i in (0, 1)]
+    out = {}
+    for i, a in enumerate(np.array_split(left[0], 3)):
+        for j, b in enumerate(np.array_split(left[1], 3)):
+            a_, b_ = set(a.tolist()), set(b.tolist())
+            test = {k for k in within if cells[k][0] in a_ and cells[k][1] in b_}
+            out[f"{name}i{i}j{j}"] = (_outside(cells, a_, b_, within), test)
+    return out
+
+
+def _asked(m, of):
+    """m once per name that wants its part: `of` maps names to parts."""
+    wanted: dict[int, list[str]] = {}
+    for name, ks in of.items():
+        for k in ks:
+            wanted.setdefault(k, []).append(name)
+    lists = F.lit(None).cast("array<string>")
+    for k, names in wanted.items():
+        lists = F.when(F.col("part") == k, F.array(*map(F.lit, names))).otherwise(lists)
+    return m.withColumn("fold", F.explode(lists))
 
 
 @query()
 def gam_benchmark(spark, d):
-    """Spline ridge on blocked folds."""
-    m = _featured(spark, d)
-    return _benchmark([_gam(train, test).select(F.lit(name).alias("fold"), "v", F.exp("prediction").alias("p")) for name, train, test in _held_out(m)])
+    """Spline ridge on blocked folds: two passes fit all blocks, a third scores each row by the fit that left it out."""
+    m, cells = _parted(_featured(spark, d))
+    blocks = _blocks(m)
+    design = _spline(m)
+    fits = linear.fit_ridges(m, design, "y", "part", _named(cells, blocks))
+    test = _asked(m, {n: {cells.index(b)} for n, b in zip(_named(cells, blocks), blocks)}).filter(F.col("fold").isin(list(fits)))
+    p = linear.scored(test, design, fits, "fold", ["fold", "v"], "fold string, v double")
+    return _benchmark(p.select("fold", "v", F.exp("prediction").alias("p")))
 
 
 _KEPT = ["row_id", "v", "y", "lat", "lon", "hours"]
@@ -246,39 +308,78 @@ def _forest_mean(train, rows, keep=_KEPT):
     return x.withColumn("variance", F.expr("aggregate(p, 0D, (a, b) -> a + (b - prediction) * (b - prediction)) / (size(p) - 1)")).drop("p")
 
 
-def _kriged(fitted, at):
-    """at with `kriged`, 0 where nothing is near, and `kriging_variance`, from the residuals y - prediction of the fitted rows."""
+def _kriged(fitted, at, held_out=None):
+    """at with `kriged`, 0 where nothing is near, and `kriging_variance`, from the residuals y - prediction of the fitted rows.
+
+    The variogram comes from `held_out` residuals (columns as of fitted) where given: those of the rows fitted are too small.
+    """
     speed = 10.0  # km of distance that an hour counts for
     placed = lambda df: df.withColumns(kriging.coordinates(F.col("lat"), F.col("lon"), F.col("hours"), speed))
-    fitted = written(placed(fitted).withColumns({"residual": F.col("y") - F.col("prediction"), "day": F.floor(F.col("hours") / 24)}), "residuals")
-    pairs = sampled_pairs(fitted, "day", "row_id", "lat", "lon", ["residual"], each=8)
+    rest = lambda df: placed(df).withColumns({"residual": F.col("y") - F.col("prediction"), "day": F.floor(F.col("hours") / 24)})
+    fitted = written(rest(fitted), "residuals")
+    pairs = sampled_pairs(fitted if held_out is None else rest(held_out), "day", "row_id", "lat", "lon", ["residual"], each=8)
     bins = by_distance(pairs, "residual", 1500.0, kriging.LAGS).select("mean_distance_km", "semivariance", "n_pairs").collect()  # one row per lag
     v = kriging.fit_variogram([tuple(b) for b in bins]) if len(bins) > 1 else {"nugget": 0.01, "psill": 0.0025, "reach": 3000.0}
     k = kriging.predict(fitted, placed(at), "row_id", v, 2000.0)
     return at.join(k, "row_id", "left").withColumn("kriged", F.coalesce("kriged", F.lit(0.0)))
 
 
+def _gam_parts(m, cells, blocks):
+    """(rows of every block's training and test sets with their predictions, held-out residual rows), by `fold`.
+
+    Held out are the 3 x 3 inner blocks of each training set.
+    """
+    design, outer = _spline(m), _named(cells, blocks)
+    inner = {n: _nested(cells, f"{n}/", {s}, {t}) for n, (s, t) in zip(outer, blocks)}
+    every = {k: v for x in inner.values() for k, v in x.items()}
+    fits = linear.fit_ridges(m, design, "y", "part", outer | {k: train for k, (train, _) in every.items()})
+    rows = _asked(m, {n: ks | {cells.index(b)} for (n, ks), b in zip(outer.items(), blocks)})
+    both = written(linear.scored(rows, design, fits, "fold", ["fold", "part", *_KEPT], "fold string, part long, " + _KEEP), "mean-model")
+    out = linear.scored(_asked(m, {k: test for k, (_, test) in every.items() if k in fits}), design, fits, "fold", ["fold", *_KEPT], "fold string, " + _KEEP)
+    return both, written(out.withColumn("fold", F.substring_index("fold", "/", 1)), "held-out")
+
+
 @query()
 def kriging_predict(spark, d):
     """Forest and spline ridge with kriged residuals: the test rows of every block with both predictions and the variances."""
-    m = _featured(spark, d)
-    out = []
-    for name, train, test in _held_out(m):
-        for model, mean in (("forest", _forest_mean), ("gam", _gam)):
-            both = mean(train, train.unionByName(test)).join(test.select("row_id", F.lit(True).alias("test")), "row_id", "left")
-            both = written(both, "mean-model")
-            k = _kriged(both.filter("test is null").drop("test"), both.filter("test").drop("test"))
-            k = k.select(F.lit(name).alias("fold"), F.lit(model).alias("model"), "row_id", "v", F.exp("prediction").alias("mean_prediction"), F.exp(F.col("prediction") + F.col("kriged")).alias("kriged_prediction"), F.col("variance").alias("mean_variance"), "kriging_variance")
-            out.append(written(k, "kriged"))
-    return functools.reduce(DataFrame.unionByName, out)
+    m, cells = _parted(_featured(spark, d))
+    blocks = _blocks(m)
+    ridge, out_of_fold = _gam_parts(m, cells, blocks)
+
+    def one(model, block):
+        s, t = block
+        name, at = f"s{s}t{t}", F.col("part") == cells.index(block)
+        train, test = m.filter(F.col("part").isin(list(_outside(cells, {s}, {t})))), m.filter(at)
+        if model == "forest":
+            both, held_out = written(_forest_mean(train, train.unionByName(test), ["part", *_KEPT]), "mean-model"), None
+        else:
+            both, held_out = ridge.filter(F.col("fold") == name), out_of_fold.filter(F.col("fold") == name)
+        k = _kriged(both.filter(~at), both.filter(at), held_out)
+        k = k.select(
+            F.lit(name).alias("fold"), F.lit(model).alias("model"), "row_id", "v", F.exp("prediction").alias("mean_prediction"),
+            F.exp(F.col("prediction") + F.col("kriged")).alias("kriged_prediction"), F.col("variance").alias("mean_variance"), "kriging_variance",
+        )
+        return written(k, "kriged")
+
+    return functools.reduce(DataFrame.unionByName, _side_by_side([functools.partial(one, x, b) for b in blocks for x in ("forest", "gam")]))
+
+
+@query()
+def kriging_benchmark(spark, d):
+    """Metrics of forest and spline ridge on every block, alone and with kriged residuals."""
+    p = kriging_predict(spark, d)
+    kinds = F.explode(F.array(F.struct(F.lit("mean").alias("kind"), F.col("mean_prediction").alias("p")), F.struct(F.lit("kriged").alias("kind"), F.col("kriged_prediction").alias("p")))).alias("k")
+    return p.select("fold", "model", "v", kinds).select("fold", "model", "v", "k.*").groupBy("fold", "model", "kind").agg(*folds.metrics(F.col("v"), F.col("p")))
 
 
 @query()
 def oof_residuals(spark, d):
-    """Out-of-fold residuals of the spline ridge: each row predicted by the fit that left its block out."""
-    m = _featured(spark, d)
-    parts = [_gam(train, test).select("row_id", F.lit(name).alias("fold"), (F.col("y") - F.col("prediction")).alias("residual")) for name, train, test in _held_out(m)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    """Out-of-fold residuals of the spline ridge: 3 x 3 blocks of all matched rows, each row predicted by the fit outside its space and time."""
+    m, cells = _parted(_featured(spark, d))
+    design, inner = _spline(m), _nested(cells)
+    fits = linear.fit_ridges(m, design, "y", "part", {k: train for k, (train, _) in inner.items()})
+    p = linear.scored(_asked(m, {k: test for k, (_, test) in inner.items() if k in fits}), design, fits, "fold", ["fold", *_KEPT], "fold string, " + _KEEP)
+    return p.select("row_id", "fold", (F.col("y") - F.col("prediction")).alias("residual"))
 
 
 @query()
@@ -288,9 +389,10 @@ def grid_prediction(spark, d):
     e = era(spark, d).filter(finite(F.col("era5_t2m"))).withColumns({"lat": F.col("latitude").cast("double"), "lon": lon180(F.col("longitude")), "hours": micros(F.col("hour")) / 3.6e9})
     e = e.join(F.broadcast(e.agg(F.max("hour").alias("hour"))), "hour")  # one row
     fill = folds.medians(m, FEATURES)
-    at = folds.onehot(folds.imputed(e.select("row_id", "hour", *FEATURES, "era5_slt"), fill, FEATURES), "era5_slt", list(range(1, 8)))
+    codes = [int(c.rsplit("_", 1)[1]) for c in _codes(m)]
+    at = folds.onehot(folds.imputed(e.select("row_id", "hour", *FEATURES, "era5_slt"), fill, FEATURES), "era5_slt", codes)
     place = ["row_id", "lat", "lon", "hours"]
-    rows = m.select(*place, "y", *[c for c in _ALL if c not in place]).withColumns({"hour": F.lit(None).cast("timestamp_ntz"), "at": F.lit(False)})
+    rows = m.select(*place, "y", *[c for c in _all(m) if c not in place]).withColumns({"hour": F.lit(None).cast("timestamp_ntz"), "at": F.lit(False)})
     rows = rows.unionByName(at.withColumns({"y": F.lit(None).cast("double"), "at": F.lit(True)}), allowMissingColumns=True)
     both = written(_forest_mean(m, rows, [*place, "y", "hour", "at"]), "final")
     known = m.filter(F.col("lat").between(-90, 90)).select("lat", "lon", "hours")

@@ -1,7 +1,7 @@
 """Streaming queries over the given tables, replayed to their end.
 
-Tumbling windows are held open for 40 days, longer than any row of these tables is late; windows still open at the end of a
-replay are closed by the last batch's watermark only up to that delay, so the whole-table forms use complete mode.
+Tumbling windows are held open for 40 days, longer than any row of these tables is late, then written once and dropped from
+the state (append mode); at the end of a replay a closing row moves the watermark past the last window.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skygrain.plans.registry import COVARIATES, Registry, long_sql
+from skygrain.sources.tables import table
 from skygrain.streaming import replay
 
 query = Registry()
@@ -16,9 +17,9 @@ query = Registry()
 
 @query("""select date_trunc('hour', hour) window_start, cell_id, round(avg(clara_radiance_hourly_mean), 6) mean, count(*) n from clara_hourly_by_grid where hour is not null and isfinite(clara_radiance_hourly_mean) group by 1, 2""")
 def stream_hourly_mean(spark, d):
-    s = replay.source(spark, f"{d}/clara_hourly_by_grid.parquet")
-    g = replay.windowed_mean(s, "hour", "clara_radiance_hourly_mean", ["cell_id"], "1 hour", "40 days")
-    return replay.replayed(g, "complete").withColumn("mean", F.round("mean", 6))
+    rows = table(spark, d, "clara_hourly_by_grid").select("cell_id", "hour", "clara_radiance_hourly_mean")
+    means = lambda s: replay.windowed_mean(s, "hour", "clara_radiance_hourly_mean", ["cell_id"], "1 hour", "40 days")
+    return replay.flushed(rows, "hour", means).withColumn("mean", F.round("mean", 6))
 
 
 @query("select distinct event_type, user_id, ts from events where ts is not null")

@@ -25,9 +25,12 @@ def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -
 
 
 def windowed_mean(stream: DataFrame, time: str, value: str, keys: list[str], width: str, delay: str) -> DataFrame:
-    """Mean and count of the finite values per key and tumbling window; rows later than `delay` are the caller's to fear."""
-    s = stream.filter(F.col(time).isNotNull() & finite(F.col(value))).withColumn("_at", F.col(time).cast("timestamp"))
-    g = s.withWatermark("_at", delay).groupBy(F.window("_at", width), *keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    """Mean and count of the finite values per key and tumbling window; rows later than `delay` are the caller's to fear.
+
+    Windows without a finite value are left out, in the result and not before: any row's time moves the watermark.
+    """
+    s = stream.filter(F.col(time).isNotNull()).withColumns({"_at": F.col(time).cast("timestamp"), "_v": F.when(finite(F.col(value)), F.col(value))})
+    g = s.withWatermark("_at", delay).groupBy(F.window("_at", width), *keys).agg(F.avg("_v").alias("mean"), F.count("_v").alias("n")).filter("n > 0")
     return g.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), *keys, "mean", "n")
 
 
@@ -59,3 +62,24 @@ def replayed(stream: DataFrame, mode: str = "append") -> DataFrame:
         q = writer.foreachBatch(replace).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def flushed(df: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], last: str = "9000-01-01 00:00:00") -> DataFrame:
+    """All that an append-mode query over df writes, its open windows closed by a row at `last` after all others.
+
+    The rows are staged as the stream's input; the closing row, null but for its time, follows when they are through, so state
+    holds what the watermark still allows and every finished window is written once.
+    """
+    spark = df.sparkSession
+    base = new_path(spark, "stream")
+    df.write.parquet(f"{base}/in")
+    out = build(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
+    q = out.writeStream.option("checkpointLocation", f"{base}/state").outputMode("append").format("parquet").start(f"{base}/out")
+    try:
+        q.processAllAvailable()
+        end = spark.range(1).select(*[(F.lit(last) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+        end.write.mode("append").parquet(f"{base}/in")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")

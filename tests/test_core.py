@@ -134,7 +134,7 @@ def test_lasso_and_ridge(spark):
     w, c, alpha = linear.fit_lasso(linear.moments(df, linear.plain_design(["a", "b", "c"]), "y", "f"))
     assert np.allclose(w, [2, -1, 0], atol=0.05) and abs(c - 5) < 0.05 and alpha < 0.1
     design = linear.plain_design(["a", "b", "c"])
-    fit = linear.fit_ridge(df, design, "y", "f")
+    fit = linear.fit_ridges(df, design, "y", "f", {"all": set(range(5))})["all"]
     z = (x - fit["mean"]) / fit["scale"]
     h = np.einsum("ij,jk,ik->i", z, fit["inverse"], z) + 1 / 400
     loo = (((y - fit["ybar"] - z @ fit["b"]) / (1 - h)) ** 2).sum()
