@@ -64,15 +64,20 @@ def imputed(df: DataFrame, fill: DataFrame, columns: list[str]) -> DataFrame:
     return df.join(F.broadcast(fill)).withColumns({c: F.when(ok(c), F.col(c).cast("double")).otherwise(F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])  # one row
 
 
-def codes_of(train: DataFrame, column: str, most: int = 256) -> list:
-    """The codes of a categorical column, fitted on the training rows; more than `most` are an error."""
+def _code(column: str) -> Column:
+    """A code as a whole number, -1 where it is missing."""
     x = F.col(column)
-    got = sorted(r[0] for r in train.filter(x.isNotNull() & finite(x)).select(x.cast("long")).distinct().limit(most + 1).collect())
+    return F.when(finite(x), x.cast("long")).otherwise(F.lit(-1))
+
+
+def codes_of(train: DataFrame, column: str, most: int = 256) -> list[int]:
+    """The codes of a categorical column in the training rows, -1 among them if some are missing; more than `most` are an error."""
+    got = sorted(r[0] for r in train.select(_code(column)).distinct().limit(most + 1).collect())
     if len(got) > most:
         raise ValueError(f"{column} has more than {most} codes")
     return got
 
 
 def onehot(df: DataFrame, column: str, codes: list[int]) -> DataFrame:
-    """0/1 columns for the codes seen in training; other values, and missing ones, have none."""
-    return df.withColumns({f"{column}_{k}": F.coalesce((F.col(column) == k).cast("double"), F.lit(0.0)) for k in codes})
+    """0/1 columns <column>_<code> for the codes seen in training, <column>_missing for -1; other values have none."""
+    return df.withColumns({f"{column}_{'missing' if k == -1 else k}": (_code(column) == k).cast("double") for k in codes})

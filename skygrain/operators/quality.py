@@ -15,6 +15,13 @@ def in_range(value: Column, low: float = LOW, high: float = HIGH) -> Column:
     return finite(value) & (value > low) & (value <= high)
 
 
+def some(df: DataFrame, what: str) -> DataFrame:
+    """df, which must have rows."""
+    if df.isEmpty():
+        raise ValueError(f"no rows: {what}")
+    return df
+
+
 def rejections(df: DataFrame, value: Column, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(reason, n_rows): one reason per rejected row; a null value is non-finite."""
     ok = finite(value)

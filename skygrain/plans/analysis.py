@@ -141,6 +141,22 @@ def histogram_bins(spark, d):
     return obs(spark, d).groupBy((F.width_bucket(v, F.lit(0.0), F.lit(500.0), F.lit(50)) - 1).cast("long").alias("bin")).agg(F.count("*").alias("n"), r6(F.avg(F.signum(v) * F.log10(1 + F.abs(v)))).alias("log_modulus"))
 
 
+@query(f"select floor(lat / 15)::bigint lat_band, least(floor(v / 25), 19)::bigint v_bin, count(*) n, round(count(*) / sum(count(*)) over (), 9) share from {OBS} group by 1, 2")
+def density_2d(spark, d):
+    """Two-dimensional density: readings by band of latitude and bin of radiance."""
+    g = obs(spark, d).groupBy(F.floor(F.col("lat") / 15).alias("lat_band"), F.least(F.floor(F.col("v") / 25), F.lit(19)).alias("v_bin")).agg(F.count("*").alias("n"))
+    g = written(g, "density")
+    return g.join(F.broadcast(g.agg(F.sum("n").alias("total")))).select("lat_band", "v_bin", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))  # one row
+
+
+@query("select load_id, " + ", ".join(f"round(1 - count(case when isfinite({c}) then 1 end) / count(*), 6) {c}" for c in COVARIATES) + " from clara_era5_merged where load_id is not null group by 1")
+def missingness_matrix(spark, d):
+    """Missing rates as a matrix: one row per load, one column per covariate."""
+    long = stats.missingness(stats.melted(table(spark, d, "clara_era5_merged").filter("load_id is not null"), ["load_id"], COVARIATES), ["load_id"])
+    rate = long.select("load_id", "variable", r6(F.col("n_missing") / F.col("n_rows")).alias("rate"))
+    return rate.groupBy("load_id").pivot("variable", COVARIATES).agg(F.max("rate"))
+
+
 @query(f"select hour(TimeJD)::bigint hour_of_day, count(*) n, count(distinct platform) n_platforms from {OBS} group by 1")
 def sampling_by_hour(spark, d):
     return obs(spark, d).groupBy(F.hour("TimeJD").cast("long").alias("hour_of_day")).agg(F.count("*").alias("n"), F.count_distinct("platform").alias("n_platforms"))
@@ -407,6 +423,13 @@ def covariate_correlation(spark, d):
     return _matched_long(spark, d).groupBy("variable").agg(F.count("*").alias("n"), r6(stats.guarded_corr("value", "y")).alias("pearson"))
 
 
+@query(f"select variable, {_QSQL('value')} from {long_sql('y', _MATCHED.replace('row_id, ', ''))} where value is not null group by 1")
+def covariate_quantiles(spark, d):
+    """Exact quantiles of every covariate over the matched rows."""
+    q = stats.percentiles(_matched_long(spark, d), ["variable"], "value", dict(zip(_PN, _P)))
+    return q.select("variable", *[r6(n).alias(n) for n in _PN])
+
+
 @query(f"""with r as (select variable, rank() over (partition by variable order by value) + (count(*) over (partition by variable, value) - 1) / 2.0 a, rank() over (partition by variable order by y) + (count(*) over (partition by variable, y) - 1) / 2.0 b from {long_sql('y', _MATCHED.replace('row_id, ', ''))} where value is not null)
  select variable, count(*) n, case when count(*) >= 20 and max(a) > min(a) and max(b) > min(b) then round(corr(a, b), 6) end spearman from r group by 1""")
 def spearman_vs_target(spark, d):
@@ -431,9 +454,9 @@ def spearman_matrix(spark, d):
     return ranks.groupBy("va", "vb").agg(F.count("*").alias("n"), r6(stats.guarded_corr("a", "b")).alias("spearman"))
 
 
-_SAMPLED = f"""(with e as (select row_id, hour, iy / 4.0 lat, ix / 4.0 lon, era5_t2m::double v, (((row_id % 2147483648) * 2654435761) % 4294967296) s from {ERA}), k as (select *, lead(row_id, 1) over w n1, lead(row_id, 2) over w n2, lead(row_id, 3) over w n3 from (select e.*, floor(s * c / 4294967296.0) bucket from e join (select hour, ceil(count(*) / 4096.0) c from e group by 1) using (hour)) window w as (partition by hour, bucket order by s, row_id)),
+SAMPLED_PAIRS = f"""(with e as (select row_id, hour, iy / 4.0 lat, ix / 4.0 lon, era5_t2m::double v, (((row_id % 2147483648) * 2654435761) % 4294967296) s from {ERA}), k as (select *, lead(row_id, 1) over w n1, lead(row_id, 2) over w n2, lead(row_id, 3) over w n3 from (select e.*, floor(s * c / 4294967296.0) bucket from e join (select hour, ceil(count(*) / 4096.0) c from e group by 1) using (hour)) window w as (partition by hour, bucket order by s, row_id)),
  p as (select row_id l, unnest([n1, n2, n3]) r from k)
- select 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) dist, a.v x, b.v y from p join e a on a.row_id = l join e b on b.row_id = r)"""
+ select 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) dist, a.v x, b.v y, l, r, a.hour from p join e a on a.row_id = l join e b on b.row_id = r)"""
 
 
 def _pairs(spark, d):
@@ -441,7 +464,7 @@ def _pairs(spark, d):
     return stats.sampled_pairs(e, "hour", "row_id", "lat", "lon", ["v"])
 
 
-_BINNED = f"(select *, least(floor(dist / (top / 12)), 11)::bigint bin from (select *, max(dist) over () top, count(*) over () total from {_SAMPLED} where isfinite(x) and isfinite(y)) where total >= 50 and top > 0)"
+_BINNED = f"(select *, least(floor(dist / (top / 12)), 11)::bigint bin from (select *, max(dist) over () top, count(*) over () total from {SAMPLED_PAIRS} where isfinite(x) and isfinite(y)) where total >= 50 and top > 0)"
 
 
 def _by_twelfths(spark, d):
@@ -464,7 +487,7 @@ def spatial_autocorr(spark, d):
     return _by_twelfths(spark, d).select("bin", "n_pairs", F.round("correlation", 5).alias("correlation"))
 
 
-@query(f"select count(*) n_pairs, round(quantile_cont(dist, 0.1), 4) p10, round(quantile_cont(dist, 0.5), 4) p50, round(quantile_cont(dist, 0.9), 4) p90 from {_SAMPLED}")
+@query(f"select count(*) n_pairs, round(quantile_cont(dist, 0.1), 4) p10, round(quantile_cont(dist, 0.5), 4) p50, round(quantile_cont(dist, 0.9), 4) p90 from {SAMPLED_PAIRS}")
 def pair_distance_quantile(spark, d):
     p = _pairs(spark, d).select("distance_km")
     q = stats.percentiles(p, [], "distance_km", {"p10": 0.1, "p50": 0.5, "p90": 0.9})

@@ -104,14 +104,14 @@ def pivot_rmse(spark, d):
 
 
 @query(f"""with k as (select median(case when isfinite(era5_t2m) then era5_t2m::double end) a, median(case when isfinite(era5_sp) then era5_sp::double end) b from {MATCHED} where s <> 0)
- select row_id, round(case when isfinite(era5_t2m) then era5_t2m::double else a end, 4) t2m, round(case when isfinite(era5_sp) then era5_sp::double else b end, 4) sp, {', '.join(f'coalesce((era5_slt = {i})::int::double, 0.0) era5_slt_{i}' for i in range(1, 8))} from {MATCHED}, k""")
+ select row_id, round(case when isfinite(era5_t2m) then era5_t2m::double else a end, 4) t2m, round(case when isfinite(era5_sp) then era5_sp::double else b end, 4) sp, {', '.join(f'coalesce((era5_slt = {i})::int::double, 0.0) era5_slt_{i}' for i in range(1, 8))}, (not coalesce(isfinite(era5_slt), false))::int::double era5_slt_missing from {MATCHED}, k""")
 def impute_onehot(spark, d):
     """Medians of the training rows fill gaps; soil types become 0/1 columns."""
     m = matched(spark, d)
     train = m.filter("s <> 0")
     x = folds.onehot(folds.imputed(m, folds.medians(train, ["era5_t2m", "era5_sp"]), ["era5_t2m", "era5_sp"]), "era5_slt", folds.codes_of(train, "era5_slt"))
     # The query's columns are fixed; a code that no training row has is 0 everywhere.
-    codes = [(F.col(c) if c in x.columns else F.lit(0.0)).alias(c) for c in (f"era5_slt_{k}" for k in range(1, 8))]
+    codes = [(F.col(c) if c in x.columns else F.lit(0.0)).alias(c) for c in (f"era5_slt_{k}" for k in (*range(1, 8), "missing"))]
     return x.select("row_id", F.round("era5_t2m", 4).alias("t2m"), F.round("era5_sp", 4).alias("sp"), *codes)
 
 
@@ -282,16 +282,30 @@ def _asked(m, of):
     return m.withColumn("fold", F.explode(lists))
 
 
-@query()
-def gam_benchmark(spark, d):
-    """Spline ridge on blocked folds: two passes fit all blocks, a third scores each row by the fit that left it out."""
-    m, cells = _parted(_featured(spark, d))
-    blocks = _blocks(m)
+def _gam_scored(m, cells, blocks):
+    """Every test row by the spline ridge that left it out: two passes fit all blocks, a third scores."""
     design = _spline(m)
     fits = linear.fit_ridges(m, design, "y", "part", _named(cells, blocks))
     test = _asked(m, {n: {cells.index(b)} for n, b in zip(_named(cells, blocks), blocks)}).filter(F.col("fold").isin(list(fits)))
-    p = linear.scored(test, design, fits, "fold", ["fold", "v"], "fold string, v double")
-    return _benchmark(p.select("fold", "v", F.exp("prediction").alias("p")))
+    return linear.scored(test, design, fits, "fold", ["fold", *_KEPT], "fold string, " + _KEEP)
+
+
+@query()
+def gam_benchmark(spark, d):
+    """Spline ridge on blocked folds."""
+    m, cells = _parted(_featured(spark, d))
+    return _benchmark(_gam_scored(m, cells, _blocks(m)).select("fold", "v", F.exp("prediction").alias("p")))
+
+
+@query()
+def fold_predictions(spark, d):
+    """Every held-out row of the spline ridge with its prediction, errors, and the error of the fold's baseline."""
+    m, cells = _parted(_featured(spark, d))
+    b = folds.fold_sums(m, "s", "t", {"n": F.lit(1), "y": F.col("y")})
+    b = b.select(F.format_string("s%dt%d", "s", "t").alias("fold"), F.exp(F.col("train_y") / F.col("train_n")).alias("baseline"))
+    p = _gam_scored(m, cells, _blocks(m)).withColumn("predicted", F.exp("prediction")).join(b, "fold")
+    e = F.col("v") - F.col("predicted")
+    return p.select("fold", "row_id", "v", "predicted", "baseline", e.alias("residual"), F.abs(e).alias("absolute_error"), (e * e).alias("squared_error"), (F.col("v") - F.col("baseline")).alias("baseline_residual"))
 
 
 _KEPT = ["row_id", "v", "y", "lat", "lon", "hours"]
@@ -389,7 +403,7 @@ def grid_prediction(spark, d):
     e = era(spark, d).filter(finite(F.col("era5_t2m"))).withColumns({"lat": F.col("latitude").cast("double"), "lon": lon180(F.col("longitude")), "hours": micros(F.col("hour")) / 3.6e9})
     e = e.join(F.broadcast(e.agg(F.max("hour").alias("hour"))), "hour")  # one row
     fill = folds.medians(m, FEATURES)
-    codes = [int(c.rsplit("_", 1)[1]) for c in _codes(m)]
+    codes = [-1 if c.endswith("_missing") else int(c.rsplit("_", 1)[1]) for c in _codes(m)]
     at = folds.onehot(folds.imputed(e.select("row_id", "hour", *FEATURES, "era5_slt"), fill, FEATURES), "era5_slt", codes)
     place = ["row_id", "lat", "lon", "hours"]
     rows = m.select(*place, "y", *[c for c in _all(m) if c not in place]).withColumns({"hour": F.lit(None).cast("timestamp_ntz"), "at": F.lit(False)})

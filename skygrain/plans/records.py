@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from skygrain.functions.exprs import finite, finite_or_null, haversine_km, hours, lon180, micros
 from skygrain.operators import grid, nearest, quality, series, stats
-from skygrain.plans.modelling import matched
+from skygrain.plans.analysis import SAMPLED_PAIRS
+from skygrain.plans.modelling import MATCHED, matched
 from skygrain.plans.registry import COVARIATES, ERA, OBS, Registry, era, long_sql, obs
-from skygrain.sources import scratch
+from skygrain.sources import files, scratch
 from skygrain.sources.files import csv_by_position, file_inventory as inventory, julian_to_timestamp, read_geolocation, unit_triple
 from skygrain.sources.scratch import written
 from skygrain.sources.tables import table
@@ -122,10 +123,26 @@ def covered_span(spark, d):
     return days.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_days"), F.concat(month(F.min), F.lit("_"), month(F.max)).alias("span_label"))
 
 
-@query(f"""select platform, '{{"platform":"' || platform || '","n":' || count(*) || ',"first_day":"' || min(TimeJD::date) || '","last_day":"' || max(TimeJD::date) || '"}}' as span from {OBS} where platform is not null group by 1""")
+@query(f"""select platform, '{{"platform":"' || platform || '","n":' || sum(n)::bigint || ',"first_day":"' || min(day) || '","last_day":"' || max(day) || '","manifest":"' || substr(sha256(string_agg(day || ':' || n, ',' order by day)), 1, 16) || '"}}' as span
+ from (select platform, TimeJD::date as day, count(*) n from {OBS} where platform is not null group by 1, 2) group by 1""")
 def subset_span_json(spark, d):
-    g = obs(spark, d).filter("platform is not null").groupBy("platform").agg(F.count("*").alias("n"), F.min(F.col("TimeJD").cast("date")).alias("first_day"), F.max(F.col("TimeJD").cast("date")).alias("last_day"))
-    return g.select("platform", F.to_json(F.struct("platform", "n", "first_day", "last_day")).alias("span"))
+    """Per platform one JSON document: rows, first and last day, and the digest of its days and their counts."""
+    days = obs(spark, d).filter("platform is not null").groupBy("platform", F.col("TimeJD").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    listed = F.array_sort(F.collect_list(F.concat_ws(":", F.col("day").cast("string"), F.col("n").cast("string"))))  # as long as the record has days
+    g = days.groupBy("platform").agg(F.sum("n").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.substring(F.sha2(F.array_join(listed, ","), 256), 1, 16).alias("manifest"))
+    return g.select("platform", F.to_json(F.struct("platform", "n", "first_day", "last_day", "manifest")).alias("span"))
+
+
+@query("""select unnest(['build', 'first_hour', 'rows']) as key, unnest(['matched', min(hour)::varchar, count(*)::varchar]) as "value" from fold_assignments where hour is not null""")
+def metadata_gate(spark, d):
+    """A table written with entries in its footers, written anew with more of them, and read back behind a gate."""
+    t = table(spark, d, "fold_assignments").filter("hour is not null")
+    n = t.agg(F.count("*").cast("string").alias("rows"), F.min("hour").cast("string").alias("first_hour")).first().asDict()
+    one, two = scratch.new_path(spark, "built"), scratch.new_path(spark, "merged")
+    files.with_metadata(t, {"build": "matched"}).write.parquet(one)
+    files.with_metadata(files.gated(spark.read.parquet(one), {"build": "matched"}), n).write.parquet(two)
+    entries = files.metadata_of(files.gated(spark.read.parquet(two), {"build": "matched", "rows": None, "first_hour": None}))
+    return spark.createDataFrame(sorted(entries.items()), "key string, value string")
 
 
 @query("""with c as (select load_id, floor(row_id / 4096)::bigint chunk, sha256(string_agg(row_id::varchar, ',' order by row_id)) s from clara_era5_merged where load_id is not null group by 1, 2)
@@ -248,7 +265,9 @@ def solar_local_time(spark, d):
 
 @query("select obs_id, round(ln(CLARA_radiance), 6) log_radiance from clara_full where isfinite(CLARA_radiance) and CLARA_radiance > 0")
 def log_target(spark, d):
-    return table(spark, d, "clara_full").filter(finite(F.col("CLARA_radiance")) & (F.col("CLARA_radiance") > 0)).select("obs_id", r6(F.ln("CLARA_radiance")).alias("log_radiance"))
+    """Logarithms of the positive finite values; none at all is an error."""
+    positive = table(spark, d, "clara_full").filter(finite(F.col("CLARA_radiance")) & (F.col("CLARA_radiance") > 0))
+    return quality.some(positive, "positive radiance").select("obs_id", r6(F.ln("CLARA_radiance")).alias("log_radiance"))
 
 
 @query("""select variable, case when variable = 'era5_slt' then 'categorical' else 'continuous' end kind, case when variable like 'era5\\_%' escape '\\' then 'Atmospheric' else 'Other' end feature_group, count(*) n_reports from covariate_summary where variable is not null group by 1""")
@@ -332,12 +351,13 @@ def midnight_window(spark, d):
     return obs(spark, d).filter(finite(F.col("lt")) & (near <= 0.5)).select("obs_id", r6("lt").alias("lt"), r6(near).alias("from_midnight"))
 
 
-@query(f"""with e as (select min(iy) / 4.0 a, max(iy) / 4.0 b, min(ix) / 4.0 x, max(ix) / 4.0 y from {ERA} where load_id = (select min(load_id) from {ERA})) select obs_id from {OBS}, e where lat between a and b and lon between x and y""")
+@query(f"""with e as (select min(iy) / 4.0 a, max(iy) / 4.0 b, min(ix) / 4.0 x, max(ix) / 4.0 y from {ERA} where load_id = (select min(load_id) from {ERA})) select obs_id from {OBS}, e where lat between a and b and (y - x >= 360 - 0.25 or lon between x and y)""")
 def grid_range_filter(spark, d):
+    """Readings within the first load's grid; a grid around the globe bounds the latitude only."""
     e = era(spark, d)
     first = e.agg(F.min("load_id").alias("load_id"))
     extent = e.join(F.broadcast(first), "load_id").agg((F.min("iy") / 4.0).alias("a"), (F.max("iy") / 4.0).alias("b"), (F.min("ix") / 4.0).alias("x"), (F.max("ix") / 4.0).alias("y"))
-    return obs(spark, d).join(F.broadcast(extent), F.col("lat").between(F.col("a"), F.col("b")) & F.col("lon").between(F.col("x"), F.col("y"))).select("obs_id")  # one row
+    return obs(spark, d).join(F.broadcast(extent), F.col("lat").between(F.col("a"), F.col("b")) & ((F.col("y") - F.col("x") >= 360 - 0.25) | F.col("lon").between(F.col("x"), F.col("y")))).select("obs_id")  # one row
 
 
 @query("select row_id from clara_era5_merged where not isnan(era5_t2m) and not isnan(era5_sp) and not isnan(era5_slt) and era5_t2m is not null and era5_sp is not null and era5_slt is not null")
@@ -363,6 +383,14 @@ def latest_hour(spark, d):
     return table(spark, d, "clara_era5_merged").filter(finite(F.col("era5_t2m"))).agg(F.max("hour").alias("latest_hour"))
 
 
+@query("select hour, count(*) n_rows, hour = max(hour) over () latest from clara_era5_merged where isfinite(era5_t2m) and hour is not null group by 1")
+def prediction_hours(spark, d):
+    """All hours with a valid reference covariate, the latest marked."""
+    h = table(spark, d, "clara_era5_merged").filter(finite(F.col("era5_t2m")) & F.col("hour").isNotNull()).groupBy("hour").agg(F.count("*").alias("n_rows"))
+    h = written(h, "hours")
+    return h.join(F.broadcast(h.agg(F.max("hour").alias("top")))).select("hour", "n_rows", (F.col("hour") == F.col("top")).alias("latest"))  # one row
+
+
 @query("select obs_id from clara_full where date_trunc('minute', TimeJD) in (select hour from clara_era5_merged)")
 def exact_minute_semi(spark, d):
     minute = F.floor(micros(F.col("TimeJD")) / 60_000_000)
@@ -384,12 +412,19 @@ def absent_months(spark, d):
     return every.join(m, ["platform", "month"], "left_anti")
 
 
-@query(f"""with e as (select min(hour) t0, max(hour) t1, min(iy) / 4.0 a, max(iy) / 4.0 b from {ERA}), o as (select TimeJD between t0 and t1 as intime, lat between a and b as inlat from {OBS}, e)
- select count(*) n, count(*) filter (intime) n_in_time, count(*) filter (inlat) n_in_extent, count(*) filter (intime and inlat) n_overlap, round(count(*) filter (intime and inlat) / count(*), 6) overlap_share from o""")
+@query(f"""with e as (select min(hour) t0, max(hour) t1, min(iy) / 4.0 a, max(iy) / 4.0 b from {ERA}), g as (select distinct hour from {ERA}),
+ o as (select TimeJD between t0 and t1 as intime, lat between a and b as inlat, date_trunc('minute', TimeJD) in (select hour from g) as exact from {OBS}, e)
+ select count(*) n, count(*) filter (intime) n_in_time, count(*) filter (inlat) n_in_extent, count(*) filter (intime and inlat) n_overlap, count(*) filter (exact) n_exact_minute, count(*) filter (exact and inlat) n_exact_in_extent,
+ round(count(*) filter (intime and inlat) / count(*), 6) overlap_share from o""")
 def overlap_counts(spark, d):
-    e = era(spark, d).agg(F.min("hour").alias("t0"), F.max("hour").alias("t1"), (F.min("iy") / 4.0).alias("a"), (F.max("iy") / 4.0).alias("b"))
-    o = obs(spark, d).join(F.broadcast(e)).select(F.col("TimeJD").between(F.col("t0"), F.col("t1")).alias("t"), F.col("lat").between(F.col("a"), F.col("b")).alias("l"))
-    return o.agg(F.count("*").alias("n"), F.count_if("t").alias("n_in_time"), F.count_if("l").alias("n_in_extent"), F.count_if(F.col("t") & F.col("l")).alias("n_overlap"), r6(F.count_if(F.col("t") & F.col("l")) / F.count("*")).alias("overlap_share"))
+    """Readings within the grid's time range, its extent, at a grid time to the minute, and their conjunctions."""
+    grid_rows = era(spark, d)
+    e = grid_rows.agg(F.min("hour").alias("t0"), F.max("hour").alias("t1"), (F.min("iy") / 4.0).alias("a"), (F.max("iy") / 4.0).alias("b"))
+    minutes = grid_rows.select((micros(F.col("hour")) / 60_000_000).cast("long").alias("m")).distinct().withColumn("hit", F.lit(True))
+    o = obs(spark, d).withColumn("m", F.floor(micros(F.col("TimeJD")) / 60_000_000).cast("long")).join(minutes, "m", "left").join(F.broadcast(e))  # one row
+    t, i, x = F.col("TimeJD").between(F.col("t0"), F.col("t1")), F.col("lat").between(F.col("a"), F.col("b")), F.coalesce("hit", F.lit(False))
+    counts = {"n_in_time": t, "n_in_extent": i, "n_overlap": t & i, "n_exact_minute": x, "n_exact_in_extent": x & i}
+    return o.agg(F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in counts.items()], r6(F.count_if(t & i) / F.count("*")).alias("overlap_share"))
 
 
 # --- grids and joins --------------------------------------------------------------------------------------------------
@@ -544,7 +579,7 @@ def missing_keys_anti(spark, d):
 
 @query(f"""with o as (select *, year(TimeJD) y, month(TimeJD) m, hour(TimeJD) h, ((lon + 180) - 360 * floor((lon + 180) / 360) - 180) l from {OBS}), s as (select y, m, h, max(l) - min(l) > 180 split from o group by 1, 2, 3),
  p as (select o.*, case when split then case when l < 0 then 'w' else 'e' end else '' end part from o join s using (y, m, h))
- select printf('%d%02d_%02d%s', y, m, h, part) request_id, greatest(-90, min(lat) - 1) south, least(90, max(lat) + 1) north, greatest(-180, min(l) - 1) west, least(180, max(l) + 1) east, list_sort(list_distinct(list(day(TimeJD)::int))) "days", count(*) n_observations from p group by all""".replace("group by all", "group by y, m, h, part"))
+ select printf('%d%02d_%02d%s', y, m, h, part) request_id, printf('era5_%d%02d_%02d%s.grib', y, m, h, part) filename, y::int "year", m::int "month", h::int hour_of_day, count(distinct day(TimeJD)) n_items, greatest(-90, min(lat) - 1) south, least(90, max(lat) + 1) north, greatest(-180, min(l) - 1) west, least(180, max(l) + 1) east, list_sort(list_distinct(list(day(TimeJD)::int))) "days", count(*) n_observations from p group by all""".replace("group by all", "group by y, m, h, part"))
 def request_plan(spark, d):
     """One request per month and hour of day, cut in two where it spans more than half the globe; each reading is in one."""
     o = obs(spark, d).withColumns({"y": F.year("TimeJD"), "m": F.month("TimeJD"), "h": F.hour("TimeJD"), "l": lon180(F.col("lon"))})
@@ -552,13 +587,15 @@ def request_plan(spark, d):
     p = o.join(split, ["y", "m", "h"]).withColumn("part", F.when(F.col("split"), F.when(F.col("l") < 0, "w").otherwise("e")).otherwise(""))
     g = p.groupBy("y", "m", "h", "part").agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("l").alias("x"), F.max("l").alias("z"), F.array_sort(F.collect_set(F.day("TimeJD"))).alias("days"), F.count("*").alias("n_observations"))
     clip = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), c))
-    return g.select(F.format_string("%d%02d_%02d%s", "y", "m", "h", "part").alias("request_id"), clip(F.col("a") - 1, -90.0, 90.0).alias("south"), clip(F.col("b") + 1, -90.0, 90.0).alias("north"), clip(F.col("x") - 1, -180.0, 180.0).alias("west"), clip(F.col("z") + 1, -180.0, 180.0).alias("east"), "days", "n_observations")
+    named = [F.format_string(f, "y", "m", "h", "part").alias(n) for n, f in (("request_id", "%d%02d_%02d%s"), ("filename", "era5_%d%02d_%02d%s.grib"))]
+    parts = [F.col("y").alias("year"), F.col("m").alias("month"), F.col("h").alias("hour_of_day"), F.size("days").cast("long").alias("n_items")]
+    return g.select(*named, *parts, clip(F.col("a") - 1, -90.0, 90.0).alias("south"), clip(F.col("b") + 1, -90.0, 90.0).alias("north"), clip(F.col("x") - 1, -180.0, 180.0).alias("west"), clip(F.col("z") + 1, -180.0, 180.0).alias("east"), "days", "n_observations")
 
 
-@query()
+@query(f"select hour, l left_row_id, r right_row_id, round(dist, 6) distance_km, case when isfinite(x) then x end left_era5_t2m, case when isfinite(y) then y end right_era5_t2m from {SAMPLED_PAIRS}")
 def same_hour_pairs(spark, d):
     """Sampled pairs of one hour's places with their distance: three of each row, in scrambled order."""
-    e = era(spark, d).select("hour", "row_id", (F.col("iy") / 4.0).alias("lat"), (F.col("ix") / 4.0).alias("lon"), "era5_t2m")
+    e = era(spark, d).select("hour", "row_id", (F.col("iy") / 4.0).alias("lat"), (F.col("ix") / 4.0).alias("lon"), finite_or_null(F.col("era5_t2m").cast("double")).alias("era5_t2m"))
     return stats.sampled_pairs(e, "hour", "row_id", "lat", "lon", ["era5_t2m"]).withColumn("distance_km", r6("distance_km"))
 
 
@@ -568,7 +605,11 @@ def haversine(spark, d):
     return era(spark, d).select("row_id", F.round(haversine_km(F.col("iy") / 4.0, F.col("ix") / 4.0, F.lit(45.0), F.lit(9.0)), 5).alias("km"))
 
 
-@query()
+@query(f"""with p as (select row_id, latitude::double lat, ((longitude::double + 180) - 360 * floor((longitude::double + 180) / 360)) - 180 lon, epoch_us(hour) / 3.6e9 t from {ERA}),
+ k as (select latitude::double lat, ((longitude::double + 180) - 360 * floor((longitude::double + 180) / 360)) - 180 lon, epoch_us(hour) / 3.6e9 t from {MATCHED} where latitude between -90 and 90 and isfinite(longitude) and hour is not null),
+ a as (select avg(t) t0, stddev_pop(t) sd, 6371.0088 * pi() / 180 u, cos(radians(avg(lat))) c, stddev_pop(lon) sx, stddev_pop(lat) sy from k), s as (select *, (u * c * sx + u * sy) / 2 scale from a),
+ d as (select distinct lon * u * c x, lat * u y, (t - t0) / sd * scale z from k, s), q as (select row_id, lon * u * c x, lat * u y, (t - t0) / sd * scale z from p, s)
+ select row_id, round(sqrt(min(pow(q.x - d.x, 2) + pow(q.y - d.y, 2) + pow(q.z - d.z, 2))), 2) nearest_km from q, d group by 1""")
 def nearest_neighbor_dist(spark, d):
     """For each grid row the distance to the nearest matched row in scaled space-time, however far it is."""
     at = {"lat": F.col("latitude").cast("double"), "lon": lon180(F.col("longitude")), "hours": micros(F.col("hour")) / 3.6e9}
@@ -577,7 +618,7 @@ def nearest_neighbor_dist(spark, d):
     axes, side = nearest.space_time(known, "lat", "lon", "hours")
     points = era(spark, d).select("row_id", *[c.alias(n) for n, c in at.items()])
     out = nearest.nearest_distance(points.withColumns(axes), known.withColumns(axes), "row_id", list(axes), side)
-    return out.select("row_id", r6("distance").alias("nearest_km"))
+    return out.select("row_id", F.round("distance", 2).alias("nearest_km"))
 
 
 # --- sets ----------------------------------------------------------------------------------------------------------------

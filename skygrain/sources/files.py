@@ -78,3 +78,23 @@ def file_inventory(df: DataFrame, file: str, time: str, lat: str, lon: str) -> D
     return df.filter(F.col(file).isNotNull()).groupBy(file).agg(
         F.count("*").alias("n_rows"), F.min(time).alias("first_hour"), F.max(time).alias("last_hour"), F.count_distinct(lat).alias("n_latitudes"), F.count_distinct(lon).alias("n_longitudes")
     )
+
+
+def with_metadata(df: DataFrame, entries: dict[str, str]) -> DataFrame:
+    """df whose parquet files will carry the entries beside those it has: they travel in the schema that every footer holds."""
+    first = df.schema[0]
+    return df.withMetadata(first.name, {**(first.metadata or {}), **entries})
+
+
+def metadata_of(df: DataFrame) -> dict[str, str]:
+    """The entries of a table, as read from its footers."""
+    return {k: v for f in df.schema for k, v in (f.metadata or {}).items()}
+
+
+def gated(df: DataFrame, required: dict[str, str | None]) -> DataFrame:
+    """df, if it carries the required entries (None: any value); else an error that names what is missing or differs."""
+    have = metadata_of(df)
+    wrong = {k: have.get(k) for k, v in required.items() if k not in have or (v is not None and have[k] != v)}
+    if wrong:
+        raise ValueError(f"table was not built as required: {wrong}")
+    return df
