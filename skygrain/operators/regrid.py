@@ -5,9 +5,10 @@ grows with dt (integrated Wiener process plus a random walk of the level). Readi
 sequence; a forward filter and a backward (Rauch-Tung-Striebel) pass give every grid time a value and a variance.
 
 Scale: usable readings fold into one weighted reading per source and bin of `BIN_S` seconds in a partial aggregation, so a
-group of one source and one calendar month is bounded by the bins of a month however many rows fall into it. Groups are
-smoothed side by side, each with a halo of the neighbouring months' readings, so that a filled value at a month's border
-knows both sides. Noise levels come per source from mergeable sketches over all its readings.
+source's calendar month is bounded by the bins of a month however many rows fall into it. Sources of a month meet in buckets
+of about BUCKET_BINS bins, as many as the month's bins ask for, and numpy smooths up to SIDE_BY_SIDE of them at once, each
+with a halo of the neighbouring months' readings, so that a filled value at a month's border knows both sides. Noise levels
+come per source from mergeable sketches over all its readings.
 
 Defined results: rows with null source or time are left out; a reading is usable if its value is finite and within
 (low, high] and its weight is above 0; copies weigh as rows of their own; a month whose source has no usable reading has no
@@ -25,6 +26,7 @@ from skygrain.functions.exprs import finite, hours, micros
 from skygrain.sources.scratch import written
 
 BIN_S, HALO_H = 60, 48
+BUCKET_BINS, SIDE_BY_SIDE = 25_000, 64
 OUT = "source {kind}, month date, slot long, value double, std double, missing boolean, n_readings long"
 
 
@@ -32,56 +34,63 @@ def usable(value: Column, weight: Column, low: float = 0.0, high: float = 500.0)
     return F.coalesce(finite(value) & (value > low) & (value <= high) & (weight > 0), F.lit(False))
 
 
-def smooth(t: np.ndarray, y: np.ndarray, r: np.ndarray, q_level: float, q_slope: float) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed level and its variance at times t (hours, ascending). y is NaN where there is no reading; r its variance."""
-    n = len(t)
-    seen = np.flatnonzero(~np.isnan(y))
-    first = float(y[seen[0]])
-    wide = float(np.var(y[seen])) + float(r[seen[0]]) + 1.0
+def smooth_many(t: np.ndarray, y: np.ndarray, r: np.ndarray, q_level: np.ndarray, q_slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed levels and their variances at times t (hours, ascending) of many series at once, one a row.
+
+    y is NaN where there is no reading, and every row has one at least; r is a reading's variance. A shorter series is padded
+    with its last time and NaN, which changes nothing before it.
+    """
+    t, y, r = (np.ascontiguousarray(a.T) for a in (t, y, r))  # a step is a row: all series move together
+    n, k = t.shape
+    row, seen = np.arange(k), ~np.isnan(y)
+    at = seen.argmax(axis=0)
+    m, s = y[at, row].copy(), np.zeros(k)
+    c = np.nanvar(y, axis=0) + r[at, row] + 1.0
+    a, b = 10 * c, np.zeros(k)
     # Filtered and predicted moments: level, slope, and the three entries of their covariance.
-    fm, fs, fa, fb, fc = ([0.0] * n for _ in range(5))
-    pm, ps, pa, pb, pc = ([0.0] * n for _ in range(5))
-    m, s, a, b, c, last = first, 0.0, 10 * wide, 0.0, wide, float(t[0])
-    times, values, noise = t.tolist(), y.tolist(), r.tolist()
+    filtered, predicted = np.empty((n, 5, k)), np.empty((n, 5, k))
+    steps = np.diff(t, axis=0, prepend=t[:1])
     for i in range(n):
-        d = times[i] - last
-        last = times[i]
-        if d > 0:
-            m += d * s
-            a, b, c = a + 2 * d * b + d * d * c + q_level * d + q_slope * d * d * d / 3, b + d * c + q_slope * d * d / 2, c + q_slope * d
-        pm[i], ps[i], pa[i], pb[i], pc[i] = m, s, a, b, c
-        v = values[i]
-        if v == v:
-            k = a + noise[i]
-            g, h, e = a / k, b / k, v - m
-            m, s = m + g * e, s + h * e
-            a, b, c = (1 - g) * a, (1 - g) * b, c - h * b
-        fm[i], fs[i], fa[i], fb[i], fc[i] = m, s, a, b, c
-    level, variance = [0.0] * n, [0.0] * n
-    level[-1], variance[-1] = m, a
+        d = steps[i]
+        m = m + d * s
+        a, b, c = a + 2 * d * b + d * d * c + q_level * d + q_slope * d**3 / 3, b + d * c + q_slope * d * d / 2, c + q_slope * d
+        predicted[i] = m, s, a, b, c
+        gain = np.where(seen[i], 1 / (a + r[i]), 0.0)
+        g, h, e = a * gain, b * gain, np.where(seen[i], y[i] - m, 0.0)
+        m, s = m + g * e, s + h * e
+        a, b, c = (1 - g) * a, (1 - g) * b, c - h * b
+        filtered[i] = m, s, a, b, c
+    level, variance = np.empty((n, k)), np.empty((n, k))
+    level[-1], variance[-1] = m, np.maximum(a, 0)
     for i in range(n - 2, -1, -1):
-        d = times[i + 1] - times[i]
-        A, B, C = pa[i + 1], pb[i + 1], pc[i + 1]
+        d = steps[i + 1]
+        pm, ps, A, B, C = predicted[i + 1]
+        fm, fs, fa, fb, fc = filtered[i]
         det = A * C - B * B
-        if det <= 1e-300:
-            m, s, a, b, c = fm[i], fs[i], fa[i], fb[i], fc[i]
-        else:
-            # Gain = filtered covariance x transition' x inverse of the predicted covariance.
-            x1, x2, x3, x4 = fa[i] + d * fb[i], fb[i], fb[i] + d * fc[i], fc[i]
-            g11, g12, g21, g22 = (x1 * C - x2 * B) / det, (x2 * A - x1 * B) / det, (x3 * C - x4 * B) / det, (x4 * A - x3 * B) / det
-            em, es = m - pm[i + 1], s - ps[i + 1]
-            da, db, dc = a - A, b - B, c - C
-            m, s = fm[i] + g11 * em + g12 * es, fs[i] + g21 * em + g22 * es
-            u1, u2, w1, w2 = g11 * da + g12 * db, g11 * db + g12 * dc, g21 * da + g22 * db, g21 * db + g22 * dc
-            a, b, c = fa[i] + u1 * g11 + u2 * g12, fb[i] + u1 * g21 + u2 * g22, fc[i] + w1 * g21 + w2 * g22
-        level[i], variance[i] = m, max(a, 0.0)
-    return np.array(level), np.array(variance)
-
-
-def _smooth_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["t", "y"], kind="stable")
-    own = pdf[pdf["own"]]
-    source, month = own["source"].iloc[0], own["month"].iloc[0]
+        flat = det <= 1e-300
+        inverse = 1 / np.where(flat, 1.0, det)
+        # Gain = filtered covariance x transition' x inverse of the predicted covariance.
+        x1, x2, x3, x4 = fa + d * fb, fb, fb + d * fc, fc
+        g11, g12, g21, g22 = (x1 * C - x2 * B) * inverse, (x2 * A - x1 * B) * inverse, (x3 * C - x4 * B) * inverse, (x4 * A - x3 * B) * inverse
+        em, es, da, db, dc = m - pm, s - ps, a - A, b - B, c - C
+        m, s = np.where(flat, fm, fm + g11 * em + g12 * es), np.where(flat, fs, fs + g21 * em + g22 * es)
+        u1, u2, w1, w2 = g11 * da + g12 * db, g11 * db + g12 * dc, g21 * da + g22 * db, g21 * db + g22 * dc
+        a, b, c = np.where(flat, fa, fa + u1 * g11 + u2 * g12), np.where(flat, fb, fb + u1 * g21 + u2 * g22), np.where(flat, fc, fc + w1 * g21 + w2 * g22)
+        level[i], variance[i] = m, np.maximum(a, 0)
+    return level.T, variance.T
+
+
+def smooth(t: np.ndarray, y: np.ndarray, r: np.ndarray, q_level: float, q_slope: float) -> tuple[np.ndarray, np.ndarray]:
+    """`smooth_many` of one series."""
+    level, variance = smooth_many(t[None], y[None], r[None], np.array([q_level]), np.array([q_slope]))
+    return level[0], variance[0]
+
+
+def _series(pdf: pd.DataFrame) -> dict | None:
+    """One source's month, its readings in order: grid slots, and times, values and noise of readings and slots together."""
+    own = pdf[pdf["own"].to_numpy()]
+    if not len(own):
+        return None
     slots = np.arange(own["slot"].min(), own["slot"].max() + 1)
     # Times in hours from the first slot keep their precision.
     t = (pdf["t"].to_numpy(np.int64) - slots[0] * 3_600_000_000) / 3.6e9
@@ -89,15 +98,34 @@ def _smooth_group(pdf: pd.DataFrame) -> pd.DataFrame:
     noise = noise if noise > 0 else 1e-3
     step = step if step > 0 else noise
     all_t = np.r_[t, (slots - slots[0]).astype(float)]
-    y = np.r_[pdf["y"].to_numpy(float), np.full(len(slots), np.nan)]
-    r = np.r_[noise**2 / np.maximum(pdf["w"].to_numpy(float), 1e-9), np.zeros(len(slots))]
     order = np.argsort(all_t, kind="stable")
-    level, variance = smooth(all_t[order], y[order], r[order], step**2, (step / 4) ** 2)
     back = np.empty(len(order), int)
     back[order] = np.arange(len(order))
-    at = back[len(t) :]
-    n = own.groupby("slot")["n"].sum().reindex(slots, fill_value=0).to_numpy(np.int64)
-    return pd.DataFrame({"source": source, "month": month, "slot": slots, "value": level[at], "std": np.sqrt(variance[at]), "missing": n == 0, "n_readings": n})
+    n = np.bincount(own["slot"].to_numpy(np.int64) - slots[0], weights=own["n"].to_numpy(float), minlength=len(slots)).astype(np.int64)
+    y = np.r_[pdf["y"].to_numpy(float), np.full(len(slots), np.nan)]
+    r = np.r_[noise**2 / np.maximum(pdf["w"].to_numpy(float), 1e-9), np.zeros(len(slots))]
+    return {"source": own["source"].iloc[0], "slots": slots, "t": all_t[order], "y": y[order], "r": r[order], "at": back[len(t) :], "n": n, "step": step}
+
+
+def _smooth_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Some sources of one month, smoothed side by side."""
+    pdf = pdf.sort_values(["source", "t", "y"], kind="stable")
+    month = pdf["month"].iloc[0]
+    found = [x for _, g in pdf.groupby("source", sort=False) if (x := _series(g)) is not None]
+    found.sort(key=lambda x: len(x["t"]))  # neighbours in length pad little
+    parts = []
+    for i in range(0, len(found), SIDE_BY_SIDE):
+        some = found[i : i + SIDE_BY_SIDE]
+        longest = max(len(x["t"]) for x in some)
+        fill = lambda x, k, v: np.r_[x[k], np.full(longest - len(x[k]), v)]
+        t, y, r = (np.array([fill(x, k, x["t"][-1] if k == "t" else v) for x in some]) for k, v in (("t", 0.0), ("y", np.nan), ("r", 0.0)))
+        step = np.array([x["step"] for x in some])
+        level, variance = smooth_many(t, y, r, step**2, (step / 4) ** 2)
+        for j, x in enumerate(some):
+            at = x["at"]
+            parts.append(pd.DataFrame({"source": x["source"], "month": month, "slot": x["slots"], "value": level[j, at], "std": np.sqrt(variance[j, at]), "missing": x["n"] == 0, "n_readings": x["n"]}))
+    columns = ["source", "month", "slot", "value", "std", "missing", "n_readings"]
+    return pd.concat(parts, ignore_index=True)[columns] if parts else pd.DataFrame({c: [] for c in columns})
 
 
 def regular(readings: DataFrame, source: str, time: str, value: str, weight: str, low: float = 0.0, high: float = 500.0) -> DataFrame:
@@ -130,8 +158,11 @@ def regular(readings: DataFrame, source: str, time: str, value: str, weight: str
     early = bins.filter(F.col("t") < start + halo).withColumn("month", F.add_months("month", -1))
     months = bins.select("source", "month").distinct()
     rest = late.unionByName(early).withColumn("own", F.lit(False)).join(months, ["source", "month"], "left_semi")
-    grouped = own.unionByName(rest).join(noise, "source").groupBy("source", "month")
-    return grouped.applyInPandas(_smooth_group, OUT.format(kind=kind))
+    # Sources of a month in buckets of about BUCKET_BINS bins: numpy smooths those of a bucket side by side.
+    buckets = bins.groupBy("month").agg(F.ceil(F.count("*") / BUCKET_BINS).alias("buckets"))
+    every = own.unionByName(rest).join(noise, "source").join(buckets, "month")
+    grouped = every.withColumn("bucket", F.pmod(F.xxhash64("source"), F.col("buckets"))).drop("buckets").groupBy("month", "bucket")
+    return grouped.applyInPandas(_smooth_bucket, OUT.format(kind=kind))
 
 
 def missing_hours(readings: DataFrame, source: str, time: str, value: str, weight: str, **limits) -> DataFrame:
