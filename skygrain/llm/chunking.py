@@ -153,8 +153,18 @@ def cuts(docs: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int
     return whole.unionByName(cut).withColumn("n_tokens", F.col("end") - F.col("start")).withColumnRenamed("_key", name)
 
 
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for text, key, cuts in zip(pdf["_text"], pdf["_key"], pdf["cuts"]):
+            yield pd.DataFrame([{"_key": key, **{k: c[k] for k in ("piece", "start", "end", "n_tokens", "kind")}, "piece_text": text[c["start_char"] : c["end_char"]]} for c in cuts])
+
+
 def pieces(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """`cuts` with the piece's text."""
+    """`cuts` with the piece's text. A text meets its list of cuts once and is sliced in one pass, however many pieces it has."""
     cut = cuts(docs, key, text, **options)
-    body = F.when(F.col("end_char").isNull(), F.col("_text")).otherwise(F.substring(F.col("_text"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char")))
-    return cut.join(docs.select(key, F.col(text).alias("_text")), key).select(key, "piece", "start", "end", "n_tokens", "kind", body.alias("piece_text"))
+    kind = docs.schema[key].dataType.simpleString()
+    end = F.coalesce("end_char", F.lit(2**31 - 1))  # a whole text runs to its end
+    listed = cut.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("piece", "start", "end", "n_tokens", "start_char", end.alias("end_char"), "kind"))).alias("cuts"))
+    whole = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(listed, "_key")
+    out = whole.mapInPandas(_sliced, f"_key {kind}, piece int, start int, end int, n_tokens int, kind string, piece_text string")
+    return out.withColumnRenamed("_key", key)
