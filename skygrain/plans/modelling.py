@@ -9,7 +9,7 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygrain.functions.exprs import finite, lon180, micros
@@ -173,7 +173,7 @@ def _benchmark(predicted):
 def _side_by_side(jobs, at_once=4):
     """The results of independent driver-side jobs, a few at a time: small fits don't fill a cluster one by one."""
     with concurrent.futures.ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(inheritable_thread_target(lambda job: job()), jobs))
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), jobs))
 
 
 @query()

@@ -21,7 +21,7 @@ def test_equals_sql(spark, sf_dir, con, name):
     assert differences(f(spark, sf_dir), con, sql) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(REST) - {"space_folds", "rf_benchmark", "kriging_predict", "oof_residuals"}))
+@pytest.mark.parametrize("name", sorted(REST))
 def test_runs(spark, sf_dir, name):
     df = REST[name](spark, sf_dir)
     assert len(df.columns) == len(set(df.columns))
