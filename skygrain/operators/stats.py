@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skygrain.functions import skew
 from skygrain.functions.exprs import finite, haversine_km
 from skygrain.functions.prefix import running_total
-from skygrain.functions.skew import join_hot
 from skygrain.sources.scratch import written
 
-#: Parts between quantiles into which ranks cut a group's distinct values.
-STRETCHES = 128
+#: Parts between quantiles into which ranks cut a group of more than STRETCH_VALUES distinct values.
+STRETCHES, STRETCH_VALUES = 128, 200_000
 
 
 def melted(df: DataFrame, keys: list[str], columns: list[str], variable: str = "variable", value: str = "value") -> DataFrame:
@@ -34,36 +34,52 @@ def missingness(long: DataFrame, keys: list[str], value: str = "value") -> DataF
     return long.groupBy(*keys, "variable").agg(F.count("*").alias("n_rows"), F.count_if(F.col(value).isNull()).alias("n_missing"))
 
 
-def _cumulative(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Written value counts (keys, value, _c) with `_below`, the rows of the group that have a smaller value.
+def _cumulative(counts: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
+    """Written value counts (keys, value, _c) with `_below`, the rows of the group that have a smaller value, and `_n`, all of them.
 
-    Values are summed in stretches between quantiles of their group, so a group of many values is many tasks' work.
+    Groups of up to STRETCH_VALUES distinct values (`most` is the most of any) are summed in a window each. Larger ones are
+    cut into stretches between quantiles of their values, so a group of many values is many tasks' work.
     """
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)]), 10 * STRETCHES).alias("_cuts"))
+    if most <= STRETCH_VALUES:
+        own = Window.partitionBy(*keys)
+        below = F.coalesce(F.sum("_c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return counts.withColumns({"_below": below, "_n": F.sum("_c").over(own)})
+    cuts = counts.groupBy(*keys).agg(
+        F.percentile_approx(value, F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)]), 10 * STRETCHES).alias("_cuts"), F.sum("_c").alias("_n")
+    )
     cut = counts.join(cuts, keys).withColumn("_stretch", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     return running_total(cut, keys, F.col("_stretch"), [value], F.col("_c"), "_below").drop("_stretch")
 
 
+def _value_counts(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, int, int]:
+    """(counts of distinct values, the most distinct values of a group, the most rows of a value)."""
+    counts = written(df.groupBy(*keys, value).agg(F.count("*").alias("_c")), "value-counts")
+    most = counts.groupBy(*keys).agg(F.count("*").alias("d"), F.max("_c").alias("c")).agg(F.max("d"), F.max("c")).first()
+    return counts, most[0] or 0, most[1] or 0
+
+
 def ranked(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Average ranks from counts of distinct values, null values left out; rows of a frequent value aren't shuffled by it."""
-    counts = written(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")), "value-counts")
-    ranks = _cumulative(counts, keys, value).select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias(name), "_c")
-    return join_hot(df, written(ranks, "ranks"), [*keys, value], "_c")
+    counts, most, often = _value_counts(df.filter(F.col(value).isNotNull()), keys, value)
+    ranks = _cumulative(counts, keys, value, most).select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias(name), "_c")
+    if often <= skew.HOT_ROWS:
+        return df.join(ranks.drop("_c"), [*keys, value])
+    return skew.join_hot(df, written(ranks, "ranks"), [*keys, value], "_c")
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """(keys, names of ps): exact percentiles of the finite values, linearly interpolated, from counts of distinct values.
 
-    No task holds a group's values, unlike the built-in aggregates. Groups without finite values have no row. Key columns
-    must have no nulls.
+    No task holds a large group's values, unlike the built-in aggregates. Groups without finite values have no row. Key
+    columns must have no nulls.
     """
     given = list(keys)
     rows = df.filter(finite(F.col(value))).select(*given, F.col(value).cast("double").alias("_x"))
     keys = given or ["_all"]
     if not given:
         rows = rows.withColumn("_all", F.lit(True))
-    counts = written(rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c")), "value-counts")
-    placed = _cumulative(counts, keys, "_x").join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), keys)
+    counts, most, _ = _value_counts(rows, keys, "_x")
+    placed = _cumulative(counts, keys, "_x", most)
     at = lambda rank: F.max(F.when((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_c")), F.col("_x")))
     parts = []
     for i, p in enumerate(ps.values()):

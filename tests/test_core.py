@@ -71,7 +71,10 @@ def test_percentiles_against_numpy(spark, monkeypatch):
     assert stats.percentiles(df.limit(0), ["g"], "v", ps).count() == 0
     # Ranks are the same whether or not rows of frequent values stay where they are.
     want = {(r.g, repr(r.v)): r.rank for r in stats.ranked(df, ["g"], "v", "rank").collect()}
+    lows = {r.g: r.mid for r in stats.percentiles(df, ["g"], "v", ps).collect()}
     monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    monkeypatch.setattr(stats, "STRETCH_VALUES", 100)
+    assert {r.g: r.mid for r in stats.percentiles(df, ["g"], "v", ps).collect()} == lows
     got = stats.ranked(df, ["g"], "v", "rank").collect()
     assert {(r.g, repr(r.v)): r.rank for r in got} == want and len(got) == len(rows) - 1
 
