@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skygrain.functions.exprs import finite
-from skygrain.sources.scratch import new_path, written
+from skygrain.sources.scratch import exists, new_path, written
 
 #: Values left at which a target ends (two, and what weights may leave beside them), and values of a part of a target.
 HANDFUL, PART_VALUES, MAX_ROUNDS = 4, 1_000_000, 200
@@ -54,39 +54,66 @@ def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
 
 
 def _propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of one part: per target the median and weight; medians of the part's batches fold at the end."""
-    found: dict[int, list[tuple[float, float]]] = {}
+    """Of one part of the data: per target the median and weight; medians of its batches fold at the end."""
+    found: dict[tuple[int, int], list[tuple[float, float]]] = {}
     fold = lambda parts: (_weighted_median(*np.array(parts).T), sum(w for _, w in parts))
     for pdf in batches:
-        for target, part in pdf.groupby("target", sort=False):
-            w = part["n"].to_numpy(float)
+        for target, some in pdf.groupby(["target", "parts"], sort=False):
+            w = some["n"].to_numpy(float)
             mine = found.setdefault(target, [])
-            mine.append((_weighted_median(part["value"].to_numpy(), w), w.sum()))
+            mine.append((_weighted_median(some["value"].to_numpy(), w), w.sum()))
             if len(mine) >= 64:
                 found[target] = [fold(mine)]
-    yield pd.DataFrame([(target, *fold(parts)) for target, parts in found.items()], columns=["target", "value", "weight"])
+    yield pd.DataFrame([(*target, *fold(some)) for target, some in found.items()], columns=["target", "parts", "value", "weight"])
 
 
 def _pivots(live: DataFrame) -> DataFrame:
-    """(target, pivot): weighted medians of the parts' proposals."""
-    proposals = live.select("target", "value", "n").mapInPandas(_propose, "target long, value double, weight double")
+    """(target, parts, pivot): weighted medians of the parts' proposals."""
+    proposals = live.select("target", "parts", "value", "n").mapInPandas(_propose, "target long, parts long, value double, weight double")
     upto = Window.partitionBy("target").orderBy("value", "weight").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("target")
     half = proposals.withColumns({"upto": F.sum("weight").over(upto), "total": F.sum("weight").over(every)}).filter("upto >= total / 2")
-    return half.groupBy("target").agg(F.min("value").alias("pivot"))
+    return half.groupBy("target").agg(F.max("parts").alias("parts"), F.min("value").alias("pivot"))
 
 
-def _spread(state: DataFrame) -> DataFrame:
-    """state once per part of its target: a target of many values meets its rows in many tasks."""
-    return state.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+def _spread(targets: DataFrame) -> DataFrame:
+    """targets once per part of theirs: a target of many values meets its rows in many tasks."""
+    return targets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
 
 def _parts(left) -> Column:
     return F.ceil(F.greatest(F.lit(1), left) / PART_VALUES).cast("long")
 
 
-def _part(value: Column) -> Column:
-    return F.pmod(F.xxhash64(value), F.col("parts"))
+def _part(value: Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(value), parts)
+
+
+LIVE = "target long, part long, parts long, rank double, low long, value double, n long"
+
+
+def _round(live: DataFrame) -> DataFrame:
+    """The values that are still in question after a pivot of each target; `ends` marks targets with a handful left."""
+    v, pivot = F.col("value"), F.col("pivot")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    three = live.join(_spread(_pivots(live)), ["target", "part"]).groupBy("target", "parts", "rank", "low", "pivot").agg(
+        total(v < pivot).alias("below"), total(v == pivot).alias("equal"), F.count_if(v < pivot).alias("n_below"), F.count_if(v > pivot).alias("n_above")
+    )
+    under, low, high = F.col("low") + F.col("below"), F.floor("rank"), F.ceil("rank")
+    upto = under + F.col("equal")
+    # The pivot is a value of its target: both ranks are the pivot's, or lie up to it, or from it. Beside another value it stays
+    # with the one copy that a rank may need, so a value of more than half the weight can't stop the search.
+    sides = three.withColumn("side", F.when((low >= under) & (high < upto), 0).when(high < upto, -1).otherwise(1))
+    at, down = F.col("side") == 0, F.col("side") == -1
+    keep = F.when(at, F.col("equal")).when(down, F.greatest(F.lit(0), high + 1 - under)).otherwise(F.greatest(F.lit(0), upto - low))
+    left = F.when(at, 1).when(down, F.col("n_below") + 1).otherwise(F.col("n_above") + 1)
+    sides = sides.withColumns({"keep": keep, "left": left})
+    new_low = F.when(at, under).when(down, F.col("low")).otherwise(upto - F.col("keep"))
+    sides = sides.select("target", "parts", "pivot", "side", "keep", new_low.alias("low"), _parts(F.col("left")).alias("new_parts"), (F.col("left") <= HANDFUL).alias("ends"))
+    # The old parts meet the rows as they are, the new ones follow from the values left.
+    kept = live.drop("low", "parts").join(_spread(sides), ["target", "part"]).filter("case side when 0 then value = pivot when -1 then value <= pivot else value >= pivot end")
+    kept = kept.withColumn("n", F.when(v == pivot, F.col("keep")).otherwise(F.col("n"))).filter("n > 0")
+    return kept.select("target", _part(v, F.col("new_parts")).alias("part"), F.col("new_parts").alias("parts"), "rank", "low", "value", "n", "ends")
 
 
 def select(table: DataFrame, groups: list[str], percentiles: list[float]) -> DataFrame:
@@ -112,47 +139,21 @@ def select(table: DataFrame, groups: list[str], percentiles: list[float]) -> Dat
     for g in groups:
         on = on & F.col(f"t.{g}").eqNullSafe(F.col(f"v.{g}"))
     # `low` values lie under those still in question; a part of a target is a share of its values.
-    start = table.alias("v").join(targets.select(*groups, "target", "parts").alias("t"), on)
-    live = written(start.select("target", _part(F.col("value")).alias("part"), "value", "n"), "live-0")
-    state = targets.select("target", "parts", "rank", F.lit(0).cast("long").alias("low"))
+    start = table.alias("v").join(targets.select(*groups, "target", "parts", "rank").alias("t"), on)
+    live = written(start.select("target", _part(F.col("value"), F.col("parts")).alias("part"), "parts", "rank", F.lit(0).cast("long").alias("low"), "value", "n"), "live-0")
     ended: list[str] = []
     for k in range(1, MAX_ROUNDS + 1):
-        v, pivot = F.col("value"), F.col("pivot")
-        total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-        at = live.join(_spread(state.select("target", "parts").join(_pivots(live), "target")), ["target", "part"])
-        three = at.groupBy("target", "pivot").agg(
-            total(v < pivot).alias("below"), total(v == pivot).alias("equal"), F.count_if(v < pivot).alias("n_below"), F.count_if(v > pivot).alias("n_above")
-        )
-        under, low, high = F.col("low") + F.col("below"), F.floor("rank"), F.ceil("rank")
-        upto = under + F.col("equal")
-        # The pivot is a value of its target: both ranks are the pivot's, or lie up to it, or from it. Beside another value
-        # it stays with the one copy that a rank may need, so a value of more than half the weight can't stop the search.
-        sides = state.drop("parts").join(three, "target").withColumn("side", F.when((low >= under) & (high < upto), 0).when(high < upto, -1).otherwise(1))
-        at_, down = F.col("side") == 0, F.col("side") == -1
-        keep = F.when(at_, F.col("equal")).when(down, F.greatest(F.lit(0), high + 1 - under)).otherwise(F.greatest(F.lit(0), upto - low))
-        left = F.when(at_, 1).when(down, F.col("n_below") + 1).otherwise(F.col("n_above") + 1)
-        sides = sides.withColumns({"keep": keep, "left": left}).select(
-            "target", "rank", "pivot", "side", "keep", "left", F.when(at_, under).when(down, F.col("low")).otherwise(upto - F.col("keep")).alias("low")
-        )
-        # The old parts meet the rows as they are, the new ones follow from the values left.
-        both = state.select("target", F.col("parts").alias("old")).join(sides, "target").withColumn("parts", _parts(F.col("left")))
-        state = written(both.withColumn("ends", F.col("left") <= HANDFUL), f"state-{k}")
-        asked = _spread(state.withColumnsRenamed({"parts": "new", "old": "parts"})).drop("parts").withColumnRenamed("new", "parts")
-        kept = live.join(asked, ["target", "part"]).filter("case side when 0 then value = pivot when -1 then value <= pivot else value >= pivot end")
-        kept = kept.withColumn("n", F.when(v == pivot, F.col("keep")).otherwise(F.col("n"))).filter("n > 0")
         path = new_path(spark, f"live-{k}")
-        kept.select("target", _part(v).alias("part"), "value", "n", "rank", "low", "ends").write.partitionBy("ends").parquet(path)
-        n_ended, n_open = state.agg(F.count_if("ends"), F.count_if(~F.col("ends"))).first()
-        if n_ended:
+        _round(live).write.partitionBy("ends").parquet(path)
+        if exists(spark, f"{path}/ends=true"):
             ended.append(f"{path}/ends=true")
-        if not n_open:
+        if not exists(spark, f"{path}/ends=false"):
             break
-        live = spark.read.schema(live.schema).parquet(f"{path}/ends=false")
-        state = state.filter(~F.col("ends")).select("target", "parts", "rank", "low")
+        live = spark.read.schema(LIVE).parquet(f"{path}/ends=false")
     else:
         raise RuntimeError(f"selection did not end in {MAX_ROUNDS} rounds")
-    values = _placed(spark.read.schema("target long, value double, n long, rank double, low long").parquet(*ended))
-    return targets.join(values, "target").select(*given, "p", "value", F.col("size").alias("n"))
+    values = _placed(spark.read.schema(LIVE).parquet(*ended))
+    return targets.drop("rank").join(values, "target").select(*given, "p", "value", F.col("size").alias("n"))
 
 
 def _placed(last: DataFrame) -> DataFrame:
