@@ -43,8 +43,8 @@ def _featured(spark, d):
     """Matched rows with all features, missing ones filled by medians, soil types as 0/1 columns."""
     m = matched(spark, d).withColumns({"lat": F.col("latitude").cast("double"), "lon": lon180(F.col("longitude")), "hours": micros(F.col("hour")) / 3.6e9})
     m = written(m.filter(F.col("hour").isNotNull()).select("row_id", "s", "t", "v", "y", *FEATURES, "era5_slt"), "matched")
-    m = written(folds.imputed(m, folds.medians(m, FEATURES), FEATURES), "imputed")
-    return written(folds.onehot(m, "era5_slt", folds.codes_of(m, "era5_slt")).drop("era5_slt"), "features")
+    codes = folds.codes_of(m, "era5_slt")
+    return written(folds.onehot(folds.imputed(m, folds.medians(m, FEATURES), FEATURES), "era5_slt", codes).drop("era5_slt"), "features")
 
 
 def _all(m):
