@@ -609,7 +609,7 @@ def haversine(spark, d):
  k as (select latitude::double lat, ((longitude::double + 180) - 360 * floor((longitude::double + 180) / 360)) - 180 lon, epoch_us(hour) / 3.6e9 t from {MATCHED} where latitude between -90 and 90 and isfinite(longitude) and hour is not null),
  a as (select avg(t) t0, stddev_pop(t) sd, 6371.0088 * pi() / 180 u, cos(radians(avg(lat))) c, stddev_pop(lon) sx, stddev_pop(lat) sy from k), s as (select *, (u * c * sx + u * sy) / 2 scale from a),
  d as (select distinct lon * u * c x, lat * u y, (t - t0) / sd * scale z from k, s), q as (select row_id, lon * u * c x, lat * u y, (t - t0) / sd * scale z from p, s)
- select row_id, round(sqrt(min(pow(q.x - d.x, 2) + pow(q.y - d.y, 2) + pow(q.z - d.z, 2))), 2) nearest_km from q, d group by 1""")
+ select row_id, round(sqrt(min(pow(q.x - d.x, 2) + pow(q.y - d.y, 2) + pow(q.z - d.z, 2))), 6) nearest_km from q, d group by 1""")
 def nearest_neighbor_dist(spark, d):
     """For each grid row the distance to the nearest matched row in scaled space-time, however far it is."""
     at = {"lat": F.col("latitude").cast("double"), "lon": lon180(F.col("longitude")), "hours": micros(F.col("hour")) / 3.6e9}
@@ -618,7 +618,7 @@ def nearest_neighbor_dist(spark, d):
     axes, side = nearest.space_time(known, "lat", "lon", "hours")
     points = era(spark, d).select("row_id", *[c.alias(n) for n, c in at.items()])
     out = nearest.nearest_distance(points.withColumns(axes), known.withColumns(axes), "row_id", list(axes), side)
-    return out.select("row_id", F.round("distance", 2).alias("nearest_km"))
+    return out.select("row_id", r6("distance").alias("nearest_km"))
 
 
 # --- sets ----------------------------------------------------------------------------------------------------------------
