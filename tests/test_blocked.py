@@ -66,3 +66,55 @@ def test_benchmark_has_no_pass_and_no_task_for_two_blocks(spark, sf_dir, monkeyp
     got = modelling.kriging_benchmark(spark, sf_dir).collect()
     blocks = {r.fold for r in got}
     assert tasks[0] >= len(blocks) > 1 and len(got) == 4 * len(blocks)
+
+
+def test_codes_are_counted_once(monkeypatch):
+    counted, kept = [0], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda a, *b, **c: (counted.__setitem__(0, counted[0] + len(a)), kept(a, *b, **c))[1])
+    for codes in (30, 200):
+        rng = np.random.default_rng(5)
+        n, plain = 6000, 5
+        x, code = rng.integers(0, 64, (n, plain)).astype(np.uint8), rng.integers(0, codes, n)
+        onehot = list((np.arange(codes)[:, None] == code).astype(np.uint8))
+        y = x[:, 0] / 30 + rng.normal(size=codes)[code] + rng.normal(0, 0.1, n)
+        wide, counted[0] = np.column_stack([x, *onehot]), 0
+        want = forest.fit_predict(wide, y, wide[:500], [7], trees=4, depth=8)
+        narrow, before, counted[0] = forest.coded(x, onehot), counted[0], 0
+        for a, b in zip(want, forest.fit_predict(narrow, y, narrow[:500], [7], trees=4, depth=8, codes=codes)):  # the same trees
+            assert np.allclose(a, b, atol=1e-9)
+        assert counted[0] < 0.6 * before
+
+
+def test_groups_of_nodes_make_one_tree(monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 60, (5000, 6)).astype(np.uint8), rng.normal(size=5000)
+    y += x[:, 0] // 8
+    x = forest.coded(x, list((np.arange(20)[:, None] == rng.integers(0, 20, 5000)).astype(np.uint8)))
+    monkeypatch.setattr(forest, "TOGETHER", 200)
+    tree, bag, leaf = forest.grow(x, y, np.random.default_rng(2), 9, 5, 5, 20)
+    weight = np.random.default_rng(2).poisson(1.0, 5000)[bag]
+    assert (forest.leaves(tree, x[bag], 9, 20) == leaf).all() and (tree[2] >= np.arange(len(tree[2]))).all()
+    held = np.bincount(leaf, weight, len(tree[3]))
+    assert held.sum() == weight.sum() and held[np.unique(leaf)].min() >= 5
+    assert np.allclose(tree[3][leaf], (np.bincount(leaf, weight * y[bag]) / np.maximum(np.bincount(leaf, weight), 1))[leaf])
+
+
+def test_cells_have_the_rows_of_distinct_cubes():
+    rng = np.random.default_rng(6)
+    for x in (rng.uniform(-9000, 9000, (500, 4)), rng.choice([-1e9, 0.0, 1e9], (50, 4)) * 1e6 + rng.uniform(0, 1, (50, 4)), np.empty((0, 4))):
+        cells, rows, ends = kriging._cells(x, 2000.0)
+        want, of = np.unique(np.floor(x / 2000).astype(np.int64), axis=0, return_inverse=True)
+        assert (cells == want).all() and len(cells) == len(want) and sorted(rows) == list(range(len(x)))
+        assert (np.repeat(np.arange(len(cells)), np.diff(ends, prepend=0)) == of.ravel()[rows]).all()
+
+
+def test_few_equal_points_keep_the_others_on_the_plain_systems(monkeypatch):
+    rng = np.random.default_rng(8)
+    train, at = rng.uniform(0, 3000, (400, 4)), rng.uniform(0, 3000, (64, 4))
+    train[1] = train[0]
+    twins, kept = [], kriging._weights
+    monkeypatch.setattr(kriging, "_weights", lambda m, r, twin, *a: (twins.append(0 if twin is None else len(m)), kept(m, r, twin, *a))[1])
+    near = kriging.nearest_rows(train, at, 20)
+    kriging.krige_near(train, at, near, [(rng.normal(size=400), {"nugget": 0.1, "psill": 1.0, "reach": 2000.0})])
+    both = (np.isin(near, [0, 1]).sum(axis=1) == 2).sum()
+    assert 0 < both < 64 and sum(twins) == both
