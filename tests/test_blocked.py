@@ -118,3 +118,60 @@ def test_few_equal_points_keep_the_others_on_the_plain_systems(monkeypatch):
     kriging.krige_near(train, at, near, [(rng.normal(size=400), {"nugget": 0.1, "psill": 1.0, "reach": 2000.0})])
     both = (np.isin(near, [0, 1]).sum(axis=1) == 2).sum()
     assert 0 < both < 64 and sum(twins) == both
+
+
+def _observed(n, days, places, seed):
+    """Rows of which many share a place and a day: latitude, longitude, hours, y and a prediction."""
+    rng = np.random.default_rng(seed)
+    at = np.column_stack([rng.integers(-320, 320, places) / 4, rng.integers(-720, 720, places) / 4])[rng.integers(0, places, n)]
+    return at[:, 0], at[:, 1], np.sort(rng.integers(0, 24 * days, n)).astype(float), rng.normal(3, 1, n), rng.normal(3, 0.2, n)
+
+
+def _all_pairs(lat, lon, hours, residual):
+    """(mean distance, semivariance, pairs) of each lag, pair by pair."""
+    la, lo = np.radians(lat), np.radians(lon)
+    i, j = np.triu_indices(len(lat), 1)
+    i, j = (x[hours[i] // 24 == hours[j] // 24] for x in (i, j))
+    h = np.sin((la[j] - la[i]) / 2) ** 2 + np.cos(la[i]) * np.cos(la[j]) * np.sin((lo[j] - lo[i]) / 2) ** 2
+    d = 2 * kriging.EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
+    lag = np.minimum(d // 1500, kriging.LAGS - 1)
+    return [(d[lag == k].mean(), ((residual[i] - residual[j]) ** 2)[lag == k].mean() / 2, int((lag == k).sum())) for k in range(kriging.LAGS) if (lag == k).sum() >= 10]
+
+
+def _recorded(monkeypatch):
+    seen, kept = [], kriging.variogram
+    monkeypatch.setattr(kriging, "variogram", lambda bins: (seen.append(bins), kept(bins))[1])
+    return seen
+
+
+def test_a_block_s_variograms_are_of_all_pairs_within_a_day(monkeypatch):
+    for n, days, places in ((600, 9, 40), (600, 9, 5000), (40, 30, 4)):  # most places on most days, hardly any twice, few rows
+        lat, lon, hours, y, ridge = _observed(n, days, places, n + places)
+        for tile, together in ((512, 128), (7, 4)):
+            seen = _recorded(monkeypatch)
+            monkeypatch.setattr(kriging, "TILE", tile, raising=False)
+            monkeypatch.setattr(kriging, "DAYS", together, raising=False)
+            sides = []
+            for k in (slice(None), slice(0, 5)):
+                r = blocked.Rows(2)
+                r.key, r.x = np.arange(n)[k], np.random.default_rng(1).integers(0, 60, (n, 2)).astype(np.uint8)[k]
+                r.kept = {"lat": lat[k], "lon": lon[k], "hours": hours[k], "v": np.exp(y[k]), "y": y[k], "ridge": ridge[k], "last": np.where(np.arange(n) % 5 == 0, np.nan, ridge)[k]}
+                sides.append(r)
+            blocked._predicted("s0t0", [1], *sides, 2, 0)
+            fitted = forest.fit_predict(sides[0].x, y, sides[1].x, [1], 2, codes=0)[0]
+            known = np.arange(n) % 5 > 0
+            for got, (ok, residual) in zip(seen, ((known | True, y - fitted), (known, y - ridge)), strict=True):
+                want = _all_pairs(lat[ok], lon[ok], hours[ok], residual[ok])
+                assert [b[2] for b in got] == [b[2] for b in want] and np.allclose(got, want, rtol=1e-9)
+            monkeypatch.undo()
+
+
+def test_a_table_s_variogram_is_of_all_pairs_within_a_day(spark, monkeypatch):
+    n = 900
+    lat, lon, hours, y, p = _observed(n, 12, 300, 3)
+    seen = _recorded(monkeypatch)
+    monkeypatch.setattr(kriging, "DAYS", 5, raising=False)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(lat, lon, hours, y, p))], "row_id long, lat double, lon double, hours double, y double, prediction double")
+    assert modelling._kriged(df, df.filter("row_id < 20").drop("y")).count() == 20
+    (got,), want = seen, _all_pairs(lat, lon, hours, y - p)
+    assert [b[2] for b in got] == [b[2] for b in want] and np.allclose(got, want, rtol=1e-9)
